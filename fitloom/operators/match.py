@@ -100,7 +100,7 @@ def match_documents(docs: DataFrame, kb: DataFrame, mode: str = "exact",
         return joined
     names = F.transform("items", lambda it: canonicalize(it["item"]))
     joined = joined.withColumn(
-        "_best", _best_candidate(make_encoder)(names, F.transform("skills", canonicalize)))
+        "_best", _best_candidate(make_encoder)(names, F.transform("skills", lambda x: canonicalize(x))))
 
     def merge(m, b):
         close = b["similarity"] >= threshold
