@@ -1,33 +1,30 @@
-"""Item scalars: canonical spelling (B16), tiers (B19, B20), ordered array helpers."""
+"""Item scalars: canonical spelling (B16), positions (B17), tiers (B19, B20), stop list."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fitloom import rules
+from fitloom.functions.arrays import let
 from fitloom.functions.numbers import clamp01, round_half_even
 from fitloom.functions.text import WS, strip
 
 
-def ordered_distinct(items: Column, key, limit: int | None = None) -> Column:
-    """First item per key, in order, optionally the first ``limit`` of them."""
-    keys = F.transform(items, key)
-    unique = F.array_distinct(keys)
-    if limit is not None:
-        unique = F.slice(unique, 1, limit)
-    return F.transform(unique, lambda k: F.element_at(items, F.array_position(keys, k).cast("int")))
+def constant_map(table: dict) -> Column:
+    """Text lookup table as one constant, folded once by the optimizer."""
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
 
 def _lookup(table: dict, key: Column) -> Column:
-    return F.map_from_arrays(
-        F.lit(list(table.keys())), F.lit(list(table.values())))[key]
+    return constant_map(table)[key]
 
 
 def collapse_suffix(c: Column, equivalent=None) -> Column:
     """Drop a repeated last token: ``REST API APIs`` -> ``REST API``."""
     equivalent = rules.SUFFIX_EQUIVALENT if equivalent is None else equivalent
-    tokens = F.split(c, " ")
 
     def same(token):
         low = F.lower(token)
@@ -35,9 +32,12 @@ def collapse_suffix(c: Column, equivalent=None) -> Column:
             low = F.when(low == a, F.lit(b)).otherwise(low)
         return low
 
-    keys = F.transform(tokens, same)
-    differs = F.transform(keys, lambda k, i: F.when(k == F.element_at(keys, -1), 0).otherwise(i + 1))
-    kept = F.array_join(F.slice(tokens, F.lit(1), F.array_max(differs) + 1), " ")
+    def shorten(tokens, keys):
+        last = F.element_at(keys, -1)
+        differs = F.transform(keys, lambda k, i: F.when(k == last, 0).otherwise(i + 1))
+        return F.array_join(F.slice(tokens, F.lit(1), F.array_max(differs) + 1), " ")
+
+    kept = let(F.split(c, " "), lambda t: let(F.transform(t, same), lambda k: shorten(t, k)))
     return F.when(F.contains(c, F.lit(" ")), kept).otherwise(c)
 
 
@@ -47,12 +47,14 @@ def canonicalize(c: Column, alias=None, synonym=None, preferred=None) -> Column:
     synonym = rules.SYNONYM_MAP if synonym is None else synonym
     preferred = rules.PREFERRED_DISPLAY if preferred is None else preferred
     known = {**synonym, **alias}
-    base = F.regexp_replace(strip(c), WS + "+", " ")
-    short = collapse_suffix(base)
-    return F.coalesce(
-        _lookup(known, F.lower(base)),
-        _lookup({**preferred, **known}, F.lower(short)),
-        short)
+    spelled = {**preferred, **known}
+
+    def shortened(base):
+        return let(collapse_suffix(base),
+                   lambda short: F.coalesce(_lookup(spelled, F.lower(short)), short))
+
+    squeezed = F.regexp_replace(strip(c), WS + "+", " ")
+    return let(squeezed, lambda base: F.coalesce(_lookup(known, F.lower(base)), shortened(base)))
 
 
 def match_key(c: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fitloom import rules
+from fitloom.functions.arrays import let
 
 # Python's notion of white space and of a word character, spelled out for Java regexes.
 WS = r"[\x09-\x0d\x1c-\x1f\x85\p{Z}]"
@@ -38,25 +39,23 @@ def is_blank(c: Column) -> Column:
 # --- Unicode forms -------------------------------------------------------------------------
 
 @lru_cache(maxsize=None)
-def _unstable_chars(form: str) -> str:
-    """Regex class of the characters that the normal form may change, found by asking it."""
-    changed, previous, start = [], None, None
-    for cp in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= cp <= 0xDFFF:
-            continue
+def _unstable_chars() -> str:
+    """Regex class of the characters that NFC may change or join to the one before them.
+
+    Marks are one property; the others are the characters NFC itself changes, plus the Hangul
+    vowels and finals.  Nothing below U+0300 is among them.
+    """
+    ranges: list[list[int]] = []
+    for cp in range(0x300, sys.maxunicode + 1):
         ch = chr(cp)
-        quick = unicodedata.normalize(form, ch) != ch or unicodedata.combining(ch) > 0
-        # Hangul vowels and finals, and the few starters that join the character before them
-        quick = quick or 0x1161 <= cp <= 0x1175 or 0x11A8 <= cp <= 0x11C2
-        quick = quick or unicodedata.category(ch) in ("Mc", "Mn")
-        if quick:
-            if previous is None or cp != previous + 1:
-                if start is not None:
-                    changed.append((start, previous))
-                start = cp
-            previous = cp
-    changed.append((start, previous))
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in changed) + "]"
+        if 0xD800 <= cp <= 0xDFFF or unicodedata.category(ch)[0] == "M":
+            continue
+        if unicodedata.normalize("NFC", ch) != ch or 0x1161 <= cp <= 0x1175 or 0x11A8 <= cp <= 0x11C2:
+            if ranges and ranges[-1][1] == cp - 1:
+                ranges[-1][1] = cp
+            else:
+                ranges.append([cp, cp])
+    return r"[\p{M}" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
 
 
 @F.pandas_udf(T.StringType())
@@ -73,7 +72,8 @@ def _without_marks(values: pd.Series) -> pd.Series:
 
 def nfc(c: Column) -> Column:
     """B1: Unicode NFC."""
-    unstable = F.when(F.regexp_like(c, F.lit(_unstable_chars("NFC"))), c)
+    high = F.regexp_like(c, F.lit(r"[^\x00-\x{2ff}]"))
+    unstable = F.when(high & F.regexp_like(c, F.lit(_unstable_chars())), c)
     return F.coalesce(_to_nfc(unstable), c)
 
 
@@ -159,10 +159,10 @@ def rewrite_aliases(c: Column, alias_rules=None) -> Column:
 
     def step(acc, rule):
         hit = F.contains(acc["folded"], rule["lit"])
-        return F.when(hit, state(F.regexp_replace(acc["text"], rule["pat"], rule["rep"]))) \
-                .otherwise(acc)
+        changed = F.regexp_replace(acc["text"], rule["pat"], rule["rep"])
+        return F.when(hit, let(changed, state)).otherwise(acc)
 
-    return F.aggregate(table, state(c), step, lambda acc: acc["text"])
+    return F.aggregate(table, let(c, state), step, lambda acc: acc["text"])
 
 
 def _clean_native(c: Column, alias_rules) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fitloom import rules
+from fitloom.functions.arrays import let
 from fitloom.functions.numbers import clamp01
 from fitloom.functions.text import is_blank, strip
 
@@ -94,7 +95,8 @@ def embed(text: Column, make_encoder: Callable[[], Encoder] = HashingEncoder,
     """Vector of every text.
 
     ``make_encoder`` is called once per Python worker, so a model is loaded once and then fed
-    with batches.
+    with batches.  It counts as non-deterministic so that a filter on the vector is not pushed
+    below it, which would encode every text twice.
     """
     @F.pandas_udf(VECTOR)
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -104,7 +106,7 @@ def embed(text: Column, make_encoder: Callable[[], Encoder] = HashingEncoder,
             parts = [encoder(texts[i:i + batch_size]) for i in range(0, len(texts), batch_size)]
             rows = np.concatenate(parts) if parts else np.zeros((0, 1))
             yield pd.Series(list(rows.astype(np.float32)))
-    return encode(text)
+    return encode.asNondeterministic()(text)
 
 
 # --- similarity ----------------------------------------------------------------------------
@@ -122,7 +124,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
+    return let(norms, lambda n: F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n))
 
 
 def semantic_score(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fitloom import rules
 from fitloom.functions import text as X
+from fitloom.functions.arrays import keep_rows, let
 from fitloom.functions.items import match_key
 from fitloom.functions.numbers import minmax, round_half_even, score_bucket
 from fitloom.operators.extract import extract_items
@@ -35,7 +36,7 @@ def labelled_pairs(pairs: DataFrame, clean: bool = True, alias_rules=None,
     out = scored_pairs(pairs).select(
         "pair_id", prepared("resume_text", resume_chars).alias("sentence1"),
         prepared("job_text", job_chars).alias("sentence2"), "label")
-    return out.filter(~X.is_blank(F.col("sentence1")) & ~X.is_blank(F.col("sentence2")))
+    return keep_rows(out, lambda row: ~X.is_blank(row["sentence1"]) & ~X.is_blank(row["sentence2"]))
 
 
 def stratified_split(df: DataFrame, key: str = "pair_id", ratio: float = 0.1,
@@ -180,8 +181,12 @@ def item_overlap(resume: Column, job: Column, patterns=None, stop_items=None) ->
     """Share of the job's items that the resume has; 0 when the job has none."""
     have = F.transform(extract_items(resume, patterns, stop_items), match_key)
     want = F.transform(extract_items(job, patterns, stop_items), match_key)
-    hits = F.size(F.filter(want, lambda k: F.array_contains(have, k)))
-    return F.when(F.size(want) == 0, 0.0).otherwise(hits / F.size(want))
+
+    def share(have, want):
+        hits = F.size(F.filter(want, lambda k: F.array_contains(have, k)))
+        return F.when(F.size(want) == 0, 0.0).otherwise(hits / F.size(want))
+
+    return let(have, lambda h: let(want, lambda w: share(h, w)))
 
 
 def alpha_sweep(df: DataFrame, steps: int = 10) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from fitloom import rules
 from fitloom.functions import text as X
-from fitloom.functions.items import is_stop_item, ordered_distinct
+from fitloom.functions.arrays import keep_rows, let, ordered_distinct
+from fitloom.functions.items import is_stop_item
 
 FREE_TEXT = ("description", "requirements_text")
 LISTS = ("technical_skills", "soft_skills")
@@ -28,13 +29,13 @@ def clean_postings(df: DataFrame, alias_rules=None) -> DataFrame:
     parts = [F.nullif(F.col(c), F.lit("")) for c in free]
     parts += [F.nullif(F.array_join(f"{c}_parsed", ", "), F.lit("")) for c in lists]
     df = df.withColumn("full_text", F.concat_ws("\n", *parts))
-    return df.filter(~X.is_blank(F.col("full_text")))
+    return keep_rows(df, lambda row: ~X.is_blank(row["full_text"]))
 
 
 def clean_pairs(df: DataFrame, alias_rules=None) -> DataFrame:
     """Clean both texts, keep pairs where neither is blank."""
     df = df.withColumns({c: X.clean_text(F.col(c), alias_rules) for c in ("resume_text", "job_text")})
-    return df.filter(~X.is_blank(F.col("resume_text")) & ~X.is_blank(F.col("job_text")))
+    return keep_rows(df, lambda row: ~X.is_blank(row["resume_text"]) & ~X.is_blank(row["job_text"]))
 
 
 def extract_items(c: Column, patterns=None, stop_items=None) -> Column:
@@ -46,18 +47,21 @@ def extract_items(c: Column, patterns=None, stop_items=None) -> Column:
     table = X.rule_table(
         [{"lit": X.required_literal(p), "pat": X.java_pattern(p)} for p in patterns],
         "lit string, pat string")
-    folded = X.fold(c)
-    possible = F.filter(table, lambda r: F.contains(folded, r["lit"]))
-    found = F.transform(possible, lambda r: X.strip(F.regexp_extract(c, r["pat"], 0)))
+
+    def first_match(text, rule):
+        return X.strip(F.call_function("regexp_extract", text, rule["pat"], F.lit(0)))
+
+    possible = let(X.fold(c), lambda f: F.filter(table, lambda r: F.contains(f, r["lit"])))
+    found = let(c, lambda text: F.transform(possible, lambda r: first_match(text, r)))
     kept = F.filter(found, lambda x: (x != "") & ~is_stop_item(x, stop_items))
-    return ordered_distinct(kept, F.lower)
+    return ordered_distinct(kept, lambda x: F.lower(x))
 
 
 def merge_items(*lists: Column, stop_items=None) -> Column:
     """Lists joined by priority, without short, stop and repeated items."""
     trimmed = F.transform(F.concat(*lists), X.strip)
     kept = F.filter(trimmed, lambda x: (F.length(x) >= 2) & ~is_stop_item(x, stop_items))
-    return ordered_distinct(kept, F.lower)
+    return ordered_distinct(kept, lambda x: F.lower(x))
 
 
 def segments(description: Column, fallback: Column, limit: int = rules.MAX_SEGMENTS_PER_ROW) -> Column:
@@ -93,7 +97,8 @@ def extract_all(df: DataFrame, patterns=None, stop_items=None, extra=()) -> Data
     )
 
 
-def candidate_items(c: Column, patterns=None, stop_items=None, alias_rules=None) -> Column:
-    """Items of a document: cleaning, then the same dictionary."""
-    found = extract_items(X.clean_text(c, alias_rules), patterns, stop_items)
-    return F.when(X.is_blank(c), F.array().cast(EMPTY)).otherwise(found)
+def candidate_items(df: DataFrame, text: str = "text", out: str = "skills", patterns=None,
+                    stop_items=None, alias_rules=None) -> DataFrame:
+    """Adds the items of a document: cleaning, then the same dictionary."""
+    cleaned = df.withColumn("_clean", X.clean_text(F.col(text), alias_rules))
+    return cleaned.withColumn(out, extract_items(F.col("_clean"), patterns, stop_items)).drop("_clean")

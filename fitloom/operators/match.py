@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitloom import rules
+from fitloom.functions.arrays import let
 from fitloom.functions.items import canonicalize, match_key
 from fitloom.functions.numbers import clamp01, round_half_even
 from fitloom.functions.vectors import Encoder, HashingEncoder, semantic_score
@@ -39,16 +40,16 @@ def candidate_keys(docs: DataFrame) -> DataFrame:
 
 def _exact(items: Column, skills: Column, keys: Column) -> Column:
     """items found under the same key; of repeated keys the last candidate item counts."""
-    newest, names = F.reverse(keys), F.reverse(skills)
-
-    def look(it):
+    def look(it, newest, names):
         pos = F.array_position(newest, it["key"]).cast("int")
-        return F.struct(
+        return let(pos, lambda p: F.struct(
             it["item"].alias("item"), it["weight"].alias("weight"), it["key"].alias("key"),
-            F.when(pos > 0, F.get(names, pos - 1)).alias("candidate"),
-            F.when(pos > 0, 1.0).otherwise(0.0).alias("similarity"),
-            (pos > 0).alias("matched"))
-    return F.transform(items, look)
+            F.when(p > 0, F.get(names, p - 1)).alias("candidate"),
+            F.when(p > 0, 1.0).otherwise(0.0).alias("similarity"),
+            (p > 0).alias("matched")))
+
+    return let(F.reverse(keys), lambda newest: let(F.reverse(skills), lambda names: F.transform(
+        items, lambda it: look(it, newest, names))))
 
 
 _BEST = "array<struct<position:int,similarity:double>>"
@@ -81,7 +82,7 @@ def _best_candidate(make_encoder: Callable[[], Encoder]):
 
         for items, cands in batches:
             yield pd.Series([row(i, c) for i, c in zip(items, cands)])
-    return best
+    return best.asNondeterministic()  # keeps filters above it: it runs once per row
 
 
 def match_documents(docs: DataFrame, kb: DataFrame, mode: str = "exact",
@@ -151,7 +152,8 @@ def extra_items(matches: Column, skills: Column, skill_keys: Column) -> Column:
     """candidate items that no match used."""
     used = F.transform(F.filter(matches, lambda m: m["matched"]),
                        lambda m: match_key(m["candidate"]))
-    return F.filter(skills, lambda s, i: ~F.array_contains(used, F.get(skill_keys, i)))
+    return let(used, lambda u: F.filter(
+        skills, lambda s, i: ~F.array_contains(u, F.get(skill_keys, i))))
 
 
 def score_documents(matched: DataFrame, alpha: float = rules.SEMANTIC_WEIGHT,

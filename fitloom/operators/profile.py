@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from fitloom import rules
+from fitloom.functions.arrays import ordered_distinct
 from fitloom.functions.numbers import minmax, round_half_even
 from fitloom.functions.text import group_key, strip
 
@@ -30,15 +31,11 @@ def _valid(item: Column) -> Column:
 
 def item_rows_from_lists(records: DataFrame, keys=("occ_key",)) -> DataFrame:
     """Records with item arrays -> one row per (row, distinct item), without a shuffle."""
-    items = F.filter("skills", _valid)
-    items = F.transform(items, strip)
-    lows = F.transform(items, F.lower)
-    first = F.filter(F.transform(items, lambda x, i: F.struct(x.alias("item"), i.alias("pos"))),
-                     lambda s: F.array_position(lows, F.lower(s["item"])) == s["pos"] + 1)
+    items = F.transform(F.filter("skills", _valid), strip)
+    first = ordered_distinct(items, lambda x: F.lower(x))
     return (
-        records.select(*keys, "row_id", F.explode(first).alias("it"))
-        .select(*keys, F.col("it.item").alias("item"),
-                F.struct("row_id", F.col("it.pos").alias("pos")).alias("seen"))
+        records.select(*keys, "row_id", F.posexplode(first).alias("pos", "item"))
+        .select(*keys, "item", F.struct("row_id", "pos").alias("seen"))
     )
 
 

@@ -16,8 +16,7 @@ def prepare_documents(docs: DataFrame, make_encoder=HashingEncoder, patterns=Non
     none = F.array().cast("array<string>")
     sections = {c: F.coalesce(F.col(c), none) if c in docs.columns else none
                 for c in ("experience", "projects")}
-    docs = docs.withColumn("skills", extract.candidate_items(
-        F.col("text"), patterns, stop_items, alias_rules))
+    docs = extract.candidate_items(docs, "text", "skills", patterns, stop_items, alias_rules)
     text = candidate_text(F.col("skills"), sections["experience"], sections["projects"],
                           F.col("text"))
     return docs.withColumn("embedding", embed(text, make_encoder))
