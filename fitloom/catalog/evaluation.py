@@ -8,6 +8,7 @@ from fitloom.catalog import texts, vectors
 from fitloom.catalog.base import oracle, query, rounded
 from fitloom.operators import evaluate, lexical
 from fitloom.plans import evaluation as plans
+from fitloom.plans.materialize import cut
 
 # --- checking SQL --------------------------------------------------------------------------
 
@@ -82,7 +83,7 @@ _EMBED = [
         SELECT pair_id, sum(a.value * b.value) AS s FROM va_vec a JOIN vb_vec b USING (pair_id, slot) GROUP BY pair_id)
         USING (pair_id)"""),
 ]
-_OVERLAP = ("overlaps", f"""SELECT pair_id, CASE WHEN len(want) = 0 THEN 0.0 ELSE len(list_filter(want,
+_OVERLAP = ("overlap_rows", f"""SELECT pair_id, CASE WHEN len(want) = 0 THEN 0.0 ELSE len(list_filter(want,
     lambda k: list_contains(have, k))) / len(want) END AS overlap FROM (SELECT pair_id,
     list_transform({texts.distinct_sql(texts.extract_sql('sentence1'))}, lambda x: lower(x)) AS have,
     list_transform({texts.distinct_sql(texts.extract_sql('sentence2'))}, lambda x: lower(x)) AS want FROM labelled)""")
@@ -95,8 +96,8 @@ def pairs_sql(select, *ctes):
 # --- Spark side ----------------------------------------------------------------------------
 
 def labelled(t):
-    """Cleaned pairs with whole texts."""
-    return evaluate.labelled_pairs(t.pairs, True, texts.ALIASES, None, None)
+    """Cleaned pairs with whole texts, stored once for all predictors."""
+    return cut(evaluate.labelled_pairs(t.pairs, True, texts.ALIASES, None, None))
 
 
 # --- data ----------------------------------------------------------------------------------
@@ -210,7 +211,7 @@ def bm25_pairs(t):
     return lexical.bm25(labelled(t)).withColumn("pred", F.round("pred", 6))
 
 
-@query("item_overlap", pairs_sql("SELECT pair_id, round(overlap, 6) AS overlap FROM overlaps", _OVERLAP))
+@query("item_overlap", pairs_sql("SELECT pair_id, round(overlap, 6) AS overlap FROM overlap_rows", _OVERLAP))
 def item_overlap(t):
     overlap = evaluate.item_overlap(F.col("sentence1"), F.col("sentence2"), texts.PATTERNS, texts.STOP)
     return labelled(t).select("pair_id", F.round(overlap, 6).alias("overlap"))
@@ -229,6 +230,6 @@ def predictor_report(t):
     {rounded('sqrt(avg((greatest(0.0, least(1.0, pred)) - label) ** 2))', 4)} AS rmse
     FROM ({ranks_sql('grid', 'alpha')}) GROUP BY alpha)""", *_EMBED, _OVERLAP,
     ("grid", """SELECT alpha, label, round(alpha * greatest(0.0, least(1.0, pred)) + (1 - alpha) * overlap, 9) AS pred
-        FROM embed_pred JOIN overlaps USING (pair_id), (SELECT unnest(range(11)) / 10 AS alpha)""")))
+        FROM embed_pred JOIN overlap_rows USING (pair_id), (SELECT unnest(range(11)) / 10 AS alpha)""")))
 def alpha_sweep(t):
     return evaluate.alpha_sweep(plans.blend_inputs(labelled(t), patterns=texts.PATTERNS, stop_items=texts.STOP))

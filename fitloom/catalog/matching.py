@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,6 +13,7 @@ from fitloom.functions import vectors as V
 from fitloom.functions.numbers import round_half_even
 from fitloom.operators import match, profile
 from fitloom.plans.analysis import analyze
+from fitloom.plans.materialize import shared_folder
 from fitloom.plans.offline import names
 from fitloom.streaming.scoring import score_stream
 
@@ -176,11 +177,10 @@ def analyze_batch(t):
 
 
 def scratch(spark) -> str:
-    """New folder next to the cluster's checkpoints; a local one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """Name of a new folder next to the checkpoints."""
+    base = shared_folder(spark)
     if base is None:
-        return tempfile.mkdtemp(prefix="fitloom-")
-    import uuid
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return f"{base.rstrip('/')}/fitloom-{uuid.uuid4().hex}"
 
 

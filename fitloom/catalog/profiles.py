@@ -10,6 +10,7 @@ from fitloom.catalog.base import Inputs, oracle, query, rounded
 from fitloom.functions.items import canonicalize
 from fitloom.functions.numbers import minmax
 from fitloom.operators import hierarchy, profile, variants
+from fitloom.plans.materialize import cut
 
 ORDER = ("pos", "sub_pos")
 KEY = "replace(lower(trim(grp)), ' ', '_')"
@@ -26,7 +27,7 @@ def parts(t: Inputs, view: str = "baskets", first_seen: bool = False):
     rows = basket_rows(t, view)
     sizes = profile.group_sizes(rows, "grp", distinct_rows=True)
     support = profile.item_support(profile.item_rows_from_long(rows, ORDER), first_seen=first_seen)
-    return sizes, profile.minimum_support(support, sizes)
+    return sizes, cut(profile.minimum_support(support, sizes))
 
 
 def weights(t: Inputs, view: str = "baskets") -> DataFrame:

@@ -79,7 +79,8 @@ def label_histogram(df: DataFrame, label: str = "label") -> DataFrame:
 
 def pearson(x: str | Column, y: str | Column) -> Column:
     """0 where the correlation is undefined."""
-    return F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.coalesce(F.try_divide(F.covar_pop(x, y), spread), F.lit(0.0))
 
 
 def error_columns(pred: Column, label: Column) -> dict[str, Column]:

@@ -19,6 +19,7 @@ from fitloom import rules
 from fitloom.functions.arrays import let
 from fitloom.functions.items import canonicalize, match_key
 from fitloom.functions.numbers import clamp01, round_half_even
+from fitloom.functions.text import strip
 from fitloom.functions.vectors import Encoder, HashingEncoder, semantic_score
 
 
@@ -29,13 +30,18 @@ def profile_items(kb: DataFrame) -> DataFrame:
     """
     core_names = F.transform("core_skills", lambda s: s["item"])
     optional = F.filter("optional_skills", lambda s: ~F.array_contains(core_names, s["item"]))
-    entry = lambda s: F.struct((-s["weight"]).alias("order"), s["item"].alias("item"),
-                               s["weight"].alias("weight"), match_key(s["item"]).alias("key"))
+
+    def entry(s):
+        return F.struct((-s["weight"]).alias("order"), s["item"].alias("item"),
+                        s["weight"].alias("weight"), match_key(s["item"]).alias("key"),
+                        canonicalize(s["item"]).alias("name"))
+
     return kb.withColumn("items", F.sort_array(F.transform(F.concat("core_skills", optional), entry)))
 
 
 def candidate_keys(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("skill_keys", F.transform("skills", match_key))
+    docs = docs.withColumn("skill_names", F.transform("skills", lambda s: canonicalize(s)))
+    return docs.withColumn("skill_keys", F.transform("skill_names", lambda s: F.lower(strip(s))))
 
 
 def _exact(items: Column, skills: Column, keys: Column) -> Column:
@@ -99,9 +105,8 @@ def match_documents(docs: DataFrame, kb: DataFrame, mode: str = "exact",
     joined = joined.withColumn("matches", exact)
     if mode != "semantic":
         return joined
-    names = F.transform("items", lambda it: canonicalize(it["item"]))
-    joined = joined.withColumn(
-        "_best", _best_candidate(make_encoder)(names, F.transform("skills", lambda x: canonicalize(x))))
+    names = F.transform("items", lambda it: it["name"])
+    joined = joined.withColumn("_best", _best_candidate(make_encoder)(names, F.col("skill_names")))
 
     def merge(m, b):
         close = b["similarity"] >= threshold

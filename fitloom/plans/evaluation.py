@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fitloom.functions.vectors import HashingEncoder
 from fitloom.operators import evaluate, lexical
+from fitloom.plans.materialize import cut
 
 
 def compare_predictors(pairs: DataFrame, encoders: dict | None = None) -> DataFrame:
@@ -19,7 +20,7 @@ def compare_predictors(pairs: DataFrame, encoders: dict | None = None) -> DataFr
     for name, df in runs.items():
         part = df.select(F.lit(name).alias("method"), "pred", "label")
         stacked = part if stacked is None else stacked.unionByName(part)
-    return evaluate.method_report(stacked)
+    return evaluate.method_report(cut(stacked))
 
 
 def blend_inputs(pairs: DataFrame, make_encoder=HashingEncoder, patterns=None,
@@ -28,4 +29,5 @@ def blend_inputs(pairs: DataFrame, make_encoder=HashingEncoder, patterns=None,
     v = lexical.embed_cosine(pairs, make_encoder).select(
         "pair_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "pred")).alias("semantic"))
     overlap = evaluate.item_overlap(F.col("sentence1"), F.col("sentence2"), patterns, stop_items)
-    return pairs.withColumn("overlap", overlap).select("pair_id", "label", "overlap").join(v, "pair_id")
+    both = pairs.withColumn("overlap", overlap).select("pair_id", "label", "overlap").join(v, "pair_id")
+    return cut(both)

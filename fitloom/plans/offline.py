@@ -7,27 +7,21 @@ from pyspark.sql import functions as F
 
 from fitloom.functions.vectors import HashingEncoder, embed, group_text
 from fitloom.operators import extract, profile, variants
+from fitloom.plans.materialize import cut
 from fitloom.sources import store
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Store an intermediate result in the cluster's shared checkpoint folder and read it back.
-
-    Survives lost executors.  Without a configured folder the plan stays lazy.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        return df
-    return df.checkpoint()
-
-
 def names(weighted):
     return F.transform(weighted, lambda s: s["item"])
 
 
 def profile_parts(records: DataFrame) -> dict[str, DataFrame]:
-    """Extracted records -> sizes, weights, segments (long form)."""
-    records = profile.known_groups(records)
+    """Extracted records -> sizes, weights, segments (long form).
+
+    Records are stored once, so that the texts are not cleaned for each of the three; so are the
+    supported items, which every later statistic reads.
+    """
+    records = cut(profile.known_groups(records))
     sizes = profile.group_sizes(records)
     support = profile.item_support(profile.item_rows_from_lists(records))
     kept = cut(profile.minimum_support(support, sizes))
@@ -46,12 +40,12 @@ def build_profiles(postings: DataFrame, make_encoder=HashingEncoder, merge_varia
                    model_source: str = "hashing") -> DataFrame:
     """Valid postings -> profile records ready for ``store.write_profiles``."""
     cleaned = extract.clean_postings(postings, alias_rules)
-    records = cut(extract.extract_all(cleaned, patterns, stop_items))
+    records = extract.extract_all(cleaned, patterns, stop_items)
     parts = profile_parts(records)
     weights = parts["weights"].select("occ_key", "item", "weight", "tier")
     if merge_variants:
         weights = variants.clean_weighted_profiles(weights)
-    enriched = profile.enrich(weights, parts["sizes"], parts["segments"])
+    enriched = cut(profile.enrich(weights, parts["sizes"], parts["segments"]))
     return store.profile_records(enriched, embed_profiles(enriched, make_encoder), model_source)
 
 
