@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from fitloom.catalog import profiles, vectors
@@ -13,7 +11,7 @@ from fitloom.functions import vectors as V
 from fitloom.functions.numbers import round_half_even
 from fitloom.operators import match, profile
 from fitloom.plans.analysis import analyze
-from fitloom.plans.materialize import shared_folder
+from fitloom.plans.materialize import scratch
 from fitloom.plans.offline import names
 from fitloom.streaming.scoring import score_stream
 
@@ -176,14 +174,6 @@ def analyze_batch(t):
     return joined_lists(analyze(documents(t), kb(t)))
 
 
-def scratch(spark) -> str:
-    """Name of a new folder next to the checkpoints."""
-    base = shared_folder(spark)
-    if base is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    return f"{base.rstrip('/')}/fitloom-{uuid.uuid4().hex}"
-
-
 @query("stream_scoring", _ANALYSIS_SQL)
 def stream_scoring(t):
     folder = scratch(t.spark)

@@ -25,7 +25,7 @@ def basket_rows(t: Inputs, view: str = "baskets") -> DataFrame:
 def parts(t: Inputs, view: str = "baskets", first_seen: bool = False):
     """(sizes, kept): group sizes and supported items."""
     rows = basket_rows(t, view)
-    sizes = profile.group_sizes(rows, "grp", distinct_rows=True)
+    sizes = cut(profile.group_sizes(rows, "grp", distinct_rows=True))
     support = profile.item_support(profile.item_rows_from_long(rows, ORDER), first_seen=first_seen)
     return sizes, cut(profile.minimum_support(support, sizes))
 

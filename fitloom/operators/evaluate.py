@@ -108,7 +108,9 @@ def average_ranks(df: DataFrame, value: str, by=()) -> DataFrame:
         inside = F.try_element_at("_cuts", nxt) <= F.col(value)
         return F.when(inside, nxt).otherwise(at)
 
-    counts = counts.withColumn("_part", F.aggregate(steps, F.lit(0), search)).drop("_cuts")
+    # never null: an inferred null check would run the search on every row below the count
+    found = F.coalesce(F.aggregate(steps, F.lit(0), search), F.lit(0))
+    counts = counts.withColumn("_part", found).drop("_cuts")
     parts = counts.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"))
     earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select(*by, "_part",

@@ -9,6 +9,7 @@ from fitloom import rules
 from fitloom.functions.items import assign_position
 from fitloom.functions.text import display_name
 from fitloom.operators import extract, profile, variants
+from fitloom.plans.materialize import cut
 
 SUB = ("parent", "occ_key")
 
@@ -38,13 +39,13 @@ def sub_profiles(postings: DataFrame, taxonomy, patterns=None, stop_items=None,
                                      alias_rules)
     records = extract.extract_all(cleaned.withColumn("category", F.col("sub")), patterns,
                                   stop_items, extra=("parent",))
-    return sub_weights(profile.known_groups(records))
+    return sub_weights(cut(profile.known_groups(records)))
 
 
 def sub_weights(records: DataFrame) -> DataFrame:
-    sizes = profile.group_sizes(records, keys=SUB)
+    sizes = cut(profile.group_sizes(records, keys=SUB))
     support = profile.item_support(profile.item_rows_from_lists(records, SUB), SUB)
-    kept = profile.minimum_support(support, sizes, SUB)
+    kept = cut(profile.minimum_support(support, sizes, SUB))
     scored = profile.scored_items(profile.item_frequency(kept), sizes, SUB)
     weights = profile.item_weights(scored).select(*SUB, "item", "weight", "tier")
     return variants.clean_weighted_profiles(weights, keys=SUB)

@@ -44,7 +44,8 @@ def item_rows_from_long(rows: DataFrame, order=("pos",), keys=("occ_key",)) -> D
     seen = F.struct(*order)
     return (
         rows.filter(_valid(F.col("item")))
-        .groupBy(*keys, "row_id", F.lower(strip(F.col("item"))).alias("low"))
+        # the row comes first: its number makes the sort of this aggregation cheap
+        .groupBy("row_id", F.lower(strip(F.col("item"))).alias("low"), *keys)
         .agg(F.min(F.struct(seen.alias("seen"), strip(F.col("item")).alias("item"))).alias("first"))
         .select(*keys, "first.item", F.struct("row_id", "first.seen").alias("seen"))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,19 +19,25 @@ def shared_folder(spark: SparkSession) -> str | None:
         folder = spark.sparkContext.getCheckpointDir()
     if folder is None and spark.sparkContext.master.startswith("local"):
         folder = tempfile.mkdtemp(prefix="fitloom-")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def scratch(spark: SparkSession) -> str | None:
+    """Name of a new folder inside the shared one."""
+    base = shared_folder(spark)
+    return None if base is None else f"{base.rstrip('/')}/fitloom-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and read it back from the shared folder.
+    """Write ``df`` to the shared folder once and read it back.
 
-    The stored copy survives lost executors and keeps later branches from repeating the work.
-    Without a shared folder the plan stays as it is.
+    The stored table survives lost executors, keeps later branches from repeating the work, is
+    read by column, and has a known size that the optimizer can base a broadcast on.  Without a
+    shared folder the plan stays as it is.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = shared_folder(df.sparkSession)
-        if folder is None:
-            return df
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = scratch(df.sparkSession)
+    if path is None:
+        return df
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,7 +22,7 @@ def profile_parts(records: DataFrame) -> dict[str, DataFrame]:
     supported items, which every later statistic reads.
     """
     records = cut(profile.known_groups(records))
-    sizes = profile.group_sizes(records)
+    sizes = cut(profile.group_sizes(records))
     support = profile.item_support(profile.item_rows_from_lists(records))
     kept = cut(profile.minimum_support(support, sizes))
     weights = profile.item_weights(profile.scored_items(profile.item_frequency(kept), sizes))
