@@ -39,7 +39,7 @@ SELECT n_name AS grp, o_orderkey AS row_id, l_linenumber AS pos, l_partkey AS su
                        WHEN 1 THEN p_name
                        ELSE concat(upper(substr(p_name, 1, 1)), substr(p_name, 2)) END AS item
 {_BASKET_JOIN}""",
-    # plain list of items per order, with repeats in other spellings
+    # documents as postings, with every kind of missing value and list text
     "postings": """
 SELECT doc_id AS row_id, lang AS category, split_part(text, '.', 1) AS job_title,
        CASE WHEN doc_id % 17 = 0 THEN NULL

@@ -118,12 +118,12 @@ def stratified_split(t):
 
 
 @query("label_histogram", oracle(["scored"], [], """SELECT CAST(b.bucket AS INTEGER) AS bucket, count(event_id) AS n,
-    round(count(event_id) * 100.0 / (SELECT count(*) FROM scored WHERE pred < 0.6), 6) AS pct,
-    round((SELECT avg(label) FROM scored WHERE pred < 0.6), 6) AS mean_label
+    round(count(event_id) * 100.0 / (SELECT count(*) FROM scored), 6) AS pct,
+    round((SELECT avg(pred) FROM scored), 6) AS mean_label
     FROM (SELECT unnest(range(5)) AS bucket) b
-    LEFT JOIN (SELECT * FROM scored WHERE pred < 0.6) s ON least(CAST(trunc(label * 5) AS INTEGER), 4) = b.bucket GROUP BY b.bucket"""))
+    LEFT JOIN scored s ON least(CAST(trunc(pred * 5) AS INTEGER), 4) = b.bucket GROUP BY b.bucket"""))
 def label_histogram(t):
-    out = evaluate.label_histogram(t.scored.filter("pred < 0.6"))
+    out = evaluate.label_histogram(t.scored, "pred")
     return out.withColumns({c: F.round(c, 6) for c in ("pct", "mean_label")})
 
 

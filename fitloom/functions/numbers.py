@@ -36,7 +36,9 @@ def round_half_even(x: Column, digits: int) -> Column:
         .when(error < 0, False)
         .otherwise(F.pmod(floor, F.lit(2.0)) == 1.0)
     )
-    return (floor + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale)
+    rounded = (floor + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale)
+    # beyond 2^52 there is nothing to round; NaN and infinity stay what they are
+    return F.when(x.isNull() | (F.abs(product) < 4503599627370496.0), rounded).otherwise(x)
 
 
 def clamp01(x: Column) -> Column:

@@ -224,7 +224,7 @@ def group_segments(records: DataFrame, keys=("occ_key",),
         .withColumn("prefix", F.substring(F.lower("seg"), 1, rules.SEGMENT_KEY_CHARS))
     )
     first = (
-        seg.groupBy(*keys, "prefix")
+        seg.groupBy("prefix", *keys)  # the selective column first: it decides the sort
         .agg(F.min(F.struct("row_id", "pos", "seg")).alias("first"))
         .select(*keys, "first.*")
     )

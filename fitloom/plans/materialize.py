@@ -23,10 +23,12 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder
 
 
-def scratch(spark: SparkSession) -> str | None:
+def scratch(spark: SparkSession) -> str:
     """Name of a new folder inside the shared one."""
     base = shared_folder(spark)
-    return None if base is None else f"{base.rstrip('/')}/fitloom-{uuid.uuid4().hex}"
+    if base is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{base.rstrip('/')}/fitloom-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,8 +38,8 @@ def cut(df: DataFrame) -> DataFrame:
     read by column, and has a known size that the optimizer can base a broadcast on.  Without a
     shared folder the plan stays as it is.
     """
-    path = scratch(df.sparkSession)
-    if path is None:
+    if shared_folder(df.sparkSession) is None:
         return df
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
