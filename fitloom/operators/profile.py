@@ -1,9 +1,9 @@
 """Group profiles (D1-D18, D27) in long form: one row per (group, item).
 
-Every per-group statistic is an aggregate joined back on the group key.  Windows over a whole
-group are avoided: partial aggregation happens before each shuffle, so a group that holds a third
-of all rows costs one row per map task.  Where a window is needed (top-k), the rank filter lets
-Spark keep only k rows per group before the shuffle.
+Statistics over the rows of a group are aggregates joined back on the group key: partial
+aggregation happens before each shuffle, so a group that holds a third of all rows costs one row
+per map task and item.  Windows only see the supported items of a group, whose number has a
+bound, or rank for a top-k, where Spark keeps only k rows per group before the shuffle.
 """
 
 from __future__ import annotations
@@ -127,13 +127,17 @@ def raw_tfidf(freq: DataFrame, sizes: DataFrame, keys=("occ_key",)) -> DataFrame
 
 
 def scored_items(freq: DataFrame, sizes: DataFrame, keys=("occ_key",)) -> DataFrame:
-    """D12 and the scaled frequency in one pass: adds ``tfidf`` and ``freq_norm``."""
-    raw = raw_tfidf(freq, sizes, keys)
-    span = raw.groupBy(*keys).agg(
-        F.min("raw").alias("r0"), F.max("raw").alias("r1"),
-        F.min("frequency").alias("f0"), F.max("frequency").alias("f1"))
+    """D12 and the scaled frequency in one pass: adds ``tfidf`` and ``freq_norm``.
+
+    The window is over the supported items of a group, not over its rows: a row holds k items on
+    average, each kept item is in 1 % of the rows, so there are at most about 200 k of them
+    however large the group is.
+    """
+    w = W.partitionBy(*keys)
     return (
-        raw.join(span, list(keys))
+        raw_tfidf(freq, sizes, keys)
+        .withColumns({"r0": F.min("raw").over(w), "r1": F.max("raw").over(w),
+                      "f0": F.min("frequency").over(w), "f1": F.max("frequency").over(w)})
         .withColumn("tfidf", minmax(F.col("raw"), F.col("r0"), F.col("r1")))
         .withColumn("freq_norm", minmax(F.col("frequency"), F.col("f0"), F.col("f1")))
         .drop("r0", "r1", "f0", "f1")
@@ -240,8 +244,7 @@ def nest_segments(segs: DataFrame, keys=("occ_key",)) -> DataFrame:
 def assemble_profiles(kept: DataFrame, sizes: DataFrame, segs: DataFrame | None = None) -> DataFrame:
     """One row per group with its items by count (ties by first sight).
 
-    The list is bounded: with n rows of k items on average, at most 100 k items can reach the
-    minimum support of 1 %.
+    The list is bounded like the window of ``scored_items``: by the minimum support of 1 %.
     """
     entry = F.struct(-F.col("count"), "first_seen", "item", "count")
     nested = kept.groupBy("occ_key").agg(F.sort_array(F.collect_list(entry)).alias("e")).select(
