@@ -86,8 +86,14 @@ def without_marks(c: Column) -> Column:
 # --- cleaning steps ------------------------------------------------------------------------
 
 def strip_html(c: Column) -> Column:
-    """B2: each tag becomes one space."""
-    return F.regexp_replace(c, r"<[^>]+>", " ")
+    """B2: each tag becomes one space.
+
+    No tag can end after the last ``>``.  The rest of the text is left out of the search, where
+    every ``<`` would otherwise be followed to the end of the text.
+    """
+    tail = F.substring_index(c, ">", -1)
+    head = F.left(c, F.length(c) - F.length(tail))
+    return F.concat(F.regexp_replace(head, r"<[^>]+>", " "), tail)
 
 
 def strip_urls(c: Column) -> Column:

@@ -27,7 +27,9 @@ def test_nfc_and_slug(column):
 
 
 def test_cleaning_steps(column):
-    assert column(X.strip_html, ["a<br/>b<x\ny>c<>"]) == ["a b c<>"]
+    html = ["a<br/>b<x\ny>c<>", "1 < 2", "<p>x</p> a < b", "", "<é>ü > <", ">"]
+    assert column(X.strip_html, html) == [re.sub(r"<[^>]+>", " ", h) for h in html]
+    assert column(X.strip_html, ["<" * 300_000]) == ["<" * 300_000]
     assert column(X.strip_urls, ["x http://a.b/c d@e.fg, h@i j"]) == ["x     h@i j"]
     assert column(X.strip_special, ["a&b|c+#/.-,;:!?()[]_é²"]) == ["a b c+#/.-,;:!?()[]_é²"]
     assert column(X.normalize_ws, [" a\t\tb\r\n\n\n\nc   d "]) == ["a b \n\nc d"]
