@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders that this process wrote, until `clean` removes them.
+_written: list[str] = []
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only for a local master.
 
-    On a cluster without the setting there is none: a machine-local folder would be lost with its
-    machine.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, named in ``spark.checkpoint.dir``.
+
+    Without the setting, a local master gets a folder of its own; a cluster has none that is safe
+    to take, so this raises at once.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        folder = spark.sparkContext.getCheckpointDir()
-    if folder is None and spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="fitloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -25,21 +29,29 @@ def shared_folder(spark: SparkSession) -> str | None:
 
 def scratch(spark: SparkSession) -> str:
     """Name of a new folder inside the shared one."""
-    base = shared_folder(spark)
-    if base is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    return f"{base.rstrip('/')}/fitloom-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(clean, spark)
+    _written.append(f"{shared_folder(spark).rstrip('/')}/fitloom-{uuid.uuid4().hex}")
+    return _written[-1]
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
-    The stored table survives lost executors, keeps later branches from repeating the work, is
-    read by column, and has a known size that the optimizer can base a broadcast on.  Without a
-    shared folder the plan stays as it is.
+    This runs a job while the plan is being built. The stored table survives lost executors, keeps
+    later branches from repeating the work, is read by column, and has a known size that the
+    optimizer can base a broadcast on. It stays until `clean`, at the latest until Python ends.
     """
-    if shared_folder(df.sparkSession) is None:
-        return df
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove every table that `cut` wrote; frames that read them can't be used any more."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        try:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            return
