@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +78,22 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of every run, one run after the other."""
     ends = np.cumsum(counts)
     return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def stable_row(df: DataFrame) -> Column:
+    """Identity of a row that holds across scans, whatever splits they read: file and place in it.
+
+    Frames that don't come from files get the running number of `row_id`.
+    """
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        return F.struct(F.lit(0).cast("long").alias("file"), row_id().alias("place"))
+    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+
+
+def keep_only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose `stable_row` is among ``kept.row``, with the columns of ``docs``."""
+    name = fresh(docs, "row")
+    marked = docs.withColumn(name, stable_row(docs))
+    return marked.join(kept.select(F.col("row").alias(name)), name, "left_semi").select(*docs.columns)
