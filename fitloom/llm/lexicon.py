@@ -34,7 +34,7 @@ def frequent_words(docs: DataFrame, vocab, most: int = LEXICON_WORDS, local: int
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(vocab.value)
+        splitter = Splitter(vocab.value.folded, vocab.value.special)
         seen: dict[bytes, int] = {}
 
         def report() -> pa.RecordBatch:

@@ -254,19 +254,20 @@ class Words:
 
 
 class Splitter:
-    """Cuts texts into the words of a vocabulary."""
+    """Cuts texts into words: folded ones without white space, or byte-level ones that hold all of it.
+    ``special`` strings are words of their own."""
 
-    def __init__(self, vocab: Vocabulary):
-        self.vocab, self.folded = vocab, vocab.folded
+    def __init__(self, folded: bool = True, special: dict[str, int] | None = None):
+        self.folded = folded
         self.pattern = _pattern(FOLDED_WORDS if self.folded else BYTE_WORDS)
-        self.specials = {s.encode(): i for s, i in vocab.special.items()}
+        self.specials = {s.encode(): i for s, i in (special or {}).items()}
         # a special string must stand apart from an ordinary word of the same letters
-        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in vocab.special) + ")")
+        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in special) + ")") if special else None
 
     def split_one(self, text: str) -> list[bytes]:
         """By the pattern; specials are marked with a byte that UTF-8 never has."""
         out: list[bytes] = []
-        for k, part in enumerate(self.cut.split(text)):
+        for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
                 out.append(b"\xff" + part.encode())
             else:
@@ -390,7 +391,7 @@ class Encoder:
     """Text columns to ids; ``merge`` turns new words into ids. The memory of known words is bounded."""
 
     def __init__(self, vocab: Vocabulary, merge=None, most: int = 400_000):
-        self.vocab, self.splitter, self.most = vocab, Splitter(vocab), most
+        self.vocab, self.splitter, self.most = vocab, Splitter(vocab.folded, vocab.special), most
         self.merge = merge or vocab.merge
         self._forget()
 
