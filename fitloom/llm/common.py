@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,3 +99,20 @@ def keep_only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     name = fresh(docs, "row")
     marked = docs.withColumn(name, stable_row(docs))
     return marked.join(kept.select(F.col("row").alias(name)), name, "left_semi").select(*docs.columns)
+
+
+class Shipped:
+    """A broadcast object whose class travels with it: executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, thing):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+        self.thing = thing
+
+    def __getstate__(self) -> dict:
+        return {"sent": self.sent, "thing": None}
+
+    @property
+    def value(self):
+        if self.thing is None:
+            self.thing = cloudpickle.loads(self.sent.value)
+        return self.thing

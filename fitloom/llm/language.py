@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import bucket_of, pieces
+from fitloom.llm.common import Shipped, bucket_of, pieces
 from fitloom.llm.subwords import Splitter
 
 FOLDS = 5
@@ -214,7 +214,7 @@ def predictions(docs: DataFrame, folds: int = FOLDS, rows: int = SAMPLE_ROWS, ch
 
 
 def _judged(frame: DataFrame, docs: DataFrame, folds: int, rows: int, chars: int, keep: bool = False) -> DataFrame:
-    parser = docs.sparkSession.sparkContext.broadcast(Parser(labelled_sample(docs, rows, chars, folds)))
+    parser = Shipped(docs.sparkSession, Parser(labelled_sample(docs, rows, chars, folds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(parser.value)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import pieces, stored
+from fitloom.llm.common import Shipped, pieces, stored
 from fitloom.llm.subwords import Encoder, broadcast_vocabulary
 
 END_ID = 2
@@ -178,7 +178,7 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = END_
     # at most `limit` rows
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
         histogram[row["length"]] = row["n"]
-    plan = spark.sparkContext.broadcast(Plan(fit_patterns(histogram, limit), limit))
+    plan = Shipped(spark, Plan(fit_patterns(histogram, limit), limit))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fitloom.llm import chat, exact_dedup, language, lexicon, licenses, packing, simhash, token_counts, vector_dedup
+from fitloom.llm import chat, exact_dedup, language, lexicon, licenses, lm_scoring, packing, simhash, token_counts, vector_dedup
 from fitloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,11 @@ def lexicon_bpe(spark, sf_dir):
     return lexicon.transcode(docs, public_tokenizers.path("word_bpe_49k.json"), lexicon.digests)
 
 
+@query("op6_attention_scores")
+def attention_scores(spark, sf_dir):
+    return lm_scoring.scores(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op7_cross_parsing")
 def cross_parsing(spark, sf_dir):
     return language.predictions(read(spark, sf_dir, "documents"))

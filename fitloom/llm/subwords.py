@@ -15,7 +15,7 @@ import regex
 import unicodedata
 from pyspark.sql import SparkSession
 
-from fitloom.llm.common import ragged, text_buffer
+from fitloom.llm.common import Shipped, ragged, text_buffer
 
 LETTER, DIGIT, OTHER, SPACE = 0, 1, 2, 3
 NEVER = np.int32(2**31 - 1)
@@ -237,7 +237,7 @@ class Vocabulary:
 def broadcast_vocabulary(spark: SparkSession, path: str):
     """Tables of the tokenizer file at ``path`` for all workers: a few MB whatever the input."""
     with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(Vocabulary(f.read()))
+        return Shipped(spark, Vocabulary(f.read()))
 
 
 def fold(text: str) -> str:

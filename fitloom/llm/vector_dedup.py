@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import row_id, stored
+from fitloom.llm.common import Shipped, row_id, stored
 from fitloom.llm.components import components
 
 BLOCKS = 4
@@ -125,7 +125,7 @@ def _code(cells: np.ndarray) -> np.ndarray:
 def link_counts(reps: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, grid_axes: int = GRID_AXES) -> DataFrame:
     """rep, links, other: links adds up, over a rep's rows, to the number of vectors in other groups that
     are linked to it; other is a rep that it is connected with, or null."""
-    plan = reps.sparkSession.sparkContext.broadcast(Blocks(main_axes(reps), cosine, blocks, grid_axes))
+    plan = Shipped(reps.sparkSession, Blocks(main_axes(reps), cosine, blocks, grid_axes))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
