@@ -36,7 +36,7 @@ class Tables:
         self.prior = np.log(np.maximum(mass, 0.5) / mass.sum())
         own = ROWS - CLASSES - 1
         self.row_of = own + self.class_of
-        self.row_of[order[:own]] = np.arange(own)
+        self.row_of[order[:own]] = np.arange(size)[:own]
         self.begin = ROWS - 1
 
     @staticmethod

@@ -27,10 +27,10 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root for every node of the links (a, b): root is the smallest node that it is connected to.
+    """node, root for every node that the links (a, b) connect to a smaller one: root is the smallest.
 
     Every round writes its links to the shared folder, so plans stay short and lost executors cost
-    one round. Nodes without links to others have no row.
+    one round. Roots themselves have no row.
     """
     ends = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     current = stored(ends.distinct())

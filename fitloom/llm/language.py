@@ -146,9 +146,9 @@ class Parser:
                 live = int(np.searchsorted(-sizes, -step, side="left"))
                 char = letters[starts[order[:live]] + step]
                 to = table[state[:live], char]
+                # a new phrase begins where the open one can't go on, and after an unknown letter
+                count[:live] += (to == 0) | (state[:live] == 0)
                 stop = np.flatnonzero(to == 0)
-                # the open phrase ends; a new one begins with this letter, known or not
-                count[stop] += 1
                 to[stop] = table[0, char[stop]]
                 state[:live] = to
             out[order, k] = count

@@ -69,50 +69,58 @@ def document_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id:
 
 
 def fit_patterns(histogram: np.ndarray, limit: int, rounds: int = 200) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) that use up ``histogram[length]`` exactly; at most ``limit`` lengths each.
+    """(lengths, repeats) that use up ``histogram[length]`` exactly.
 
-    The number of patterns depends on ``limit`` only, not on the counts.
+    Fitted patterns and best-fit ones for the rest; if fitting only the patterns of pieces over half the
+    limit, or none at all, gives fewer sequences, that. The number of patterns depends on ``limit``
+    only, not on the counts.
     """
-    left = histogram.astype(np.int64).copy()
+    whole = histogram[:limit + 1].astype(np.int64)
+    plans = []
+    columns = _columns(whole, limit)
+    for least in (1, limit // 2, limit):
+        left, out = whole.copy(), []
+        some = columns[columns[:, 0] >= least]
+        for row, times in zip(some.tolist(), _least_squares(some, left, rounds).tolist()):
+            need: dict[int, int] = {}
+            for x in row:
+                if x:
+                    need[x] = need.get(x, 0) + 1
+            times = min([times, *(left[x] // k for x, k in need.items())])
+            if times > 0:
+                for x, k in need.items():
+                    left[x] -= times * k
+                out.append((tuple(x for x in row if x), int(times)))
+        plans.append(out + _best_fit(left, limit))
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def _columns(histogram: np.ndarray, limit: int) -> np.ndarray:
+    """Two or three lengths that occur and fill a sequence, longest first; 0 for "no third"."""
+    have = np.flatnonzero(histogram[1:limit]) + 1
+    present = np.zeros(limit + 1, bool)
+    present[have] = True
+    a, b = (x.ravel() for x in np.meshgrid(have, have, indexing="ij"))
+    c = limit - a - b
+    ok = (a >= b) & (b >= c) & (c >= 0)
+    ok[ok] = (c[ok] == 0) | present[c[ok]]
+    columns = np.stack([a[ok], b[ok], c[ok]], 1)
+    # long pieces choose their partners first
+    return columns[np.argsort(-columns[:, 0], kind="stable")]
+
+
+def _best_fit(left: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]:
+    """The longest piece that is left, then always the longest that still fits, as often as it goes."""
     out: list[tuple[tuple[int, ...], int]] = []
-    have = np.flatnonzero(left[1:limit]) + 1
-    if len(have):
-        present = np.zeros(limit + 1, bool)
-        present[have] = True
-        pairs = [(limit - a, a) for a in have.tolist() if 2 * a <= limit and present[limit - a]]
-        a, b = (x.ravel() for x in np.meshgrid(have, have, indexing="ij"))
-        c = limit - a - b
-        ok = (a >= b) & (b >= c) & (c > 0)
-        ok[ok] = present[c[ok]]
-        columns = np.concatenate([
-            np.array([(x, y, 0) for x, y in pairs], np.int64).reshape(-1, 3),
-            np.stack([a[ok], b[ok], c[ok]], 1)])
-        if len(columns):
-            for row, times in zip(columns.tolist(), _least_squares(columns, left[:limit + 1], rounds).tolist()):
-                need: dict[int, int] = {}
-                for x in row:
-                    if x:
-                        need[x] = need.get(x, 0) + 1
-                times = min([times, *(left[x] // k for x, k in need.items())])
-                if times > 0:
-                    for x, k in need.items():
-                        left[x] -= times * k
-                    out.append((tuple(x for x in row if x), int(times)))
-    if left[limit]:
-        out.append(((limit,), int(left[limit])))
-        left[limit] = 0
-    # what is left: the longest piece, then always the longest that still fits
     while (rest := np.flatnonzero(left)).size:
         gap, pattern, used = limit, [], {}
-        while (fits := rest[rest <= gap]).size:
-            free = [x for x in fits[::-1][:64].tolist() if left[x] > used.get(x, 0)]
-            if not free:
-                free = [x for x in fits[::-1].tolist() if left[x] > used.get(x, 0)]
-            if not free:
+        while True:
+            fits = (x for x in rest[:np.searchsorted(rest, gap, side="right")][::-1].tolist() if left[x] > used.get(x, 0))
+            if (x := next(fits, 0)) == 0:
                 break
-            pattern.append(free[0])
-            used[free[0]] = used.get(free[0], 0) + 1
-            gap -= free[0]
+            pattern.append(x)
+            used[x] = used.get(x, 0) + 1
+            gap -= x
         times = min(int(left[x]) // k for x, k in used.items())
         for x, k in used.items():
             left[x] -= times * k
@@ -123,10 +131,12 @@ def fit_patterns(histogram: np.ndarray, limit: int, rounds: int = 200) -> list[t
 def _least_squares(columns: np.ndarray, target: np.ndarray, rounds: int) -> np.ndarray:
     """Non-negative repeat counts whose patterns come nearest to the histogram, rounded.
 
-    Multiplicative updates x * A'h / A'Ax keep every count non-negative; place 0 stands for "no third".
+    Multiplicative updates x * A'h / A'Ax keep every count non-negative.
     """
-    target = target.astype(np.float64).copy()
+    target = target.astype(np.float64)
     target[0] = 0
+    if not len(columns):
+        return np.zeros(0, np.int64)
     pull = target[columns].sum(1)
     x = pull / (columns > 0).sum(1)
     x *= target.sum() / max(1.0, (x * (columns > 0).sum(1)).sum())
