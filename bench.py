@@ -37,7 +37,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    inputs = catalog.Inputs(spark, sf_dir)
+    inputs = catalog.Inputs(spark, sf_dir, partitions=int(cpus))  # the tables have one row group each
     inputs.documents.count()  # JVM warm-up, not measured
     times = {}
     for name in names:

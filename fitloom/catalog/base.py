@@ -41,11 +41,11 @@ SELECT n_name AS grp, o_orderkey AS row_id, l_linenumber AS pos, l_partkey AS su
 {_BASKET_JOIN}""",
     # documents as postings, with every kind of missing value and list text
     "postings": """
-SELECT doc_id AS row_id, lang AS category, split_part(text, '.', 1) AS job_title,
+SELECT doc_id AS row_id, lang AS category, text AS job_title,
        CASE WHEN doc_id % 17 = 0 THEN NULL
             WHEN doc_id % 23 = 0 THEN '  '
             ELSE replace(text, '. ', concat('.', chr(10), '- ')) END AS description,
-       CASE WHEN doc_id % 5 = 0 THEN '' ELSE split_part(text, chr(10), 1) END AS requirements_text,
+       CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat('Requires ', source, ' / ', lang, ' with ', CAST(n_chars AS VARCHAR(20)), ' characters') END AS requirements_text,
        CASE WHEN doc_id % 7 = 0 THEN 'python3'
             WHEN doc_id % 7 = 1 THEN ''
             ELSE concat('[''', source, ''', ''rest api'', ''  k8s '', '''']') END AS technical_skills,
@@ -66,10 +66,11 @@ SELECT event_id AS id, ts AS created_at, user_id, event_type AS occupation_key,
 FROM events""",
     "catalog_old": """
 SELECT p_partkey AS key, p_name AS display, p_size AS core_skill_count
-FROM part WHERE p_retailprice < 1500""",
+FROM part""",
     "catalog_new": """
-SELECT p_partkey AS key, concat(p_name, ' ', p_brand) AS display, p_size + 1 AS core_skill_count
-FROM part WHERE p_type <> 'PROMO'""",
+SELECT p_partkey + CASE WHEN p_size > 25 THEN 1000000 ELSE 0 END AS key,
+       concat(p_name, ' ', p_brand) AS display, p_size + 1 AS core_skill_count
+FROM part""",
     # items a customer has bought; the target group is the next nation
     "candidates": """
 SELECT DISTINCT c_custkey AS doc_id, concat('nation_', CAST((c_nationkey + 1) % 25 AS VARCHAR(10)))
@@ -141,11 +142,11 @@ def rounded(expr: str, digits: int) -> str:
 class Inputs:
     """Tables and views of one data folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+    def __init__(self, spark: SparkSession, sf_dir: str, partitions: int | None = None):
+        self.spark, self.sf_dir, self.partitions = spark, sf_dir.rstrip("/"), partitions
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
+        return read_table(self.spark, f"{self.sf_dir}/{name}.parquet", self.partitions)
 
     def view(self, name: str) -> DataFrame:
         text = VIEWS[name]

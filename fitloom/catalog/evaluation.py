@@ -54,7 +54,7 @@ _TFIDF = [
     ("grams", """SELECT pair_id, side, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)),
         lambda i: concat(w[i], ' ', w[i + 1])))) AS term FROM words"""),
     ("tf", "SELECT pair_id, side, term, count(*) AS n FROM grams GROUP BY ALL"),
-    ("vocab", "SELECT term, count(*) AS df FROM tf GROUP BY term ORDER BY sum(n) DESC, term LIMIT 20000"),
+    ("vocab", "SELECT term, count(*) AS df FROM tf GROUP BY term"),
     ("idf", "SELECT term, ln((1 + 2 * (SELECT count(*) FROM labelled)) / (1 + df)) + 1 AS idf FROM vocab"),
     ("tfw", "SELECT pair_id, side, term, n * idf AS w FROM tf JOIN idf USING (term)"),
     ("norms", "SELECT pair_id, side, sqrt(sum(w * w)) AS norm FROM tfw GROUP BY ALL"),
@@ -97,12 +97,12 @@ def pairs_sql(select, *ctes):
 
 def labelled(t):
     """Cleaned pairs with whole texts, stored once for all predictors."""
-    return cut(evaluate.labelled_pairs(t.pairs, True, texts.ALIASES, None, None))
+    return cut(evaluate.labelled_pairs(t.pairs, True, texts.ALIASES))
 
 
 # --- data ----------------------------------------------------------------------------------
 
-@query("labelled_pairs", oracle(["pairs"], [_SCORED, _labelled("substr(s1, 1, 3000)", "substr(s2, 1, 2000)")],
+@query("labelled_pairs", oracle(["pairs"], LABELLED,
        "SELECT pair_id, sentence1, sentence2, label FROM labelled"))
 def labelled_pairs(t):
     return evaluate.labelled_pairs(t.pairs, True, texts.ALIASES)

@@ -228,13 +228,14 @@ def item_weights(t):
 
 @query("combined_weights", sql(f"""SELECT coalesce(f.occ_key, t.occ_key) AS occ_key,
     coalesce(f.item, t.item) AS item, {rounded('0.8::DOUBLE * coalesce(freq_norm, 0) + 0.2::DOUBLE * coalesce(tfidf, 0)', 4)} AS weight
-    FROM (SELECT occ_key, item, freq_norm FROM scored_items WHERE df < 20) f
-    FULL JOIN (SELECT occ_key, item, tfidf FROM scored_items WHERE df > 8) t
+    FROM (SELECT occ_key, CASE WHEN df < 20 THEN item ELSE concat(item, ' *') END AS item, freq_norm FROM scored_items) f
+    FULL JOIN (SELECT occ_key, CASE WHEN df > 8 THEN item ELSE concat(item, ' +') END AS item, tfidf FROM scored_items) t
     ON f.occ_key = t.occ_key AND f.item = t.item"""))
 def combined_weights(t):
     scored = weights(t)
-    freq = scored.filter("df < 20").select("occ_key", "item", "freq_norm")
-    spec = scored.filter("df > 8").select("occ_key", "item", "tfidf")
+    # items that one side has under a name of its own are missing on the other
+    freq = scored.selectExpr("occ_key", "if(df < 20, item, concat(item, ' *')) AS item", "freq_norm")
+    spec = scored.selectExpr("occ_key", "if(df > 8, item, concat(item, ' +')) AS item", "tfidf")
     return profile.combine_weights(freq, spec).select("occ_key", "item", "weight")
 
 

@@ -142,10 +142,10 @@ _CLEANED = [
         generate_subscripts(regexp_split_to_array(CASE WHEN {trim_sql('description')} = '' THEN requirements_text ELSE description END,
             '[\\n\\r][-•*–]\\s*|[\\n\\r]\\d+[.)]\\s+|[\\n\\r]{{2,}}'), 1) AS i FROM cleaned)"""),
     ("seg_firsts", f"""SELECT row_id, min(i) AS i, arg_min(seg, i) AS seg FROM segments WHERE length(seg) >= 20
-        GROUP BY row_id, substr(lower(seg), 1, 80)"""),
+        GROUP BY row_id, lower(seg)"""),
     ("seg_ranked", "SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY i) AS pos FROM seg_firsts"),
     ("seg_lists", """SELECT row_id, list(seg ORDER BY pos) AS responsibilities FROM seg_ranked
-        WHERE pos <= 20 GROUP BY row_id"""),
+        GROUP BY row_id"""),
     ("records", f"""SELECT l.row_id, category AS occupation, {distinct_sql('all_items')} AS skills,
         coalesce(responsibilities, CAST([] AS VARCHAR[])) AS responsibilities
         FROM listed l LEFT JOIN seg_lists USING (row_id)"""),
@@ -255,11 +255,11 @@ def truncate_text(t):
                               X.truncate(c, rules.MAX_JOB_CHARS).alias("job"))
 
 
-_LABEL = "concat('  ', source, ' Of ', split_part(text, '.', 1), '_x ')"
+_LABEL = "concat('  ', source, ' Of ', text, '_x ')"
 
 
 def _label():
-    return F.concat(F.lit("  "), "source", F.lit(" Of "), F.split_part("text", F.lit("."), F.lit(1)), F.lit("_x "))
+    return F.concat(F.lit("  "), "source", F.lit(" Of "), "text", F.lit("_x "))
 
 
 @query("group_key", f"SELECT doc_id, replace(lower({trim_sql(_LABEL)}), ' ', '_') AS occ_key FROM documents")
@@ -346,7 +346,7 @@ def merge_items(t):
         stop_items=STOP), "|").alias("items"))
 
 
-@query("segment_text", postings_sql("""SELECT row_id, CAST(pos AS INTEGER) AS pos, seg FROM seg_ranked WHERE pos <= 20"""))
+@query("segment_text", postings_sql("""SELECT row_id, CAST(pos AS INTEGER) AS pos, seg FROM seg_ranked"""))
 def segment_text(t):
     rows = cleaned_postings(t).select("row_id", F.posexplode(
         extract.segments(F.col("description"), F.col("requirements_text"))).alias("pos", "seg"))
@@ -372,10 +372,10 @@ def candidate_items(t):
 _GROUP_SEGMENTS = [
     ("flat", """SELECT replace(lower(trim(occupation)), ' ', '_') AS occ_key, row_id,
         unnest(responsibilities) AS seg, generate_subscripts(responsibilities, 1) AS pos FROM records"""),
-    ("flat_firsts", """SELECT *, row_number() OVER (PARTITION BY occ_key, substr(lower(seg), 1, 80)
+    ("flat_firsts", """SELECT *, row_number() OVER (PARTITION BY occ_key, lower(seg)
         ORDER BY row_id, pos) AS rn FROM flat WHERE length(seg) >= 15"""),
     ("group_segs", """SELECT * FROM (SELECT occ_key, seg, row_number() OVER (PARTITION BY occ_key ORDER BY row_id, pos)
-        AS rank FROM flat_firsts WHERE rn = 1) WHERE rank <= 50"""),
+        AS rank FROM flat_firsts WHERE rn = 1)"""),
 ]
 
 

@@ -50,11 +50,11 @@ def kb_embeddings(t):
 
 
 _TEXT = """concat_ws(' ', concat('Occupation: ', occupation, '.'),
-    CASE WHEN len(core_names) > 0 THEN concat('Core skills: ', array_to_string(core_names[1:20], ', '), '.') END,
-    CASE WHEN len(core_names) > 0 THEN concat('Key competencies: ', array_to_string(core_names[1:10], ', '), '.') END,
-    CASE WHEN len(optional_names) > 0 THEN concat('Additional skills: ', array_to_string(optional_names[1:10], ', '), '.') END,
+    CASE WHEN len(core_names) > 0 THEN concat('Core skills: ', array_to_string(core_names, ', '), '.') END,
+    CASE WHEN len(core_names) > 0 THEN concat('Key competencies: ', array_to_string(core_names, ', '), '.') END,
+    CASE WHEN len(optional_names) > 0 THEN concat('Additional skills: ', array_to_string(optional_names, ', '), '.') END,
     CASE WHEN len(segs) > 0 THEN concat('Responsibilities: ', array_to_string(
-        list_transform(segs[1:5], lambda s: concat(rtrim(trim(s), '.'), '.')), ' ')) END)"""
+        list_transform(segs, lambda s: concat(rtrim(trim(s), '.'), '.')), ' ')) END)"""
 
 
 @query("group_text", texts.postings_sql(f"SELECT occ_key, {_TEXT} AS text FROM enriched", texts._ENRICHED))
@@ -66,13 +66,13 @@ def group_text(t):
 
 
 _CAND = """concat_ws(' ',
-    CASE WHEN len(skills) > 0 THEN concat('Skills: ', array_to_string(skills[1:30], ', '), '.') END,
-    CASE WHEN len(skills) > 0 THEN concat('Key competencies: ', array_to_string(skills[1:10], ', '), '.') END,
+    CASE WHEN len(skills) > 0 THEN concat('Skills: ', array_to_string(skills, ', '), '.') END,
+    CASE WHEN len(skills) > 0 THEN concat('Key competencies: ', array_to_string(skills, ', '), '.') END,
     CASE WHEN len(lines) > 0 THEN concat('Experience: ', array_to_string(
-        list_transform(lines[1:5], lambda s: concat(rtrim(trim(s, {sp}), '.'), '.')), ' ')) END)"""
+        list_transform(lines, lambda s: concat(rtrim(trim(s, {sp}), '.'), '.')), ' ')) END)"""
 
 
-@query("candidate_text", f"""SELECT doc_id, CASE WHEN body = '' THEN substr(text, 1, 2000) ELSE body END AS text
+@query("candidate_text", f"""SELECT doc_id, CASE WHEN body = '' THEN text ELSE body END AS text
     FROM (SELECT doc_id, text, {_CAND.format(sp=texts.SPACES)} AS body FROM (SELECT doc_id, text,
         {texts.distinct_sql('found')} AS skills,
         CASE WHEN doc_id % 2 = 0 THEN string_split(text, chr(10)) ELSE CAST([] AS VARCHAR[]) END AS lines

@@ -17,13 +17,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def keep_rows(df: DataFrame, keep: Callable[[Column], Column]) -> DataFrame:
-    """Filter on computed columns without having the optimizer compute them twice.
+def keep_rows(df: DataFrame, made: dict[str, Column], keep: Callable[[Column], Column]) -> DataFrame:
+    """``df.withColumns(made)`` where ``keep`` holds, without computing ``made`` twice.
 
-    ``keep`` gets the row as a struct.
+    ``keep`` gets the computed columns as a struct.  All other columns stay outside of it, so that
+    unused ones are pruned and filters on them reach the scan.
     """
-    rows = F.filter(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns])), keep)
-    return df.select(F.inline(rows))
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in made]
+    rows = F.filter(F.array(F.struct(*[c.alias(n) for n, c in made.items()])), keep)
+    return df.select(*rest, F.inline(rows)).select(*df.columns, *[n for n in made if n not in df.columns])
 
 
 def ordered_distinct(items: Column, key: Callable[[Column], Column], limit: int | None = None) -> Column:

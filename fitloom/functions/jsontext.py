@@ -135,17 +135,19 @@ def normalize_review(c: Column) -> Column:
 
 # --- prompt texts --------------------------------------------------------------------------
 
-def inline_list(items: Column, limit: int) -> Column:
-    """First items in one line, with the number of the rest."""
+def inline_list(items: Column, limit: int | None = None) -> Column:
+    """Items in one line; beyond ``limit`` only their number."""
     n = F.size(items)
+    if limit is None:
+        return F.when(n <= 0, NONE).otherwise(F.array_join(items, ", "))
     rest = F.when(n > limit, F.concat(F.lit(" … (+"), (n - limit).cast("string"), F.lit(")"))) \
             .otherwise(F.lit(""))
     shown = F.concat(F.array_join(F.slice(items, 1, limit), ", "), rest)
     return F.when(n <= 0, NONE).otherwise(shown)
 
 
-def bullet_list(items: Column, limit: int) -> Column:
-    shown = F.transform(F.slice(items, 1, limit), lambda x: F.concat(F.lit("  - "), x))
+def bullet_list(items: Column, limit: int | None = None) -> Column:
+    shown = F.transform(items if limit is None else F.slice(items, 1, limit), lambda x: F.concat(F.lit("  - "), x))
     return F.when(F.size(items) <= 0, "  " + NONE).otherwise(F.array_join(shown, "\n"))
 
 
@@ -153,15 +155,20 @@ def whole_percent(score: Column) -> Column:
     return F.bround(score * 100, 0).cast("int").cast("string")
 
 
-def prompt_fields(df):
-    """H3: texts of a review request, one row per document, for any batch-inference job."""
-    limits = {"core_skills": 20, "skills": 30, "matched_skills": 30, "missing_skills": 25,
-              "education": 5}
-    bullets = {"experience": 8, "projects": 8}
+INLINE = ("core_skills", "skills", "matched_skills", "missing_skills", "education")
+BULLETS = ("experience", "projects")
+
+
+def prompt_fields(df, limits: dict[str, int] | None = None):
+    """H3: texts of a review request, one row per document, for any batch-inference job.
+
+    Lists are whole unless ``limits`` has a number for them (`rules.PROMPT_LIMITS` for the usual one).
+    """
+    limits = limits or {}
     have = set(df.columns)
     return df.select(
         "doc_id", "target_key",
         *[whole_percent(F.col(c)).alias(c) for c in
           ("match_score", "semantic_similarity_score", "weighted_skill_score")],
-        *[inline_list(F.col(c), n).alias(c) for c, n in limits.items() if c in have],
-        *[bullet_list(F.col(c), n).alias(c) for c, n in bullets.items() if c in have])
+        *[inline_list(F.col(c), limits.get(c)).alias(c) for c in INLINE if c in have],
+        *[bullet_list(F.col(c), limits.get(c)).alias(c) for c in BULLETS if c in have])

@@ -34,33 +34,44 @@ def _sentences(items: Column) -> Column:
                                                               F.lit("."))), " ")
 
 
-def group_text(occupation: Column, core: Column, optional: Column, segments: Column) -> Column:
-    """Text of a group; arguments are item arrays, heaviest first."""
-    core = F.slice(core, 1, rules.MAX_CORE_IN_TEXT)
-    segs = F.filter(F.slice(segments, 1, rules.MAX_SEGMENTS_IN_TEXT), lambda s: ~is_blank(s))
+def _first(items: Column, limit: int | None) -> Column:
+    return items if limit is None else F.slice(items, 1, limit)
+
+
+def group_text(occupation: Column, core: Column, optional: Column, segments: Column,
+               max_core: int | None = None, max_repeated: int | None = None,
+               max_optional: int | None = None, max_segments: int | None = None) -> Column:
+    """Text of a group; arguments are item arrays, heaviest first.
+
+    Everything unless a limit is given; `rules.MAX_..._IN_TEXT` are those of the usual model input.
+    """
+    core = _first(core, max_core)
+    segs = F.filter(_first(segments, max_segments), lambda s: ~is_blank(s))
     return F.concat_ws(
         " ",
         F.concat(F.lit("Occupation: "), F.coalesce(occupation, F.lit("")), F.lit(".")),
         _listed("Core skills: ", core),
-        _listed("Key competencies: ", F.slice(core, 1, rules.MAX_REPEATED_IN_TEXT)),
-        _listed("Additional skills: ", F.slice(optional, 1, rules.MAX_OPTIONAL_IN_TEXT)),
+        _listed("Key competencies: ", _first(core, max_repeated)),
+        _listed("Additional skills: ", _first(optional, max_optional)),
         F.when(F.size(segs) > 0, F.concat(F.lit("Responsibilities: "), _sentences(segs))))
 
 
-def candidate_text(skills: Column, experience: Column, projects: Column, raw: Column) -> Column:
-    """Text of a candidate; the start of the raw text when the profile is empty."""
-    skills = F.slice(skills, 1, rules.MAX_CANDIDATE_ITEMS_IN_TEXT)
+def candidate_text(skills: Column, experience: Column, projects: Column, raw: Column,
+                   max_items: int | None = None, max_repeated: int | None = None,
+                   max_segments: int | None = None, max_raw: int | None = None) -> Column:
+    """Text of a candidate; the raw text when the profile is empty. Limits as in `group_text`."""
+    skills = _first(skills, max_items)
 
     def block(prefix, items):
         return F.when(F.size(items) > 0, F.concat(
-            F.lit(prefix), _sentences(F.slice(items, 1, rules.MAX_SEGMENTS_IN_TEXT))))
+            F.lit(prefix), _sentences(_first(items, max_segments))))
 
     text = F.concat_ws(
         " ", _listed("Skills: ", skills),
-        _listed("Key competencies: ", F.slice(skills, 1, rules.MAX_REPEATED_IN_TEXT)),
+        _listed("Key competencies: ", _first(skills, max_repeated)),
         block("Experience: ", experience), block("Projects: ", projects))
-    start = F.substring(F.coalesce(raw, F.lit("")), 1, rules.MAX_RAW_CHARS_IN_TEXT)
-    return F.when(text == "", start).otherwise(text)
+    raw = F.coalesce(raw, F.lit(""))
+    return F.when(text == "", raw if max_raw is None else F.substring(raw, 1, max_raw)).otherwise(text)
 
 
 # --- encoder -------------------------------------------------------------------------------

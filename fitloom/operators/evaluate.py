@@ -11,6 +11,7 @@ from fitloom.functions.arrays import keep_rows, let
 from fitloom.functions.items import match_key
 from fitloom.functions.numbers import minmax, round_half_even, score_bucket
 from fitloom.operators.extract import extract_items
+from fitloom.plans.materialize import cut
 
 RANK_PARTS = 1024
 HASH_DIGITS = 3
@@ -26,17 +27,20 @@ def scored_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def labelled_pairs(pairs: DataFrame, clean: bool = True, alias_rules=None,
-                   resume_chars: int | None = rules.MAX_RESUME_CHARS,
-                   job_chars: int | None = rules.MAX_JOB_CHARS) -> DataFrame:
-    """G1: (pair_id, sentence1, sentence2, label); the limits are the model's input size."""
+                   resume_chars: int | None = None, job_chars: int | None = None) -> DataFrame:
+    """G1: (pair_id, sentence1, sentence2, label). Texts are whole unless a limit is given, which is
+    then the model's input size."""
     def prepared(name, limit):
         c = X.clean_text(F.col(name), alias_rules) if clean else F.col(name)
         return X.truncate(c, limit) if limit else c
 
-    out = scored_pairs(pairs).select(
-        "pair_id", prepared("resume_text", resume_chars).alias("sentence1"),
-        prepared("job_text", job_chars).alias("sentence2"), "label")
-    return keep_rows(out, lambda row: ~X.is_blank(row["sentence1"]) & ~X.is_blank(row["sentence2"]))
+    rows = scored_pairs(pairs)
+    # cheap necessary conditions reach the scan
+    rows = rows.filter(~X.is_blank(F.col("resume_text")) & ~X.is_blank(F.col("job_text")))
+    return keep_rows(rows.select("pair_id", "label", "resume_text", "job_text"), {
+        "sentence1": prepared("resume_text", resume_chars), "sentence2": prepared("job_text", job_chars)},
+        lambda made: ~X.is_blank(made["sentence1"]) & ~X.is_blank(made["sentence2"])
+    ).select("pair_id", "sentence1", "sentence2", "label")
 
 
 def stratified_split(df: DataFrame, key: str = "pair_id", ratio: float = 0.1,
@@ -89,19 +93,20 @@ def error_columns(pred: Column, label: Column) -> dict[str, Column]:
     return {"mse": mse, "rmse": F.sqrt(mse), "mae": F.avg(F.abs(pred - label))}
 
 
-def average_ranks(df: DataFrame, value: str, by=()) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, by=(), weight: Column | None = None, parts: int = RANK_PARTS) -> DataFrame:
     """Rank of every distinct value of ``value``, ties share their mean rank.
 
-    No window spans the whole table.  Distinct values are counted, cut at approximate quantiles
-    into parts of similar size, and ranked inside their part on top of the part's offset.  The cut
-    is any monotone function of the value, so the result is exact whatever the quantiles are.
+    ``weight`` is the number of rows that a row stands for.  No window spans the whole table.
+    Distinct values are counted, cut at approximate quantiles into ``parts`` of similar size, and
+    ranked inside their part on top of the part's offset.  The cut is any monotone function of the
+    value, so the result is exact whatever the quantiles are.
     """
     by = list(by)
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    counts = df.groupBy(*by, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("_n"))
     cuts = counts.agg(F.percentile_approx(
-        value, [i / RANK_PARTS for i in range(1, RANK_PARTS)], 10000)).scalar()
+        value, [i / parts for i in range(1, parts)], 10000)).scalar()
     counts = counts.withColumn("_cuts", cuts)
-    steps = F.lit([1 << b for b in reversed(range(RANK_PARTS.bit_length()))])
+    steps = F.lit([1 << b for b in reversed(range(parts.bit_length()))])
 
     def search(at, step):
         nxt = at + step
@@ -111,27 +116,47 @@ def average_ranks(df: DataFrame, value: str, by=()) -> DataFrame:
     # never null: an inferred null check would run the search on every row below the count
     found = F.coalesce(F.aggregate(steps, F.lit(0), search), F.lit(0))
     counts = counts.withColumn("_part", found).drop("_cuts")
-    parts = counts.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"))
+    sizes = counts.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"))
     earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.select(*by, "_part",
+    sizes = sizes.select(*by, "_part",
                          F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
     inside = W.partitionBy(*by, "_part").orderBy(value)
     below = F.sum("_n").over(inside.rowsBetween(W.unboundedPreceding, 0))
-    return (counts.join(parts, [*by, "_part"])
+    return (counts.join(sizes, [*by, "_part"])
             .withColumn("rank", F.col("_offset") + below - (F.col("_n") - 1) / 2)
             .select(*by, value, "rank"))
 
 
-def with_ranks(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
+def value_counts(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
+    """Rows with both values, collapsed to (by, x, y, n): equal ones meet before any shuffle."""
+    return df.dropna(subset=[x, y]).groupBy(*by, x, y).agg(F.count("*").alias("n"))
+
+
+def with_ranks(counts: DataFrame, x: str, y: str, by=()) -> DataFrame:
+    """Adds rank_x and rank_y to `value_counts`, which should be stored: it is read three times."""
     for name, out in ((x, "rank_x"), (y, "rank_y")):
-        ranks = average_ranks(df.filter(F.col(name).isNotNull()), name, by)
-        df = df.join(ranks.withColumnRenamed("rank", out), [*by, name])
-    return df
+        ranks = average_ranks(counts, name, by, F.col("n"))
+        counts = counts.join(ranks.withColumnRenamed("rank", out), [*by, name])
+    return counts
+
+
+def weighted_pearson(x: str, y: str, n: str = "n") -> Column:
+    """Correlation of ranks over rows that stand for ``n`` rows each; 0 where it is undefined.
+
+    The spread of ranks is as large as their mean, so plain sums lose no digits.
+    """
+    total = lambda c: F.sum(F.col(n) * c)
+    size = F.sum(n).cast("double")
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    cov = total(a * b) - total(a) * total(b) / size
+    spread = F.sqrt((total(a * a) - total(a) * total(a) / size) * (total(b * b) - total(b) * total(b) / size))
+    return F.coalesce(F.when(spread > 1e-9 * size, F.try_divide(cov, spread)), F.lit(0.0))
 
 
 def spearman(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
-    """Rank correlation with average ranks, per ``by`` group."""
-    return with_ranks(df, x, y, by).groupBy(*by).agg(pearson("rank_x", "rank_y").alias("spearman"))
+    """Rank correlation with average ranks of the rows that have both values, per ``by`` group."""
+    counts = cut(value_counts(df, x, y, by))
+    return with_ranks(counts, x, y, by).groupBy(*by).agg(weighted_pearson("rank_x", "rank_y").alias("spearman"))
 
 
 def bucket_report(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
@@ -149,14 +174,17 @@ def bucket_report(df: DataFrame, pred: str = "pred", label: str = "label") -> Da
 
 
 def evaluate_predictions(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
-    """G4-G6 of one predictor, rounded as reported."""
-    ranked = with_ranks(df, pred, label)
+    """G4-G6 of one predictor over the rows that have both values, rounded as reported."""
+    counts = cut(value_counts(df, pred, label))
+    ranks = with_ranks(counts, pred, label).agg(
+        round_half_even(weighted_pearson("rank_x", "rank_y"), 4).alias("spearman"))
     errors = error_columns(F.col(pred), F.col(label))
-    return ranked.agg(
+    plain = df.dropna(subset=[pred, label]).agg(
         round_half_even(pearson(pred, label), 4).alias("pearson"),
-        round_half_even(pearson("rank_x", "rank_y"), 4).alias("spearman"),
         round_half_even(errors["mse"], 4).alias("mse"),
         round_half_even(errors["rmse"], 4).alias("rmse"))
+    # one row each
+    return plain.withColumn("spearman", ranks.scalar()).select("pearson", "spearman", "mse", "rmse")
 
 
 def method_report(predictions: DataFrame) -> DataFrame:
@@ -165,19 +193,20 @@ def method_report(predictions: DataFrame) -> DataFrame:
     Errors use predictions scaled to [0, 1] when any of the method's lies outside; correlations
     use them as they are.
     """
-    span = predictions.groupBy("method").agg(
-        F.min("pred").alias("lo"), F.max("pred").alias("hi"))
-    ranked = with_ranks(predictions, "pred", "label", by=("method",)).join(span, "method")
+    rows = predictions.dropna(subset=["pred", "label"])
+    counts = cut(value_counts(rows, "pred", "label", ("method",)))
+    ranks = with_ranks(counts, "pred", "label", ("method",)).groupBy("method").agg(
+        round_half_even(weighted_pearson("rank_x", "rank_y"), 4).alias("spearman"))
+    span = counts.groupBy("method").agg(F.min("pred").alias("lo"), F.max("pred").alias("hi"))
     outside = (F.col("lo") < 0) | (F.col("hi") > 1)
     scaled = F.when(outside, minmax(F.col("pred"), F.col("lo"), F.col("hi"), digits=None)) \
               .otherwise(F.col("pred"))
-    ranked = ranked.withColumn("scaled", scaled)
     errors = error_columns(F.col("scaled"), F.col("label"))
-    return ranked.groupBy("method").agg(
-        round_half_even(pearson("rank_x", "rank_y"), 4).alias("spearman"),
+    plain = rows.join(span, "method").withColumn("scaled", scaled).groupBy("method").agg(
         round_half_even(pearson("pred", "label"), 4).alias("pearson"),
         round_half_even(errors["rmse"], 4).alias("rmse"),
         round_half_even(errors["mae"], 4).alias("mae"))
+    return ranks.join(plain, "method").select("method", "spearman", "pearson", "rmse", "mae")
 
 
 def item_overlap(resume: Column, job: Column, patterns=None, stop_items=None) -> Column:
@@ -195,19 +224,24 @@ def item_overlap(resume: Column, job: Column, patterns=None, stop_items=None) ->
 def alpha_sweep(df: DataFrame, steps: int = 10) -> DataFrame:
     """Metrics of alpha * semantic + (1 - alpha) * overlap for alpha = 0 .. 1.
 
-    The best alpha by Spearman is flagged, the lowest one on a tie.
+    Equal rows are counted once, and the label is ranked once for all alphas.  The best alpha by
+    Spearman is flagged, the lowest one on a tie.
     """
+    rows = cut(df.dropna(subset=["semantic", "overlap", "label"])
+               .groupBy("semantic", "overlap", "label").agg(F.count("*").alias("n")))
+    labels = average_ranks(rows, "label", (), F.col("n")).withColumnRenamed("rank", "rank_y")
     grid = F.explode(F.lit([i / steps for i in range(steps + 1)])).alias("alpha")
-    combined = df.select("label", "semantic", "overlap", grid).select(
-        "alpha", "label",
+    combined = cut(rows.join(labels, "label").select("label", "rank_y", "n", "semantic", "overlap", grid).select(
+        "alpha", "label", "rank_y", "n",
         (F.col("alpha") * F.col("semantic") + (1 - F.col("alpha")) * F.col("overlap"))
-        .alias("combined"))
-    ranked = with_ranks(combined, "combined", "label", by=("alpha",))
+        .alias("combined")))
+    ranks = average_ranks(combined, "combined", ("alpha",), F.col("n")).withColumnRenamed("rank", "rank_x")
     clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("combined")))
-    report = ranked.groupBy("alpha").agg(
-        round_half_even(pearson("rank_x", "rank_y"), 4).alias("spearman"),
-        round_half_even(pearson("combined", "label"), 4).alias("pearson"),
-        round_half_even(error_columns(clipped, F.col("label"))["rmse"], 4).alias("rmse"))
+    error = (clipped - F.col("label")) ** 2
+    report = combined.join(ranks, ["alpha", "combined"]).groupBy("alpha").agg(
+        round_half_even(weighted_pearson("rank_x", "rank_y"), 4).alias("spearman"),
+        round_half_even(weighted_pearson("combined", "label"), 4).alias("pearson"),
+        round_half_even(F.sqrt(F.sum(F.col("n") * error) / F.sum("n")), 4).alias("rmse"))
     first = W.orderBy(F.desc("spearman"), "alpha")  # one row per alpha
     return report.withColumn("is_best", F.row_number().over(first) == 1)
 

@@ -5,6 +5,9 @@ Everything here is row-local: one projection over the scan, no shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +25,29 @@ def clean_postings(df: DataFrame, alias_rules=None) -> DataFrame:
     """Clean free text and lists, build ``full_text``, drop rows where it is blank."""
     free = [c for c in FREE_TEXT if c in df.columns]
     lists = [c for c in LISTS if c in df.columns]
-    df = df.withColumns({
-        **{c: X.clean_text(F.col(c), alias_rules) for c in free},
-        **{f"{c}_parsed": X.clean_list(F.col(c), alias_rules) for c in lists},
-    })
-    parts = [F.nullif(F.col(c), F.lit("")) for c in free]
-    parts += [F.nullif(F.array_join(f"{c}_parsed", ", "), F.lit("")) for c in lists]
-    df = df.withColumn("full_text", F.concat_ws("\n", *parts))
-    return keep_rows(df, lambda row: ~X.is_blank(row["full_text"]))
+    made = {**{c: X.clean_text(F.col(c), alias_rules) for c in free},
+            **{f"{c}_parsed": X.clean_list(F.col(c), alias_rules) for c in lists}}
+    # a row without any raw text has none after cleaning; this much reaches the scan
+    df = df.filter(reduce(or_, [~X.is_blank(F.col(c)) for c in (*free, *lists)], F.lit(False)))
+    named = F.struct(*[c.alias(n) for n, c in made.items()])
+
+    def full(row):
+        parts = [F.nullif(row[c], F.lit("")) for c in free]
+        parts += [F.nullif(F.array_join(row[f"{c}_parsed"], ", "), F.lit("")) for c in lists]
+        return F.struct(*[row[n].alias(n) for n in made], F.concat_ws("\n", *parts).alias("full_text"))
+
+    rows = F.filter(F.transform(F.array(named), full), lambda row: ~X.is_blank(row["full_text"]))
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in made]
+    new = [n for n in (*made, "full_text") if n not in df.columns]
+    return df.select(*rest, F.inline(rows)).select(*df.columns, *new)
 
 
 def clean_pairs(df: DataFrame, alias_rules=None) -> DataFrame:
     """Clean both texts, keep pairs where neither is blank."""
-    df = df.withColumns({c: X.clean_text(F.col(c), alias_rules) for c in ("resume_text", "job_text")})
-    return keep_rows(df, lambda row: ~X.is_blank(row["resume_text"]) & ~X.is_blank(row["job_text"]))
+    texts = ("resume_text", "job_text")
+    df = df.filter(~X.is_blank(F.col(texts[0])) & ~X.is_blank(F.col(texts[1])))
+    return keep_rows(df, {c: X.clean_text(F.col(c), alias_rules) for c in texts},
+                     lambda made: ~X.is_blank(made[texts[0]]) & ~X.is_blank(made[texts[1]]))
 
 
 def extract_items(c: Column, patterns=None, stop_items=None) -> Column:
@@ -64,16 +76,25 @@ def merge_items(*lists: Column, stop_items=None) -> Column:
     return ordered_distinct(kept, lambda x: F.lower(x))
 
 
-def segments(description: Column, fallback: Column, limit: int = rules.MAX_SEGMENTS_PER_ROW) -> Column:
-    """C4: bullet, number and paragraph segments of the description."""
+def segments(description: Column, fallback: Column, limit: int | None = None,
+             key_chars: int | None = None) -> Column:
+    """C4: bullet, number and paragraph segments of the description.
+
+    All distinct ones; ``limit`` keeps the first ones, ``key_chars`` compares only beginnings.
+    """
     source = F.when(X.is_blank(description), F.coalesce(fallback, F.lit(""))).otherwise(description)
     pattern = rules.SEGMENT_SPLIT.replace(r"\s", X.WS).replace(r"\d", r"\p{Nd}")
     header = "(?iU)^(?:" + "|".join(rules.SEGMENT_HEADERS) + rf")(?:{X.WS}|:)*$"
     parts = F.transform(F.split(source, pattern), X.strip)
     kept = F.filter(parts, lambda s: (F.length(s) >= rules.MIN_SEGMENT_CHARS)
                     & ~F.regexp_like(s, F.lit(header)))
-    key = lambda s: F.substring(F.lower(s), 1, rules.SEGMENT_KEY_CHARS)
-    return ordered_distinct(kept, key, limit)
+    return ordered_distinct(kept, lambda s: segment_key(s, key_chars), limit)
+
+
+def segment_key(segment: Column, key_chars: int | None = None) -> Column:
+    """What makes two segments the same: the text in lower case, or only its beginning."""
+    low = F.lower(segment)
+    return low if key_chars is None else F.substring(low, 1, key_chars)
 
 
 def extract_all(df: DataFrame, patterns=None, stop_items=None, extra=()) -> DataFrame:

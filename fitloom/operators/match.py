@@ -1,14 +1,13 @@
 """Matching documents to group profiles.
 
-A document row meets the profile row of its group in one join on the group key; all matching then
-happens inside the row, on arrays.  The stored profiles are small, so at run time the optimizer
-broadcasts them when their measured size allows and splits a skewed group otherwise.  Documents
-are never exploded, shuffled by item or paired with every group.
+Items of documents and of profiles are rows; they meet in one join on (group, match key), so the
+work and the output grow with the items and the matches, never with their product.  What a group
+misses is taken from a list that is made once per group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -16,125 +15,118 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitloom import rules
-from fitloom.functions.arrays import let
-from fitloom.functions.items import canonicalize, match_key
+from fitloom.functions.items import canonicalize
 from fitloom.functions.numbers import clamp01, round_half_even
-from fitloom.functions.text import strip
-from fitloom.functions.vectors import Encoder, HashingEncoder, semantic_score
+from fitloom.functions.text import display_name, strip
+from fitloom.functions.vectors import Encoder, HashingEncoder, embed, semantic_score
+from fitloom.plans.materialize import cut
 
-
-def profile_items(kb: DataFrame) -> DataFrame:
-    """Adds ``items``: both tiers of a profile in one list, heaviest first.
-
-    A name in both tiers keeps its core weight.
-    """
-    core_names = F.transform("core_skills", lambda s: s["item"])
-    optional = F.filter("optional_skills", lambda s: ~F.array_contains(core_names, s["item"]))
-
-    def entry(s):
-        return F.struct((-s["weight"]).alias("order"), s["item"].alias("item"),
-                        s["weight"].alias("weight"), match_key(s["item"]).alias("key"),
-                        canonicalize(s["item"]).alias("name"))
-
-    return kb.withColumn("items", F.sort_array(F.transform(F.concat("core_skills", optional), entry)))
-
-
-def candidate_keys(docs: DataFrame) -> DataFrame:
-    docs = docs.withColumn("skill_names", F.transform("skills", lambda s: canonicalize(s)))
-    return docs.withColumn("skill_keys", F.transform("skill_names", lambda s: F.lower(strip(s))))
+NAMES_PER_BLOCK = 4096
+DOC = ["doc_id", "target_key"]
+# Columns of documents that are part of the analysis record.
+RECORD = ("user_id", "cv_filename", "skills", "experience", "projects", "education")
 
 
-def _exact(items: Column, skills: Column, keys: Column) -> Column:
-    """items found under the same key; of repeated keys the last candidate item counts."""
-    def look(it, newest, names):
-        pos = F.array_position(newest, it["key"]).cast("int")
-        return let(pos, lambda p: F.struct(
-            it["item"].alias("item"), it["weight"].alias("weight"), it["key"].alias("key"),
-            F.when(p > 0, F.get(names, p - 1)).alias("candidate"),
-            F.when(p > 0, 1.0).otherwise(0.0).alias("similarity"),
-            (p > 0).alias("matched")))
-
-    return let(F.reverse(keys), lambda newest: let(F.reverse(skills), lambda names: F.transform(
-        items, lambda it: look(it, newest, names))))
-
-
-_BEST = "array<struct<position:int,similarity:double>>"
-
+def profile_items(kb: DataFrame) -> DataFrame:
+    """(target_key, item, weight, key, name): items of both tiers; a name in both keeps its core weight."""
+    def tier(column, number):
+        return kb.select(F.col("key").alias("target_key"), F.explode(column).alias("s")).select(
+            "target_key", "s.item", "s.weight", F.lit(number).alias("tier"))
 
-def _best_candidate(make_encoder: Callable[[], Encoder]):
-    """For every group item the most similar candidate item of the row (first on ties)."""
-    @F.pandas_udf(_BEST)
-    def best(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        encoder = make_encoder()
-        known: dict[str, np.ndarray] = {}
+    items = tier("core_skills", 0).union(tier("optional_skills", 1)).groupBy("target_key", "item").agg(
+        F.min_by("weight", "tier").alias("weight"))
+    return items.withColumn("name", canonicalize(F.col("item"))).withColumn("key", F.lower(strip(F.col("name"))))
 
-        def vectors(names):
-            new = [n for n in dict.fromkeys(names) if n not in known]
-            if new:
-                if len(known) > 100_000:
-                    known.clear()
-                    new = list(dict.fromkeys(names))
-                known.update(zip(new, encoder(new)))
-            return np.stack([known[n] for n in names])
 
-        def row(items, cands):
-            if items is None or not len(items):
-                return []
-            if cands is None or not len(cands):
-                return [{"position": None, "similarity": 0.0}] * len(items)
-            sims = np.round(vectors(list(items)) @ vectors(list(cands)).T, 6)
-            at = sims.argmax(axis=1)
-            return [{"position": int(j), "similarity": float(sims[i, j])} for i, j in enumerate(at)]
+def candidate_items(docs: DataFrame) -> DataFrame:
+    """(doc_id, target_key, key, candidate, first, name, position, spelled), one row per distinct key of a document.
 
-        for items, cands in batches:
-            yield pd.Series([row(i, c) for i, c in zip(items, cands)])
-    return best.asNondeterministic()  # keeps filters above it: it runs once per row
+    Of repeated keys the last item counts for an exact match, the first one for a similar name;
+    ``spelled`` are all of them with their positions.
+    """
+    each = docs.select(*DOC, F.posexplode("skills").alias("position", "item"))
+    each = each.withColumn("name", canonicalize(F.col("item"))).withColumn("key", F.lower(strip(F.col("name"))))
+    return each.groupBy(*DOC, "key").agg(
+        F.max_by("item", "position").alias("candidate"), F.min_by("item", "position").alias("first"),
+        F.min_by("name", "position").alias("name"), F.min("position").alias("position"),
+        F.collect_list(F.struct("position", "item")).alias("spelled"))
 
 
-def match_documents(docs: DataFrame, kb: DataFrame, mode: str = "exact",
-                    threshold: float = rules.SEMANTIC_ITEM_THRESHOLD,
-                    make_encoder: Callable[[], Encoder] = HashingEncoder) -> DataFrame:
-    """every document with the matches of its target group in ``matches``.
+def similar_names(left: DataFrame, right: DataFrame, threshold: float, make_encoder: Callable[[], Encoder]) -> DataFrame:
+    """(left_name, right_name, similarity) of all names that are at least ``threshold`` similar.
 
-    ``docs``: doc_id, target_key, skills, ...; ``kb``: key, core_skills, optional_skills, ...
-    Mode "semantic" looks for the closest candidate item where there is no exact match.
+    Distinct names are encoded once and compared block by block; only close pairs leave a block.
+    """
+    def encoded(names, out):
+        return cut(names.select(F.col("name").alias(out), embed(F.col("name"), make_encoder).alias("v")))
+
+    left, right = encoded(left, "left_name"), encoded(right, "right_name")
+    blocks = [max(1, -(-df.count() // NAMES_PER_BLOCK)) for df in (left, right)]
+
+    def dealt(df, name, own, other, side):
+        place = F.pmod(F.xxhash64(name), F.lit(own)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        return df.select(name, "v", *((place.alias("i"), every.alias("j")) if side else (every.alias("i"), place.alias("j"))))
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"left_name": [], "right_name": [], "similarity": []})
+        x, y = (np.array(df["v"].tolist(), dtype=np.float64) for df in (a, b))
+        sims = np.round(x @ y.T, 6)
+        i, j = np.nonzero(sims >= threshold)
+        return pd.DataFrame({"left_name": a["left_name"].to_numpy()[i], "right_name": b["right_name"].to_numpy()[j], "similarity": sims[i, j]})
+
+    return (dealt(left, "left_name", *blocks, True).groupBy("i", "j")
+            .cogroup(dealt(right, "right_name", *blocks[::-1], False).groupBy("i", "j"))
+            .applyInPandas(compare, "left_name string, right_name string, similarity double"))
+
+
+def match_rows(docs: DataFrame, kb: DataFrame, mode: str = "exact",
+               threshold: float = rules.SEMANTIC_ITEM_THRESHOLD,
+               make_encoder: Callable[[], Encoder] = HashingEncoder, keep_unmatched: bool = False) -> DataFrame:
+    """(doc_id, target_key, item, weight, candidate, similarity, key), one row per matched item.
+
+    ``docs``: doc_id (unique), target_key, skills, ...; ``kb``: key, core_skills, optional_skills, ...
+    Mode "semantic" takes the closest candidate item of the document for items without an exact
+    match, the first one on ties.  With ``keep_unmatched`` candidates that nothing used have a row
+    without item; ``spelled`` holds their texts.
     """
-    joined = candidate_keys(docs).join(
-        profile_items(kb), F.col("target_key") == F.col("key"))
-    exact = _exact(F.col("items"), F.col("skills"), F.col("skill_keys"))
-    joined = joined.withColumn("matches", exact)
+    candidates, items = candidate_items(docs), profile_items(kb)
+    how = "left" if keep_unmatched else "inner"
+    columns = [*DOC, "item", "weight", "candidate", "similarity", "key"] + ["spelled"] * keep_unmatched
     if mode != "semantic":
-        return joined
-    names = F.transform("items", lambda it: it["name"])
-    joined = joined.withColumn("_best", _best_candidate(make_encoder)(names, F.col("skill_names")))
-
-    def merge(m, b):
-        close = b["similarity"] >= threshold
-        return F.when(m["matched"], m).otherwise(F.struct(
-            m["item"].alias("item"), m["weight"].alias("weight"), m["key"].alias("key"),
-            F.when(close, F.get("skills", b["position"])).alias("candidate"),
-            round_half_even(b["similarity"], 4).alias("similarity"),
-            F.coalesce(close, F.lit(False)).alias("matched")))
-    return joined.withColumn("matches", F.zip_with("matches", "_best", merge)).drop("_best")
-
-
-def match_rows(matched: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Long form: one row per (document, group item)."""
-    return matched.select(doc_id, "target_key", F.explode("matches").alias("m")).select(
-        doc_id, "target_key", F.col("m.item").alias("item"), F.col("m.weight").alias("weight"),
-        F.col("m.candidate").alias("candidate"), F.col("m.similarity").alias("similarity"),
-        F.col("m.matched").alias("matched"))
-
-
-def _total(entries: Column) -> Column:
-    return F.aggregate(entries, F.lit(0.0), lambda s, m: s + m["weight"])
-
-
-def weighted_coverage(matches: Column) -> Column:
+        met = candidates.join(items.drop("name"), ["target_key", "key"], how)
+        return met.withColumn("similarity", F.when(F.col("item").isNotNull(), 1.0)).select(*columns)
+    candidates, items = cut(candidates), cut(items)
+    exact = candidates.join(items.drop("name"), ["target_key", "key"]).select(
+        *DOC, "item", "weight", "candidate", F.lit(1.0).alias("similarity"), "key")
+    close = similar_names(candidates.select("name").distinct(), items.select("name").distinct(), threshold, make_encoder)
+    near = candidates.select(*DOC, "key", "name", "first", "position").join(close, F.col("name") == F.col("left_name"))
+    near = near.drop("name").join(items.select("target_key", "item", "weight", F.col("name").alias("right_name")), ["target_key", "right_name"])
+    best = F.struct("similarity", -F.col("position"))
+    near = near.groupBy(*DOC, "item", "weight").agg(
+        F.max_by(F.struct("first", "key"), best).alias("c"), F.max("similarity").alias("similarity"))
+    near = near.join(exact.select(*DOC, "item"), [*DOC, "item"], "left_anti").select(
+        *DOC, "item", "weight", F.col("c.first").alias("candidate"),
+        round_half_even(F.col("similarity"), 4).alias("similarity"), F.col("c.key").alias("key"))
+    matched = exact.unionByName(near)
+    if not keep_unmatched:
+        return matched
+    return candidates.select(*DOC, "key", "spelled").join(matched, [*DOC, "key"], "left").select(*columns)
+
+
+def group_facts(kb: DataFrame, least: float = rules.TIER_IMPORTANT) -> DataFrame:
+    """(target_key, total, wanted): weight of all items of a group, and its items of the upper tiers,
+    heaviest first."""
+    order = F.when(F.col("weight") >= least, F.struct((-F.col("weight")).alias("order"), "item"))
+    return profile_items(kb).groupBy("target_key").agg(
+        F.sum("weight").alias("total"),
+        F.transform(F.sort_array(F.collect_list(order)), lambda s: s["item"]).alias("wanted"))
+
+
+def weighted_coverage(matched: Column, total: Column) -> Column:
     """weight of the matched items over the weight of all; no weight gives 0."""
-    total = _total(matches)
-    hit = _total(F.filter(matches, lambda m: m["matched"]))
-    return clamp01(F.when(total > 0, hit / total).otherwise(0.0))
+    return clamp01(F.when(total > 0, F.coalesce(matched, F.lit(0.0)) / total).otherwise(0.0))
 
 
 def final_score(semantic: Column, weighted: Column, alpha: float = rules.SEMANTIC_WEIGHT,
@@ -143,38 +135,41 @@ def final_score(semantic: Column, weighted: Column, alpha: float = rules.SEMANTI
     return clamp01(F.lit(alpha) * semantic + F.lit(beta) * weighted)
 
 
-def matched_items(matches: Column) -> Column:
-    return F.transform(F.filter(matches, lambda m: m["matched"]), lambda m: m["item"])
-
-
-def missing_items(matches: Column, least: float = rules.TIER_IMPORTANT) -> Column:
-    """unmatched items of the upper tiers, heaviest first (``matches`` is in that order)."""
-    gap = F.filter(matches, lambda m: ~m["matched"] & (m["weight"] >= least))
-    return F.transform(gap, lambda m: m["item"])
-
-
-def extra_items(matches: Column, skills: Column, skill_keys: Column) -> Column:
-    """candidate items that no match used."""
-    used = F.transform(F.filter(matches, lambda m: m["matched"]),
-                       lambda m: match_key(m["candidate"]))
-    return let(used, lambda u: F.filter(
-        skills, lambda s, i: ~F.array_contains(u, F.get(skill_keys, i))))
-
-
-def score_documents(matched: DataFrame, alpha: float = rules.SEMANTIC_WEIGHT,
-                    beta: float = rules.COVERAGE_WEIGHT) -> DataFrame:
-    """F3-F5 on matched documents; needs ``embedding`` and the group's ``group_embedding``."""
-    matches = F.col("matches")
-    staged = matched.withColumns({
-        "_semantic": F.coalesce(semantic_score(F.col("embedding"), F.col("group_embedding")),
-                                F.lit(0.0)),
-        "_weighted": weighted_coverage(matches)})
-    return staged.select(
-        "doc_id", "target_key",
+def gaps(docs: DataFrame, kb: DataFrame, **options) -> DataFrame:
+    """(doc_id, target_key, weighted, matched_skills, missing_skills, extra_skills) of every document
+    whose group is known; lists are heaviest first, extra items in the document's order."""
+    empty = F.array().cast("array<string>")
+    heaviest = F.when(F.col("item").isNotNull(), F.struct((-F.col("weight")).alias("order"), "item"))
+    found = match_rows(docs, kb, keep_unmatched=True, **options).groupBy(*DOC).agg(
+        F.sum("weight").alias("hit"),
+        F.transform(F.sort_array(F.collect_list(heaviest)), lambda s: s["item"]).alias("matched_skills"),
+        F.sort_array(F.flatten(F.collect_list(F.when(F.col("item").isNull(), F.col("spelled"))))).alias("extra"))
+    known = docs.select(*DOC).join(group_facts(kb).join(kb.select(F.col("key").alias("target_key")), "target_key", "right"), "target_key")
+    matched = F.coalesce("matched_skills", empty)
+    return known.join(found, DOC, "left").select(
+        *DOC, weighted_coverage(F.col("hit"), F.coalesce("total", F.lit(0.0))).alias("weighted"), matched.alias("matched_skills"),
+        F.array_except(F.coalesce("wanted", empty), matched).alias("missing_skills"),
+        F.coalesce(F.transform("extra", lambda s: s["item"]), empty).alias("extra_skills"))
+
+
+def score_documents(docs: DataFrame, kb: DataFrame, alpha: float = rules.SEMANTIC_WEIGHT,
+                    beta: float = rules.COVERAGE_WEIGHT, **options) -> DataFrame:
+    """F3-F5 as one record per document: scores, gaps, the group's display and core items, and the
+    columns of `RECORD` that ``docs`` has.
+
+    Needs ``embedding`` on both sides; texts and vectors stay out of the joins on items.
+    """
+    shown = F.col("occupation") if "occupation" in kb.columns else F.lit(None).cast("string")
+    groups = kb.select(F.col("key").alias("target_key"), F.col("embedding").alias("group_embedding"),
+                       F.coalesce(shown, display_name(F.col("key"))).alias("occupation_display"),
+                       F.transform("core_skills", lambda s: s["item"]).alias("core_skills"))
+    record = [c for c in RECORD if c in docs.columns]
+    semantic = F.coalesce(semantic_score(F.col("embedding"), F.col("group_embedding")), F.lit(0.0))
+    near = docs.join(groups, "target_key").select(*DOC, *record, "occupation_display", "core_skills", semantic.alias("_semantic"))
+    found = gaps(docs, kb, **options)
+    return near.join(found, DOC).select(
+        *DOC,
         round_half_even(F.col("_semantic"), 4).alias("semantic_similarity_score"),
-        round_half_even(F.col("_weighted"), 4).alias("weighted_skill_score"),
-        round_half_even(final_score(F.col("_semantic"), F.col("_weighted"), alpha, beta), 4)
-        .alias("match_score"),
-        matched_items(matches).alias("matched_skills"),
-        missing_items(matches).alias("missing_skills"),
-        extra_items(matches, F.col("skills"), F.col("skill_keys")).alias("extra_skills"))
+        round_half_even(F.col("weighted"), 4).alias("weighted_skill_score"),
+        round_half_even(final_score(F.col("_semantic"), F.col("weighted"), alpha, beta), 4).alias("match_score"),
+        "matched_skills", "missing_skills", "extra_skills", "occupation_display", "core_skills", *record)

@@ -15,6 +15,7 @@ from fitloom import rules
 from fitloom.functions.arrays import ordered_distinct
 from fitloom.functions.numbers import minmax, round_half_even
 from fitloom.functions.text import group_key, strip
+from fitloom.operators.extract import segment_key
 
 
 def known_groups(df: DataFrame, label: str = "occupation") -> DataFrame:
@@ -218,22 +219,26 @@ def item_spread(across: DataFrame) -> DataFrame:
         (F.max("tfidf") - F.min("tfidf")).alias("spread"))
 
 
-def group_segments(records: DataFrame, keys=("occ_key",),
-                   limit: int = rules.MAX_SEGMENTS_PER_GROUP) -> DataFrame:
-    """First ``limit`` distinct segments of a group in order of first sight."""
+def group_segments(records: DataFrame, keys=("occ_key",), limit: int | None = None,
+                   key_chars: int | None = None) -> DataFrame:
+    """Distinct segments of a group in order of first sight, the first ``limit`` of them if given.
+
+    Repeats meet by digest before the shuffle, so each text moves once per task.
+    """
     seg = (
         records.select(*keys, "row_id", F.posexplode("responsibilities").alias("pos", "seg"))
         .filter(F.length("seg") >= rules.MIN_GROUP_SEGMENT_CHARS)
         .withColumn("seg", strip(F.col("seg")))
-        .withColumn("prefix", F.substring(F.lower("seg"), 1, rules.SEGMENT_KEY_CHARS))
+        .withColumn("digest", F.sha2(segment_key(F.col("seg"), key_chars), 256))
     )
     first = (
-        seg.groupBy("prefix", *keys)  # the selective column first: it decides the sort
+        seg.groupBy("digest", *keys)  # the selective column first: it decides the sort
         .agg(F.min(F.struct("row_id", "pos", "seg")).alias("first"))
         .select(*keys, "first.*")
     )
     w = W.partitionBy(*keys).orderBy("row_id", "pos")
-    return first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    ranked = first.withColumn("rank", F.row_number().over(w))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def nest_segments(segs: DataFrame, keys=("occ_key",)) -> DataFrame:

@@ -28,15 +28,12 @@ def analyze(docs: DataFrame, kb: DataFrame, mode: str = "exact",
             make_encoder=HashingEncoder) -> DataFrame:
     """scores and gaps of every document for its target group.
 
-    ``docs``: doc_id, target_key, skills, embedding; ``kb``: key, core_skills, optional_skills,
-    embedding.  Documents with an unusable vector or an unknown group give no row (see
+    ``docs``: doc_id (unique), target_key, skills, embedding, and what else belongs to the record
+    (`match.RECORD`); ``kb``: key, core_skills, optional_skills, embedding.  Documents with an unusable vector or an unknown group give no row (see
     ``rejected``).
     """
     usable = docs.filter(~F.coalesce(has_nan(F.col("embedding")), F.lit(False)))
-    groups = kb.select("key", "core_skills", "optional_skills",
-                       F.col("embedding").alias("group_embedding"))
-    return match.score_documents(
-        match.match_documents(usable, groups, mode, threshold, make_encoder), alpha, beta)
+    return match.score_documents(usable, kb, alpha, beta, mode=mode, threshold=threshold, make_encoder=make_encoder)
 
 
 def rejected(docs: DataFrame, kb: DataFrame) -> DataFrame:

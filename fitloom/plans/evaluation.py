@@ -25,9 +25,8 @@ def compare_predictors(pairs: DataFrame, encoders: dict | None = None) -> DataFr
 
 def blend_inputs(pairs: DataFrame, make_encoder=HashingEncoder, patterns=None,
                  stop_items=None) -> DataFrame:
-    """Label, semantic score and item overlap of every pair, the input of the weight sweep."""
-    v = lexical.embed_cosine(pairs, make_encoder).select(
-        "pair_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "pred")).alias("semantic"))
+    """Label, semantic score and item overlap of every pair, the input of the weight sweep: one
+    projection, so repeated ids stay as many rows as they are."""
+    semantic = F.greatest(F.lit(0.0), F.least(F.lit(1.0), lexical.encoded_cosine(make_encoder)))
     overlap = evaluate.item_overlap(F.col("sentence1"), F.col("sentence2"), patterns, stop_items)
-    both = pairs.withColumn("overlap", overlap).select("pair_id", "label", "overlap").join(v, "pair_id")
-    return cut(both)
+    return cut(pairs.select("pair_id", "label", semantic.alias("semantic"), overlap.alias("overlap")))

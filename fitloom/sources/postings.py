@@ -12,11 +12,12 @@ def read_csv(spark: SparkSession, path: str, row_key: str | None = None) -> Data
     """CSV with quoted multi-line fields, all columns as text.
 
     Only the header is read to find the columns; there is no inference pass.  ``row_id`` comes
-    from ``row_key`` or, without one, from a hash of the row, so it survives retries.
+    from ``row_key`` or, without one, is the row's number within this read, so equal rows have ids
+    of their own.  A file of multi-line records is read by one task, in order, so a retry gives
+    the same numbers; store the table to keep them for another read.
     """
     df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
-    key = F.col(row_key) if row_key else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    return df.withColumn("row_id", key)
+    return df.withColumn("row_id", F.col(row_key) if row_key else F.monotonically_increasing_id())
 
 
 def valid_postings(df: DataFrame) -> DataFrame:

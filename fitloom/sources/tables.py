@@ -2,42 +2,11 @@
 
 from __future__ import annotations
 
-import os
-from urllib.parse import unquote, urlparse
-
 from pyspark.sql import DataFrame, SparkSession
 
-MIN_BYTES = 1 << 20
-BYTES_PER_CORE = 32 << 20
-
-
-def _local_bytes(df: DataFrame) -> int | None:
-    """Size of the files behind ``df`` when the driver can see them."""
-    total = 0
-    for name in df.inputFiles():
-        url = urlparse(name)
-        if url.scheme not in ("", "file"):
-            return None
-        try:
-            total += os.stat(unquote(url.path)).st_size
-        except OSError:
-            return None
-    return total
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small table to all cores.
-
-    A scan gives one task per row group, so a small table written as one row group would run all
-    regex work on one core.  Larger tables have enough row groups and are left alone: the limit is
-    a few megabytes per core, so this shuffle is always small.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = _local_bytes(df)
-    if size is None or not MIN_BYTES <= size < cores * BYTES_PER_CORE:
-        return df
-    return df.repartition(cores)
-
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spread(spark.read.parquet(path))
+def read_table(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A stored table. ``partitions`` deals its rows out anew, for small tables in one row group whose
+    rows are costly to work on; large ones have enough row groups."""
+    df = spark.read.parquet(path)
+    return df if partitions is None else df.repartition(partitions)

@@ -14,9 +14,11 @@ def file_extension(name):
     return F.lower(F.regexp_extract(name, r"[^/](\.[^./]+)$", 1))
 
 
-def ingest_gate(uploads: DataFrame, groups: DataFrame) -> DataFrame:
+def ingest_gate(uploads: DataFrame, groups: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Status of every upload: the first failed check decides, 200 passes.
 
+    ``section_text`` of passing ones is the whole body, or its first ``max_chars`` characters.
+
     ``uploads``: filename, n_bytes, body (extracted text), target_key; ``groups``: key.
     """
     known = groups.select(F.col("key").alias("target_key")).distinct().withColumn("known", F.lit(True))
@@ -29,4 +31,4 @@ def ingest_gate(uploads: DataFrame, groups: DataFrame) -> DataFrame:
         .otherwise(200))
     return (uploads.join(known, "target_key", "left").withColumn("status", status).drop("known")
             .withColumn("section_text", F.when(
-                F.col("status") == 200, truncate(F.col("body"), rules.MAX_SECTION_CHARS))))
+                F.col("status") == 200, F.col("body") if max_chars is None else truncate(F.col("body"), max_chars))))

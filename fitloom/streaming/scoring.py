@@ -8,33 +8,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fitloom.plans.analysis import analyze
+from fitloom.plans.analysis import analyze, rejected
+from fitloom.plans.materialize import cut
 from fitloom.sources.history import evaluation_rows
 
 log = logging.getLogger(__name__)
 
 
 def score_stream(docs: DataFrame, kb: DataFrame, scores_path: str, checkpoint: str,
-                 history_path: str | None = None, available_now: bool = True,
-                 **options) -> StreamingQuery:
+                 history_path: str | None = None, rejected_path: str | None = None,
+                 available_now: bool = True, **options) -> StreamingQuery:
     """Score a stream of documents against static profiles.
 
-    Stateless: a stream-static join, no watermark.  Each batch owns the folder of its id and
-    replaces it, so a repeated batch cannot write twice.  The history is written after the scores
-    and a failure there is logged, not raised: it must not lose a score.
+    Every batch is analysed as a table.  It owns the folder of its id and replaces it, so a
+    repeated batch cannot write twice.  Documents without a usable vector or group go to
+    ``rejected_path`` with the reason.  The history is written after the scores and a failure there
+    is logged, not raised: it must not lose a score.
     """
-    scored = analyze(docs, kb, **options)
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{scores_path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        arrived = cut(batch)
+        analyze(arrived, kb, **options).write.mode("overwrite").parquet(f"{scores_path}/batch_id={batch_id}")
+        if rejected_path is not None:
+            rejected(arrived, kb).write.mode("overwrite").parquet(f"{rejected_path}/batch_id={batch_id}")
         if history_path is None:
             return
         try:
-            stored = batch.sparkSession.read.parquet(f"{scores_path}/batch_id={batch_id}")
+            stored = spark.read.parquet(f"{scores_path}/batch_id={batch_id}")
             evaluation_rows(stored, F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")) \
                 .write.mode("overwrite").parquet(f"{history_path}/batch_id={batch_id}")
         except Exception:  # noqa: BLE001
             log.exception("history of batch %s was not written", batch_id)
 
-    writer = scored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
