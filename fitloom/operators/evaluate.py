@@ -140,23 +140,28 @@ def with_ranks(counts: DataFrame, x: str, y: str, by=()) -> DataFrame:
     return counts
 
 
-def weighted_pearson(x: str, y: str, n: str = "n") -> Column:
-    """Correlation of ranks over rows that stand for ``n`` rows each; 0 where it is undefined.
+def weighted_sums(x: str, y: str, prefix: str = "r", n: str = "n") -> list[Column]:
+    """What `weighted_pearson` needs of rows that stand for ``n`` rows each.
 
     The spread of ranks is as large as their mean, so plain sums lose no digits.
     """
-    total = lambda c: F.sum(F.col(n) * c)
-    size = F.sum(n).cast("double")
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
-    cov = total(a * b) - total(a) * total(b) / size
-    spread = F.sqrt((total(a * a) - total(a) * total(a) / size) * (total(b * b) - total(b) * total(b) / size))
-    return F.coalesce(F.when(spread > 1e-9 * size, F.try_divide(cov, spread)), F.lit(0.0))
+    terms = {"n": F.lit(1.0), "x": a, "y": b, "xx": a * a, "yy": b * b, "xy": a * b}
+    return [F.sum(F.col(n) * c).alias(f"_{prefix}_{k}") for k, c in terms.items()]
+
+
+def weighted_pearson(prefix: str = "r") -> Column:
+    """Correlation from `weighted_sums`; 0 where it is undefined."""
+    n, x, y, xx, yy, xy = (F.col(f"_{prefix}_{k}") for k in ("n", "x", "y", "xx", "yy", "xy"))
+    spread = F.sqrt((xx - x * x / n) * (yy - y * y / n))
+    return F.coalesce(F.when(spread > 1e-9 * n, F.try_divide(xy - x * y / n, spread)), F.lit(0.0))
 
 
 def spearman(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
     """Rank correlation with average ranks of the rows that have both values, per ``by`` group."""
     counts = cut(value_counts(df, x, y, by))
-    return with_ranks(counts, x, y, by).groupBy(*by).agg(weighted_pearson("rank_x", "rank_y").alias("spearman"))
+    return with_ranks(counts, x, y, by).groupBy(*by).agg(*weighted_sums("rank_x", "rank_y")).select(
+        *by, weighted_pearson().alias("spearman"))
 
 
 def bucket_report(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
@@ -176,8 +181,8 @@ def bucket_report(df: DataFrame, pred: str = "pred", label: str = "label") -> Da
 def evaluate_predictions(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
     """G4-G6 of one predictor over the rows that have both values, rounded as reported."""
     counts = cut(value_counts(df, pred, label))
-    ranks = with_ranks(counts, pred, label).agg(
-        round_half_even(weighted_pearson("rank_x", "rank_y"), 4).alias("spearman"))
+    ranks = with_ranks(counts, pred, label).agg(*weighted_sums("rank_x", "rank_y")).select(
+        round_half_even(weighted_pearson(), 4).alias("spearman"))
     errors = error_columns(F.col(pred), F.col(label))
     plain = df.dropna(subset=[pred, label]).agg(
         round_half_even(pearson(pred, label), 4).alias("pearson"),
@@ -196,7 +201,7 @@ def method_report(predictions: DataFrame) -> DataFrame:
     rows = predictions.dropna(subset=["pred", "label"])
     counts = cut(value_counts(rows, "pred", "label", ("method",)))
     ranks = with_ranks(counts, "pred", "label", ("method",)).groupBy("method").agg(
-        round_half_even(weighted_pearson("rank_x", "rank_y"), 4).alias("spearman"))
+        *weighted_sums("rank_x", "rank_y")).select("method", round_half_even(weighted_pearson(), 4).alias("spearman"))
     span = counts.groupBy("method").agg(F.min("pred").alias("lo"), F.max("pred").alias("hi"))
     outside = (F.col("lo") < 0) | (F.col("hi") > 1)
     scaled = F.when(outside, minmax(F.col("pred"), F.col("lo"), F.col("hi"), digits=None)) \
@@ -238,10 +243,11 @@ def alpha_sweep(df: DataFrame, steps: int = 10) -> DataFrame:
     ranks = average_ranks(combined, "combined", ("alpha",), F.col("n")).withColumnRenamed("rank", "rank_x")
     clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("combined")))
     error = (clipped - F.col("label")) ** 2
-    report = combined.join(ranks, ["alpha", "combined"]).groupBy("alpha").agg(
-        round_half_even(weighted_pearson("rank_x", "rank_y"), 4).alias("spearman"),
-        round_half_even(weighted_pearson("combined", "label"), 4).alias("pearson"),
-        round_half_even(F.sqrt(F.sum(F.col("n") * error) / F.sum("n")), 4).alias("rmse"))
+    sums = combined.join(ranks, ["alpha", "combined"]).groupBy("alpha").agg(
+        *weighted_sums("rank_x", "rank_y", "r"), *weighted_sums("combined", "label", "p"), F.sum(F.col("n") * error).alias("_error"))
+    report = sums.select(
+        "alpha", round_half_even(weighted_pearson("r"), 4).alias("spearman"), round_half_even(weighted_pearson("p"), 4).alias("pearson"),
+        round_half_even(F.sqrt(F.col("_error") / F.col("_r_n")), 4).alias("rmse"))
     first = W.orderBy(F.desc("spearman"), "alpha")  # one row per alpha
     return report.withColumn("is_best", F.row_number().over(first) == 1)
 
