@@ -46,10 +46,37 @@ def test_analysis(docs, kb):
 
 
 def test_last_spelling_of_a_candidate_item_is_shown(docs, kb):
-    rows = match.match_rows(match.match_documents(docs, kb)).filter("doc_id = 1 AND matched").collect()
+    rows = match.match_rows(docs, kb).filter("doc_id = 1").collect()
     assert {(r["item"], r.candidate) for r in rows} == {("React.js", "reactjs"), ("SQL", "SQL")}
 
 
+def test_record_is_complete(docs, kb):
+    full = docs.withColumns({"user_id": F.lit(7), "cv_filename": F.lit("a.pdf"), "education": F.array(F.lit("x"))})
+    row = analyze(full, kb).filter("doc_id = 1").first()
+    assert (row.user_id, row.cv_filename, row.education, row.occupation_display) == (7, "a.pdf", ["x"], "Web")
+    assert row.core_skills == ["React.js", "SQL"] and row.skills == ["sql", "SQL", "reactjs", "Cooking"]
+    saved = history.evaluation_rows(analyze(full, kb), F.lit("2024-05-01 00:00:00")).filter("occupation_key = 'web'").collect()
+    assert all(r.user_id == 7 and '"education":["x"]' in r.candidate_profile for r in saved)
+
+
+def test_one_group_with_nearly_all_documents(spark):
+    items = [(f"item {k}", round(1 - k / 400, 4)) for k in range(300)]
+    kb = spark.createDataFrame([("hot", items[:150], items[150:], [1.0]), ("cold", items[:5], [], [1.0])], KB)
+    rows = [(i, "hot" if i % 10 else "cold", [f"Item {(i * 7 + j) % 400}" for j in range(20)], [1.0]) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, target_key string, skills array<string>, embedding array<float>")
+    got = {r.doc_id: r for r in analyze(docs, kb).collect()}
+    assert len(got) == 2000
+    for i in (0, 1, 57, 1999):
+        weights = dict(items if i % 10 else items[:5])
+        have = {s.lower() for s in rows[i][2]}
+        hit = [n for n in weights if n in have]
+        assert got[i].matched_skills == sorted(hit, key=lambda n: -weights[n])
+        assert got[i].extra_skills == [s for s in rows[i][2] if s.lower() not in weights]
+        assert got[i].weighted_skill_score == pytest.approx(sum(weights[n] for n in hit) / sum(weights.values()), abs=1e-4)
+    plan = match.match_rows(docs, kb)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 class Letters:
     """Vector of letter counts."""
 
@@ -58,18 +85,21 @@ class Letters:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def test_semantic_matching(docs, kb):
-    rows = match.match_rows(match.match_documents(docs, kb, "semantic", 0.5, Letters)).collect()
+@pytest.mark.parametrize("block", [4096, 2])
+def test_semantic_matching(docs, kb, monkeypatch, block):
+    monkeypatch.setattr(match, "NAMES_PER_BLOCK", block)
+    rows = match.match_rows(docs, kb, "semantic", 0.5, Letters).collect()
     by = {(r.doc_id, r["item"]): r for r in rows}
     letters = Letters()
     for item in ("REST API", "css"):
         sims = (letters([item]) @ letters(["SQL", "SQL", "React.js", "Cooking"]).T)[0].round(6)
-        r = by[1, item]
-        assert r.similarity == round(float(sims.max()), 4)
-        assert r.matched == bool(sims.max() >= 0.5)
-        assert r.candidate == (["sql", "SQL", "reactjs", "Cooking"][int(sims.argmax())] if r.matched else None)
-    assert by[1, "SQL"].similarity == 1.0
-    assert not by[2, "SQL"].matched and by[2, "SQL"].similarity == 0.0
+        if sims.max() < 0.5:
+            assert (1, item) not in by
+            continue
+        assert by[1, item].similarity == round(float(sims.max()), 4)
+        assert by[1, item].candidate == ["sql", "SQL", "reactjs", "Cooking"][int(sims.argmax())]
+    assert by[1, "SQL"].similarity == 1.0 and by[1, "SQL"].candidate == "SQL"
+    assert (2, "SQL") not in by
 
 
 def test_nearest_groups_in_blocks(spark, monkeypatch):
@@ -126,7 +156,8 @@ def test_lost_history_keeps_scores(spark, docs, kb, tmp_path):
     (tmp_path / "blocked").write_text("a file where the history folder should be")
     arriving = spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/in")
     score_stream(arriving, spark.read.parquet(f"{tmp_path}/kb"), f"{tmp_path}/out", f"{tmp_path}/state",
-                 f"{tmp_path}/blocked").awaitTermination()
+                 f"{tmp_path}/blocked", f"{tmp_path}/rejected").awaitTermination()
+    assert {(r.doc_id, r.reason) for r in spark.read.parquet(f"{tmp_path}/rejected").collect()} == {(4, "group"), (5, "vector")}
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
 
 

@@ -2,12 +2,11 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from fitloom.functions import jsontext
 from fitloom.plans import offline
 from fitloom.sources import history, postings, store, taxonomy, uploads
-from fitloom.sources.tables import spread
+from fitloom.sources.tables import read_table
 
 
 def test_csv_inputs(spark, tmp_path):
@@ -47,7 +46,7 @@ def test_profiles_are_built_stored_and_kept(spark, tmp_path):
     store.write_json(store.read_profiles(spark, path), f"{tmp_path}/json")
     back = {r.key: r for r in store.read_json(spark, f"{tmp_path}/json", multi_line=False).collect()}
     assert [tuple(e) for e in back["ops"].core_skills] == [tuple(e) for e in got["ops"].core_skills]
-    with pytest.raises(AnalysisException):
+    with pytest.raises(FileNotFoundError):
         store.read_profiles(spark, f"{tmp_path}/missing").count()
 
 
@@ -81,7 +80,7 @@ def test_upsert(spark):
 
 def test_taxonomy(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"parent": "it", "key": "web", "display": "Web", "patterns": ["web"]}\n\n')
-    rules = taxonomy.read_taxonomy(str(tmp_path / "t.jsonl"))
+    rules = taxonomy.read_taxonomy(spark, str(tmp_path / "t.jsonl"))
     assert rules == [("it", "web", "Web", ["web"])]
     assert taxonomy.positions(spark, rules).collect()[0].sub == "web"
 
@@ -110,9 +109,37 @@ def test_prompt_lists(column):
     assert column(lambda c: jsontext.bullet_list(c, 2), items, "array<string>") == ["  - a\n  - b", "  (không có)", "  - a"]
 
 
-def test_spread_only_deals_out_small_tables(spark, tmp_path):
-    spark.range(10).write.parquet(f"{tmp_path}/tiny")
-    tiny = spark.read.parquet(f"{tmp_path}/tiny")
-    assert spread(tiny) is tiny
-    spark.range(400_000).select(F.rand(1).alias("x")).coalesce(1).write.parquet(f"{tmp_path}/small")
-    assert spread(spark.read.parquet(f"{tmp_path}/small")).rdd.getNumPartitions() == 4
+def test_tables_are_dealt_out_on_request(spark, tmp_path):
+    spark.range(10).write.parquet(f"{tmp_path}/t")
+    assert read_table(spark, f"{tmp_path}/t", 3).rdd.getNumPartitions() == 3
+    assert read_table(spark, f"{tmp_path}/t").count() == 10
+
+
+def test_a_store_can_be_rewritten_from_itself(spark, tmp_path):
+    path = f"{tmp_path}/kb"
+    store.write_profiles(spark.createDataFrame([("a", 1), ("b", 2)], "key string, n int"), path)
+    store.write_profiles(store.read_profiles(spark, path).withColumn("n", F.col("n") + 1), path)
+    assert sorted(map(tuple, store.read_profiles(spark, path).collect())) == [("a", 2), ("b", 3)]
+    broken = store.read_profiles(spark, path).withColumn("n", F.raise_error(F.lit("stop")).cast("int"))
+    with pytest.raises(Exception, match="stop"):
+        store.write_profiles(broken, path)
+    assert sorted(map(tuple, store.read_profiles(spark, path).collect())) == [("a", 2), ("b", 3)]
+    store.write_profiles(spark.createDataFrame([("b", 9), ("c", 4)], "key string, n int"), path, overwrite=False)
+    assert sorted(map(tuple, store.read_profiles(spark, path).collect())) == [("a", 2), ("b", 3), ("c", 4)]
+
+
+def test_equal_rows_have_ids_of_their_own(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("resume_text,job_text,ai_match_score\na,b,100\na,b,100\na,b,100\n")
+    pairs = postings.load_pairs(spark, str(tmp_path / "r.csv"))
+    assert pairs.count() == 3 == pairs.select("pair_id").distinct().count()
+
+
+def test_cut_tables_are_removed(spark):
+    import os
+
+    from fitloom.plans import materialize
+    kept = materialize.cut(spark.range(5))
+    folder = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert kept.count() == 5 and os.path.isdir(folder)
+    materialize.clean(spark)
+    assert not os.path.exists(folder)
