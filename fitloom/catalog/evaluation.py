@@ -142,6 +142,18 @@ def spearman(t):
     return evaluate.spearman(t.scored, "pred", "label").withColumn("spearman", F.round("spearman", 6))
 
 
+_MISSING = ("missing", """SELECT method, CASE WHEN event_id % 7 <> 0 THEN pred END AS pred,
+    CASE WHEN event_id % 5 <> 0 THEN label END AS label FROM scored""")
+
+
+@query("spearman_missing", oracle(["scored"], [_MISSING, ("full_rows", "SELECT * FROM missing WHERE pred IS NOT NULL AND label IS NOT NULL"),
+       ("r", ranks_sql("full_rows", "method"))], f"SELECT method, round({corr_sql('rx', 'ry')}, 6) AS spearman FROM r GROUP BY method"))
+def spearman_missing(t):
+    i = F.col("event_id")
+    rows = t.scored.select("method", F.when(i % 7 != 0, F.col("pred")).alias("pred"), F.when(i % 5 != 0, F.col("label")).alias("label"))
+    return evaluate.spearman(rows, "label", "pred", ("method",)).withColumn("spearman", F.round("spearman", 6))
+
+
 @query("average_ranks", oracle(["scored"], [("r", ranks_sql("scored", "method"))],
        "SELECT DISTINCT method, pred, CAST(rx AS DOUBLE) AS rank FROM r"))
 def average_ranks(t):
@@ -211,6 +223,16 @@ def bm25_pairs(t):
     return lexical.bm25(labelled(t)).withColumn("pred", F.round("pred", 6))
 
 
+def repeated(t):
+    """Pairs of which many share an id."""
+    return labelled(t).withColumn("pair_id", F.col("pair_id") % 3)
+
+
+@query("bm25_repeated", pairs_sql("SELECT pair_id % 3 AS pair_id, label, round(pred, 6) AS pred FROM bm25_pred", *_BM25))
+def bm25_repeated(t):
+    return lexical.bm25(repeated(t)).withColumn("pred", F.round("pred", 6))
+
+
 @query("item_overlap", pairs_sql("SELECT pair_id, round(overlap, 6) AS overlap FROM overlap_rows", _OVERLAP))
 def item_overlap(t):
     overlap = evaluate.item_overlap(F.col("sentence1"), F.col("sentence2"), texts.PATTERNS, texts.STOP)
@@ -224,12 +246,20 @@ def predictor_report(t):
     return plans.compare_predictors(labelled(t))
 
 
-@query("alpha_sweep", pairs_sql(f"""SELECT alpha, spearman, pearson, rmse,
+_SWEEP_SQL = pairs_sql(f"""SELECT alpha, spearman, pearson, rmse,
     row_number() OVER (ORDER BY spearman DESC, alpha) = 1 AS is_best FROM (
     SELECT alpha, {rounded(corr_sql('rx', 'ry'), 4)} AS spearman, {rounded(corr_sql('pred', 'label'), 4)} AS pearson,
     {rounded('sqrt(avg((greatest(0.0, least(1.0, pred)) - label) ** 2))', 4)} AS rmse
     FROM ({ranks_sql('grid', 'alpha')}) GROUP BY alpha)""", *_EMBED, _OVERLAP,
     ("grid", """SELECT alpha, label, round(alpha * greatest(0.0, least(1.0, pred)) + (1 - alpha) * overlap, 9) AS pred
-        FROM embed_pred JOIN overlap_rows USING (pair_id), (SELECT unnest(range(11)) / 10 AS alpha)""")))
+        FROM embed_pred JOIN overlap_rows USING (pair_id), (SELECT unnest(range(11)) / 10 AS alpha)"""))
+
+
+@query("alpha_repeated", _SWEEP_SQL)
+def alpha_repeated(t):
+    return evaluate.alpha_sweep(plans.blend_inputs(repeated(t), patterns=texts.PATTERNS, stop_items=texts.STOP))
+
+
+@query("alpha_sweep", _SWEEP_SQL)
 def alpha_sweep(t):
     return evaluate.alpha_sweep(plans.blend_inputs(labelled(t), patterns=texts.PATTERNS, stop_items=texts.STOP))

@@ -29,21 +29,26 @@ def sub_coverage(assigned: DataFrame, positions: DataFrame) -> DataFrame:
     return positions.join(counts, ["parent", "sub"], "left").na.fill(0, ["n_rows"])
 
 
+def sub_records(postings: DataFrame, taxonomy, patterns=None, stop_items=None, alias_rules=None) -> DataFrame:
+    """Extracted postings that have a position, with their field as ``parent``."""
+    cleaned = extract.clean_postings(assign_postings(postings, taxonomy).filter("sub IS NOT NULL"),
+                                     alias_rules)
+    records = extract.extract_all(cleaned.withColumn("category", F.col("sub")), patterns,
+                                  stop_items, extra=("parent",))
+    return cut(profile.known_groups(records))
+
+
 def sub_profiles(postings: DataFrame, taxonomy, patterns=None, stop_items=None,
                  alias_rules=None) -> DataFrame:
     """Weights of every position; the corpus of a position is its own field.
 
     All fields run in one plan: the field is part of every key, so N and df are per field.
     """
-    cleaned = extract.clean_postings(assign_postings(postings, taxonomy).filter("sub IS NOT NULL"),
-                                     alias_rules)
-    records = extract.extract_all(cleaned.withColumn("category", F.col("sub")), patterns,
-                                  stop_items, extra=("parent",))
-    return sub_weights(cut(profile.known_groups(records)))
+    records = sub_records(postings, taxonomy, patterns, stop_items, alias_rules)
+    return sub_weights(records, cut(profile.group_sizes(records, keys=SUB)))
 
 
-def sub_weights(records: DataFrame) -> DataFrame:
-    sizes = cut(profile.group_sizes(records, keys=SUB))
+def sub_weights(records: DataFrame, sizes: DataFrame) -> DataFrame:
     support = profile.item_support(profile.item_rows_from_lists(records, SUB), SUB)
     kept = cut(profile.minimum_support(support, sizes, SUB))
     scored = profile.scored_items(profile.item_frequency(kept), sizes, SUB)
@@ -51,6 +56,30 @@ def sub_weights(records: DataFrame) -> DataFrame:
     return variants.clean_weighted_profiles(weights, keys=SUB)
 
 
+def sub_enriched(records: DataFrame, positions: DataFrame, parents: DataFrame) -> DataFrame:
+    """Whole profiles of all positions with their field: key, both tiers, segments, size, parent.
+
+    ``positions``: (parent, sub, display); ``parents``: (field, parent_key, parent_display), where
+    fields without an entry are their own parent.
+    """
+    sizes = cut(profile.group_sizes(records, keys=SUB))
+    rows = profile.enrich(sub_weights(records, sizes), sizes.drop("occupation"), profile.group_segments(records, SUB), SUB)
+    shown = positions.select("parent", F.col("sub").alias("occ_key"), F.col("display").alias("sub_display"))
+    fields = parents.select(F.col("field").alias("parent"), "parent_key", "parent_display")
+    root = F.coalesce("parent_key", "parent")
+    return rows.join(shown, list(SUB), "left").join(fields, "parent", "left").select(
+        F.concat(root, F.lit("__"), "occ_key").alias("occ_key"), F.concat("parent", F.lit(" / "), "occ_key").alias("occupation"),
+        "core_skills", "optional_skills", "responsibilities", "jd_count", root.alias("parent"),
+        F.coalesce("parent_display", display_name(F.col("parent"))).alias("parent_display"),
+        F.col("occ_key").alias("sub_occupation"), F.coalesce("sub_display", "occ_key").alias("sub_display"))
+
+
+def catalogue_entries(records: DataFrame) -> DataFrame:
+    """Input of `catalogue` from stored records of both levels."""
+    return records.select("key", "occupation", F.size("core_skills").cast("long").alias("core_skill_count"),
+                          "parent", "parent_display", "sub_display")
+
+
 def catalogue(entries: DataFrame) -> DataFrame:
     """Every group with its field: roots are their own parent.
 

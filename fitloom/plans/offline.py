@@ -1,4 +1,4 @@
-"""Offline build: postings -> stored profiles, one lazy plan."""
+"""Offline build: postings -> stored profiles; results that several steps read are stored on the way."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fitloom.functions.vectors import HashingEncoder, embed, group_text
-from fitloom.operators import extract, profile, variants
+from fitloom.operators import extract, hierarchy, profile, variants
 from fitloom.plans.materialize import cut
 from fitloom.sources import store
+from fitloom.sources.taxonomy import positions
 
 
 def names(weighted):
@@ -54,3 +55,48 @@ def reembed(records: DataFrame, make_encoder=HashingEncoder) -> DataFrame:
     text = group_text(F.col("occupation"), names(F.col("core_skills")),
                       names(F.col("optional_skills")), F.col("responsibilities"))
     return records.withColumn("embedding", embed(text, make_encoder))
+
+
+def build_sub_profiles(postings: DataFrame, taxonomy, parents: DataFrame, make_encoder=HashingEncoder, patterns=None,
+                       stop_items=None, alias_rules=None, model_source: str = "hashing") -> DataFrame:
+    """Profile records of all positions of all fields, with parent columns.
+
+    ``parents``: (field, parent_key, parent_display) of the fields that have a profile of their own.
+    """
+    spark = postings.sparkSession
+    records = hierarchy.sub_records(postings, taxonomy, patterns, stop_items, alias_rules)
+    enriched = cut(hierarchy.sub_enriched(records, positions(spark, taxonomy), parents))
+    return store.profile_records(enriched, embed_profiles(enriched, make_encoder), model_source)
+
+
+def cleaned_records(records: DataFrame, preferred=None) -> tuple[DataFrame, DataFrame]:
+    """Stored records with merged spellings and new counts, and (occ_key, core_before, opt_before,
+    core_after, opt_after). Vectors stay; `reembed` makes them fresh."""
+    def tier(column, name):
+        return records.select(F.col("key").alias("occ_key"), F.explode(column).alias("s")).select(
+            "occ_key", "s.item", "s.weight", F.lit(name).alias("tier"))
+
+    before = cut(tier("core_skills", "core").union(tier("optional_skills", "optional")))
+    after = cut(variants.clean_weighted_profiles(before, preferred))
+    lists = profile.nest_weights(after).withColumnRenamed("occ_key", "key")
+    empty = F.array().cast(store.WEIGHTED)
+    rest = [c for c in records.columns if c not in ("core_skills", "optional_skills")]
+    clean = records.select(*rest).join(lists, "key", "left").withColumns({
+        c: F.coalesce(c, empty) for c in ("core_skills", "optional_skills")})
+    meta = F.col("meta").withField("core_skill_count", F.size("core_skills")).withField(
+        "optional_skill_count", F.size("optional_skills")).withField("cleaned", F.lit(True))
+    return clean.withColumn("meta", meta).select(*records.columns), variants.cleaning_stats(before, after)
+
+
+def clean_store(spark, path: str, snapshot_path: str, dry_run: bool = False, preferred=None) -> DataFrame:
+    """Clean a store in place after a first snapshot of it; returns the counts before and after.
+
+    A dry run only counts.
+    """
+    records = store.read_profiles(spark, path)
+    clean, stats = cleaned_records(records, preferred)
+    stats = cut(stats)
+    if not dry_run:
+        store.snapshot(records, snapshot_path)
+        store.write_profiles(clean, path)
+    return stats

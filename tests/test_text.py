@@ -86,7 +86,7 @@ def test_segments(column):
     many = "\n".join(f"- duty number {i} described here" for i in range(40))
     for limit, n in ((None, 40), (20, 20)):
         assert len(column(lambda c: extract.segments(c, F.lit(""), limit), [many])[0]) == n  # noqa: B023
-    same = "- " + "x" * 90 + " one\n- " + "x" * 90 + " two"
+    same = "\n- " + "x" * 90 + " one\n- " + "x" * 90 + " two"
     assert [len(column(lambda c: extract.segments(c, F.lit(""), None, k), [same])[0]) for k in (None, 80)] == [2, 1]  # noqa: B023
     assert column(lambda c: extract.segments(c, F.lit("a fallback text of some length")), [" "]) == [
         ["a fallback text of some length"]]
