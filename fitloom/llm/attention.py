@@ -17,7 +17,8 @@ WIDTH = 16
 STEP, CONTEXT = 16, 16
 SPAN = STEP + CONTEXT
 BUCKETS = 16
-BLOCKED = np.float32(-1e9)
+# Scores are cut off here, far above any that occurs, so that no exponential overflows.
+HIGHEST = np.float32(40)
 
 
 class Tables:
@@ -66,7 +67,7 @@ SHAPES = {"rows": (ROWS, WIDTH), "places": (SPAN, WIDTH), "query": (WIDTH, WIDTH
 
 
 class Model:
-    """One attention layer with a residual and a tanh before the output."""
+    """One attention layer with a residual, and u / (1 + |u|) before the output."""
 
     def __init__(self, flat: np.ndarray):
         self.flat = flat.astype(np.float32)
@@ -87,30 +88,40 @@ class Model:
         return model
 
     def _attend(self, rows: np.ndarray, open_: np.ndarray):
-        p = self.parts
-        x = p["rows"][rows] + p["places"]
-        q, k, v = x[:, CONTEXT:] @ p["query"], x @ p["key"], x @ p["value"]
-        s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH ** -0.5)
-        s += np.where(open_[:, None, :] & CAUSAL, np.float32(0), BLOCKED)
-        s -= s.max(-1, keepdims=True)
+        p, n = self.parts, len(rows)
+        x = np.take(p["rows"], rows, axis=0)
+        x += p["places"]
+        # one product over all places; products per window are left to the attention itself
+        flat, own = x.reshape(-1, WIDTH), np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, WIDTH)
+        q = (own @ p["query"]).reshape(n, STEP, WIDTH)
+        k, v = ((flat @ p[name]).reshape(n, SPAN, WIDTH) for name in ("key", "value"))
+        s = q @ k.transpose(0, 2, 1)
+        s *= np.float32(WIDTH ** -0.5)
+        np.minimum(s, HIGHEST, out=s)
         np.exp(s, out=s)
-        s /= s.sum(-1, keepdims=True)
+        s *= open_.astype(np.float32)[:, None, :]
+        s *= PAST
+        s /= (s.reshape(-1, SPAN) @ np.ones((SPAN, 1), np.float32)).reshape(n, STEP, 1)
         seen = s @ v
-        h = np.tanh(seen @ p["mix"] + x[:, CONTEXT:])
-        return x, q, k, v, s, seen, h
+        h = seen.reshape(-1, WIDTH) @ p["mix"]
+        h += own
+        h /= 1 + np.abs(h)
+        return x, q, k, v, s, seen, h.reshape(n, STEP, WIDTH)
 
     def class_scores(self, rows: np.ndarray, open_: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probability of the target classes of a batch of windows."""
         h = self._attend(rows, open_)[-1]
-        z = h @ self.parts["out"] + self.parts["bias"]
-        top = z.max(-1)
-        picked = np.take_along_axis(z, targets[..., None], -1)[..., 0]
-        return picked - top - np.log(np.exp(z - top[..., None]).sum(-1))
+        z = h.reshape(-1, WIDTH) @ self.parts["out"]
+        z += self.parts["bias"]
+        np.minimum(z, HIGHEST, out=z)
+        picked = z[np.arange(len(z)), targets.ravel()]
+        np.exp(z, out=z)
+        return (picked - np.log(z @ np.ones(CLASSES, np.float32))).reshape(targets.shape)
 
     def gradient(self, rows: np.ndarray, open_: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> np.ndarray:
         p = self.parts
         x, q, k, v, s, seen, h = self._attend(rows, open_)
-        z = h @ p["out"] + p["bias"]
+        z = (h.reshape(-1, WIDTH) @ p["out"] + p["bias"]).reshape(*targets.shape, CLASSES)
         z -= z.max(-1, keepdims=True)
         np.exp(z, out=z)
         z /= z.sum(-1, keepdims=True)
@@ -118,17 +129,17 @@ class Model:
         z *= (counted / np.float32(max(1, counted.sum())))[..., None]
         flat = lambda a: a.reshape(-1, a.shape[-1])
         g = {"out": flat(h).T @ flat(z), "bias": flat(z).sum(0)}
-        dh = (z @ p["out"].T) * (1 - h * h)
+        dh = (flat(z) @ p["out"].T).reshape(h.shape) * (1 - np.abs(h)) ** 2
         g["mix"] = flat(seen).T @ flat(dh)
-        dseen = dh @ p["mix"].T
+        dseen = (flat(dh) @ p["mix"].T).reshape(dh.shape)
         ds = dseen @ v.transpose(0, 2, 1)
         dv = s.transpose(0, 2, 1) @ dseen
         ds = s * (ds - (ds * s).sum(-1, keepdims=True)) * np.float32(WIDTH ** -0.5)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         own = x[:, CONTEXT:]
         g["query"], g["key"], g["value"] = flat(own).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dk @ p["key"].T + dv @ p["value"].T
-        dx[:, CONTEXT:] += dq @ p["query"].T + dh
+        dx = (flat(dk) @ p["key"].T + flat(dv) @ p["value"].T).reshape(x.shape)
+        dx[:, CONTEXT:] += (flat(dq) @ p["query"].T).reshape(dq.shape) + dh
         g["places"] = dx.sum(0)
         g["rows"] = np.zeros(SHAPES["rows"], np.float32)
         for c in range(WIDTH):
@@ -137,7 +148,7 @@ class Model:
 
 
 # The token at target place t is predicted from the inputs up to t, whose last one is the token before.
-CAUSAL = np.arange(SPAN)[None, None, :] <= (np.arange(STEP) + CONTEXT)[None, :, None]
+PAST = (np.arange(SPAN)[None, :] <= (np.arange(STEP) + CONTEXT)[:, None]).astype(np.float32)
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -23,12 +23,14 @@ from fitloom.llm.subwords import Encoder, broadcast_vocabulary
 
 FOLDS, HELD_OUT = 5, 1
 # One window in this many is used for training, in every text and at every size of the corpus.
-EVERY = 16
+EVERY = 32
 # Frequent words that tasks hold in memory; all others are looked up by a join.
 FREQUENT = 1 << 17
 TASK_WINDOWS = 1 << 14
 ROUNDS = 2
 BATCH = 64
+# Bytes of text that a worker handles at once.
+PIECE = 4 << 20
 END_WORD = b""
 
 
@@ -55,17 +57,29 @@ def ascii_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 class Subwords:
     """Subword ids of texts, by way of their distinct words, each text closed by the end id."""
 
-    def __init__(self, vocab):
-        self.encoder = Encoder(vocab)
+    def __init__(self, vocab, most: int = 200_000):
+        inner = Encoder(vocab, most=most)
         self.end = max(vocab.special.values())
 
-    def of(self, places: np.ndarray, per_row: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        ids, offsets = self.encoder.encode(words)
-        counts = np.diff(offsets)[places]
+        def whole(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            ids, offsets = inner.encode(pa.array(words, pa.binary()))
+            return ids, np.diff(offsets)
+
+        # words between white space, remembered with their ids
+        self.words = Encoder(vocab, whole, most)
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word, one after the other, and their number."""
+        places = self.words.places(words)
+        return self.words.ids[ragged(self.words.starts[places], self.words.counts[places])], self.words.counts[places]
+
+    def of(self, places: np.ndarray, per_row: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        own = self.words.places(words)[places]
+        counts = self.words.counts[own]
         ends = np.cumsum(counts)
-        own = np.concatenate(([0], ends))[np.cumsum(per_row)]
-        flat = ids[ragged(offsets[:-1][places], counts)]
-        return np.insert(flat, own, self.end), np.concatenate(([0], own + np.arange(1, len(per_row) + 1)))
+        stops = np.concatenate(([0], ends))[np.cumsum(per_row)]
+        flat = self.words.ids[ragged(self.words.starts[own], counts)]
+        return np.insert(flat, stops, self.end), np.concatenate(([0], stops + np.arange(1, len(per_row) + 1)))
 
 
 def gather(docs: DataFrame, vocab, every: int = EVERY, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
@@ -84,13 +98,13 @@ def gather(docs: DataFrame, vocab, every: int = EVERY, folds: int = FOLDS, held_
             return out
 
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 places, per_row, words = ascii_words(piece.column(1))
                 plain = words.to_pylist()
                 for w, n in zip(plain, np.bincount(places, minlength=len(plain)).tolist()):
                     seen[w] = seen.get(w, 0) + n
                 seen[END_WORD] = seen.get(END_WORD, 0) + piece.num_rows
-                ids, offsets = subwords.of(places, per_row, words)
+                ids, offsets = subwords.of(places, per_row, plain)
                 text, first = windows(np.diff(offsets))
                 # in each text every n-th window, from a place that its id decides
                 chosen = (first // STEP + piece.column(0).to_numpy()[text]) % every == 0
@@ -100,7 +114,7 @@ def gather(docs: DataFrame, vocab, every: int = EVERY, folds: int = FOLDS, held_
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(both) + 1) * (SPAN + STEP), pa.int32()), pa.array(both.ravel()))
                 if len(both):
                     yield pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.binary()), pa.nulls(len(both), pa.int64()), lists], names)
-                if len(seen) > 400_000:
+                if len(seen) > 200_000:
                     yield report()
         yield report()
 
@@ -117,13 +131,14 @@ def id_counts(counts: DataFrame, vocab) -> tuple[np.ndarray, np.ndarray]:
         subwords = Subwords(vocab.value)
         total = np.zeros((size, BUCKETS), np.int64)
         for batch in batches:
-            for piece in pieces(batch, "word"):
+            for piece in pieces(batch, "word", PIECE):
                 n = piece.column(1).to_numpy()
-                ids, offsets = subwords.encoder.encode(piece.column(0))
-                times = np.repeat(n, np.diff(offsets))
+                ids, counts = subwords.encode(piece.column(0).to_pylist())
+                times = np.repeat(n, counts)
+                starts = np.cumsum(counts) - counts
                 previous = np.zeros(len(ids), np.int64)
                 previous[1:] = 1 + ids[:-1] % (BUCKETS - 1)
-                previous[offsets[:-1][offsets[:-1] < len(ids)]] = 0
+                previous[starts[starts < len(ids)]] = 0
                 np.add.at(total, (ids.astype(np.int64), previous), times)
                 empty = pa.compute.binary_length(piece.column(0)).to_numpy() == 0
                 total[subwords.end, 0] += n[empty].sum()
@@ -176,7 +191,7 @@ def fitted(chosen: DataFrame, tables, rounds: int = ROUNDS) -> Model:
     return model
 
 
-def text_scores(ids: np.ndarray, offsets: np.ndarray, model: Model, tables: Tables, block: int = 1024) -> np.ndarray:
+def text_scores(ids: np.ndarray, offsets: np.ndarray, model: Model, tables: Tables, block: int = 256) -> np.ndarray:
     """Natural log probability of every text: each token is scored in one window."""
     text, first = windows(np.diff(offsets))
     out = np.zeros(len(offsets) - 1)
@@ -216,7 +231,7 @@ def scores(docs: DataFrame, tokenizer: str, folds: int = FOLDS, held_out: int =
         subwords, model, table, count = Subwords(vocab.value), Model(trained.value), tables.value, known.value.get
         end = count(END_WORD, 0)
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 places, per_row, words = ascii_words(piece.column(3))
                 plain = words.to_pylist()
                 own = np.fromiter((count(w, 0) for w in plain), np.float64, len(plain))
@@ -234,7 +249,7 @@ def scores(docs: DataFrame, tokenizer: str, folds: int = FOLDS, held_out: int =
                 cuts = np.searchsorted(row, np.arange(piece.num_rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(
                     [words.take(pa.array(which)).cast(pa.binary()), pa.array(times, pa.int32())], ["word", "times"]))
-                ids, offsets = subwords.of(places, per_row, words)
+                ids, offsets = subwords.of(places, per_row, plain)
                 score = text_scores(ids, offsets, model, table) / np.log(10)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), piece.column(1), piece.column(2), pa.array(per_row + 1), pa.array(sure), pa.array(base), pa.array(score), lists],
