@@ -126,15 +126,54 @@ def fold(c: Column) -> Column:
     return F.lower(F.translate(c, "İıſK", "iisk"))
 
 
+def _closing(pattern: str, i: int) -> int:
+    """Place of the bracket that closes the one at ``i``."""
+    if pattern[i] == "[":
+        i += 2 if pattern[i + 1:i + 2] == "^" else 1
+        i += pattern[i:i + 1] == "]"  # a first bracket is a member
+        while pattern[i] != "]":
+            i += 2 if pattern[i] == "\\" else 1
+        return i
+    i += 1
+    while pattern[i] != ")":
+        i = _closing(pattern, i) if pattern[i] in "[(" else i + (pattern[i] == "\\")
+        i += 1
+    return i
+
+
 def required_literal(pattern: str) -> str:
-    """Longest run of plain characters that any match of ``pattern`` has to contain."""
-    runs, run = [], ""
-    for op, arg in re._parser.parse(pattern):  # type: ignore[attr-defined]
-        if op is re._constants.LITERAL:  # type: ignore[attr-defined]
-            run += chr(arg)
-        elif op is not re._constants.AT:  # type: ignore[attr-defined]
+    """Longest run of plain characters that any match of ``pattern`` has to contain.
+
+    Groups, classes and whatever else is not plain end a run; with alternatives at the top there is
+    none, and the empty literal lets every text pass.
+    """
+    runs, run, i = [], "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "|":
+            return ""
+        if c in "*?{+":
+            # what stands before may be missing, unless it is repeated by "+"
+            runs.append(run if c == "+" else run[:-1])
+            run = ""
+            i = pattern.index("}", i) if c == "{" else i
+            i += pattern[i + 1:i + 2] in ("?", "+")
+        elif c == "\\" and pattern[i + 1] not in "bBAZz":
+            i += 1
+            if pattern[i].isalnum():
+                runs.append(run)
+                run = ""
+            else:
+                run += pattern[i]
+        elif c in "[(.":
             runs.append(run)
             run = ""
+            i = i if c == "." else _closing(pattern, i)
+        elif c == "\\":
+            i += 1  # a border
+        elif c not in "^$":
+            run += c
+        i += 1
     return max(runs + [run], key=len).lower()
 
 

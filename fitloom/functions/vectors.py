@@ -22,6 +22,7 @@ Encoder = Callable[[list[str]], np.ndarray]
 VECTOR = T.ArrayType(T.FloatType())
 
 
+# Fixed values in this part: the labels before lists, which stored vectors were made with.
 # --- texts ---------------------------------------------------------------------------------
 
 def _listed(prefix: str, items: Column) -> Column:

@@ -13,7 +13,7 @@ from fitloom.functions.vectors import dot
 
 BLOCK_ROWS = 4096
 QUERY_SLICE_ROWS = 16384
-_OUT = "query_id {query}, group_id {group}, similarity double"
+_OUT = "query_id {query}, group_id {group}, similarity double, rank int"
 
 
 def _best(query_ids, query_matrix, group_ids, group_matrix, k):
@@ -24,7 +24,8 @@ def _best(query_ids, query_matrix, group_ids, group_matrix, k):
     return pd.DataFrame({
         "query_id": np.repeat(query_ids, order.shape[1]),
         "group_id": group_ids[order].ravel(),
-        "similarity": sims[rows, order].ravel()})
+        "similarity": sims[rows, order].ravel(),
+        "rank": np.tile(np.arange(1, order.shape[1] + 1, dtype=np.int32), len(sims))})
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -37,7 +38,7 @@ def nearest_groups(queries: DataFrame, groups: DataFrame, k: int = 3,
 
     ``queries``: (query_id, vector), ``groups``: (group_id, vector).  The number of groups is
     counted first.  Up to ``block_rows`` groups the matrix is broadcast and the queries stay where
-    they are: no shuffle.  Beyond it, groups are cut into blocks of that size, bounded slices of
+    they are: no shuffle, ranks are given where the similarities are made.  Beyond it, groups are cut into blocks of that size, bounded slices of
     queries meet every block in a cogroup, and only the k best of each block go on to the final
     top k.
     """
@@ -57,10 +58,9 @@ def nearest_groups(queries: DataFrame, groups: DataFrame, k: int = 3,
                     yield _best(q["query_id"].to_numpy(), _matrix(q["vector"]),
                                 group_ids, group_matrix, k)
 
-        found = queries.select("query_id", "vector").mapInPandas(scan, schema)
-    else:
-        slices = -(-queries.count() // QUERY_SLICE_ROWS) or 1
-        found = _blocked(queries, groups, k, -(-n // block_rows), slices, schema)
+        return queries.select("query_id", "vector").mapInPandas(scan, schema)
+    slices = -(-queries.count() // QUERY_SLICE_ROWS) or 1
+    found = _blocked(queries, groups, k, -(-n // block_rows), slices, schema).drop("rank")
     w = W.partitionBy("query_id").orderBy(F.desc("similarity"), "group_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -75,7 +75,7 @@ def _blocked(queries, groups, k, blocks, slices, schema):
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "group_id": [], "similarity": []})
+            return pd.DataFrame({"query_id": [], "group_id": [], "similarity": [], "rank": []})
         right = right.sort_values("group_id")
         ids, matrix = right["group_id"].to_numpy(), _matrix(right["vector"])
         step = 1024

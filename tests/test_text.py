@@ -134,3 +134,10 @@ def test_positions(spark):
     df = spark.createDataFrame(rows, "p string, t string")
     out = [r.s for r in df.select(I.assign_position(F.col("t"), F.col("p"), taxonomy).alias("s")).collect()]
     assert out == ["web", "any", None, None, None]
+
+
+def test_required_literal():
+    cases = {r"a|b": "", r"ab?c": "a", r"ab+cd": "ab", r"x{2}yz": "yz", r"(?:foo|bar)baz\.js": "baz.js", r"[]a-z]qq": "qq",
+             r"\bgo\b": "go", r"c\+\+": "c++", r"(?<![a-z])r(?![a-z])": "r", r"a*?bc": "bc", r"\d\s": "", r"a(b(c|[)])d)e": "a"}
+    assert {p: X.required_literal(p) for p in cases} == cases
+    assert sum(len(X.required_literal(p)) > 1 for p in rules.ITEM_PATTERNS) > 0.8 * len(rules.ITEM_PATTERNS)
