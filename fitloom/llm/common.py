@@ -48,6 +48,23 @@ def bucket_of(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows of ``counts`` (word, n) with the largest n, ``most`` at most.
+
+    Cut at a power of 2^(1/16), which a histogram of a few hundred rows decides, so no task sends rows
+    that are not wanted. Fewer than ``most`` where the next step would be too many.
+    """
+    step = F.floor(F.log2(F.col("n")) * 16)
+    found = counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect()
+    least, total = None, 0
+    for row in sorted(found, key=lambda r: -r["step"]):
+        total += row["rows"]
+        if total > most:
+            break
+        least = row["step"]
+    return counts.filter(F.lit(False) if least is None else step >= least)
+
+
 def rank_last(doc_id: Column) -> Column:
     """Sort key that puts null ids after all others."""
     return F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"))

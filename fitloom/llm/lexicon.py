@@ -18,7 +18,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import pieces
+from fitloom.llm.common import most_frequent, pieces, stored
 from fitloom.llm.subwords import Encoder, Splitter, Vocabulary, broadcast_vocabulary
 from fitloom.plans.materialize import scratch
 
@@ -27,7 +27,7 @@ LONGEST = 64
 
 
 def frequent_words(docs: DataFrame, vocab, most: int = LEXICON_WORDS, local: int = 3) -> list[bytes]:
-    """The ``most`` most frequent words of all texts, sorted.
+    """The most frequent words of all texts, up to ``most``, sorted.
 
     Counted over whole texts; a task reports the words that it saw ``local`` times or more since it
     last emptied its table.
@@ -51,8 +51,8 @@ def frequent_words(docs: DataFrame, vocab, most: int = LEXICON_WORDS, local: int
                     yield report()
         yield report()
 
-    counts = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return sorted(bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(most).collect())
+    counts = stored(docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    return sorted(bytes(r["word"]) for r in most_frequent(counts, most).collect())
 
 
 class Transducer:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fitloom.llm.attention import (BUCKETS, CLASSES, CONTEXT, SPAN, STEP, Model, Tables, train, window_ids, windows)
-from fitloom.llm.common import Shipped, bucket_of, pieces, ragged, row_id, stored, text_buffer
+from fitloom.llm.common import Shipped, bucket_of, most_frequent, pieces, ragged, row_id, stored, text_buffer
 from fitloom.llm.subwords import Encoder, broadcast_vocabulary
 
 FOLDS, HELD_OUT = 5, 1
@@ -221,7 +221,7 @@ def scores(docs: DataFrame, tokenizer: str, folds: int = FOLDS, held_out: int =
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     divisor = total + 0.5 * (distinct + 1)
     # at most `frequent` rows
-    top = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(frequent).collect()}
+    top = {bytes(r["word"]): r["n"] for r in most_frequent(counts, frequent).collect()}
     known = spark.sparkContext.broadcast(top)
     tables = Shipped(spark, Tables(*id_counts(counts, vocab)))
     trained = spark.sparkContext.broadcast(fitted(gathered.filter("window is not null").select("window"), tables).flat)

@@ -202,3 +202,15 @@ def test_pipeline_stages(spark, docs, texts, tmp_path, brute):
     assert near.count() == len(set(brute.roots(len(rows), links)))
     last = corpus_pipeline.run(spark, str(tmp_path))
     assert last.filter("piece = 0").count() == near.count()
+
+
+def test_most_frequent(spark):
+    from fitloom.llm.common import most_frequent
+    counts = spark.createDataFrame([(f"w{k}", k // 3 + 1) for k in range(300)] + [("top", 10**12)], "word string, n long")
+    for most in (0, 1, 2, 50, 300, 301, 999):
+        rows = most_frequent(counts, most).collect()
+        assert len(rows) <= most
+        rest = {r.word for r in counts.collect()} - {r.word for r in rows}
+        if rows:
+            assert min(r.n for r in rows) > max([r.n for r in counts.collect() if r.word in rest], default=0)
+    assert most_frequent(counts, 301).count() == 301 and most_frequent(counts.filter("n < 0"), 5).count() == 0
