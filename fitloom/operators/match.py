@@ -22,6 +22,8 @@ from fitloom.functions.vectors import Encoder, HashingEncoder, embed, semantic_s
 from fitloom.plans.materialize import cut
 
 NAMES_PER_BLOCK = 4096
+# Above every position in a list of items.
+POSITIONS = 1 << 40
 DOC = ["doc_id", "target_key"]
 # Columns of documents that are part of the analysis record.
 RECORD = ("user_id", "cv_filename", "skills", "experience", "projects", "education")
@@ -101,14 +103,18 @@ def match_rows(docs: DataFrame, kb: DataFrame, mode: str = "exact",
     exact = candidates.join(items.drop("name"), ["target_key", "key"]).select(
         *DOC, "item", "weight", "candidate", F.lit(1.0).alias("similarity"), "key")
     close = similar_names(candidates.select("name").distinct(), items.select("name").distinct(), threshold, make_encoder)
-    near = candidates.select(*DOC, "key", "name", "first", "position").join(close, F.col("name") == F.col("left_name"))
-    near = near.drop("name").join(items.select("target_key", "item", "weight", F.col("name").alias("right_name")), ["target_key", "right_name"])
-    best = F.struct("similarity", -F.col("position"))
-    near = near.groupBy(*DOC, "item", "weight").agg(
-        F.max_by(F.struct("first", "key"), best).alias("c"), F.max("similarity").alias("similarity"))
-    near = near.join(exact.select(*DOC, "item"), [*DOC, "item"], "left_anti").select(
-        *DOC, "item", "weight", F.col("c.first").alias("candidate"),
-        round_half_even(F.col("similarity"), 4).alias("similarity"), F.col("c.key").alias("key"))
+    # similar items of each group first: one join on (group, name) then finds all that a candidate may stand for
+    reach = items.join(close, F.col("name") == F.col("right_name")).select(
+        "target_key", F.col("left_name").alias("name"), "item", "weight", "similarity")
+    # similarity in millionths above, the position below, so that one number orders both
+    order = F.round(F.col("similarity") * 1_000_000).cast("long") * POSITIONS + (POSITIONS - 1 - F.col("position"))
+    best = candidates.select(*DOC, "name", "position").join(reach, ["target_key", "name"]).groupBy(
+        *DOC, "item", "weight").agg(F.max(order).alias("best"))
+    best = best.join(exact.select(*DOC, "item"), [*DOC, "item"], "left_anti").select(
+        *DOC, "item", "weight", (POSITIONS - 1 - F.pmod("best", F.lit(POSITIONS))).alias("position"),
+        round_half_even(F.shiftright("best", 40) / 1_000_000, 4).alias("similarity"))
+    near = best.join(candidates.select(*DOC, F.col("position").cast("long").alias("position"), "first", "key"), [*DOC, "position"]).select(
+        *DOC, "item", "weight", F.col("first").alias("candidate"), "similarity", "key")
     matched = exact.unionByName(near)
     if not keep_unmatched:
         return matched
