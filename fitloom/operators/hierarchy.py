@@ -45,10 +45,12 @@ def sub_profiles(postings: DataFrame, taxonomy, patterns=None, stop_items=None,
     All fields run in one plan: the field is part of every key, so N and df are per field.
     """
     records = sub_records(postings, taxonomy, patterns, stop_items, alias_rules)
-    return sub_weights(records, cut(profile.group_sizes(records, keys=SUB)))
+    return sub_weights(records)
 
 
-def sub_weights(records: DataFrame, sizes: DataFrame) -> DataFrame:
+def sub_weights(records: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Cleaned weights of every position; ``sizes`` are the stored group sizes, if the caller has them."""
+    sizes = cut(profile.group_sizes(records, keys=SUB)) if sizes is None else sizes
     support = profile.item_support(profile.item_rows_from_lists(records, SUB), SUB)
     kept = cut(profile.minimum_support(support, sizes, SUB))
     scored = profile.scored_items(profile.item_frequency(kept), sizes, SUB)
