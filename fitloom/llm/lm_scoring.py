@@ -23,7 +23,7 @@ from fitloom.llm.subwords import Encoder, broadcast_vocabulary
 
 FOLDS, HELD_OUT = 5, 1
 # One window in this many is used for training, in every text and at every size of the corpus.
-EVERY = 32
+EVERY = 16
 # Frequent words that tasks hold in memory; all others are looked up by a join.
 FREQUENT = 1 << 17
 TASK_WINDOWS = 1 << 14

@@ -66,6 +66,10 @@ def test_scores_of_nothing(nothing):
     assert lm_scoring.scores(nothing, public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_share_of_training_windows():
+    assert lm_scoring.EVERY <= 16
+
+
 def test_every_token_is_scored_once_and_only_from_the_left():
     random = np.random.RandomState(1)
     lengths = np.array([1, 16, 17, 50, 3])
