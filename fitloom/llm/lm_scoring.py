@@ -1,9 +1,9 @@
 """Language-model scores of whole texts: a unigram base and a causal self-attention model.
 
-One pass over the texts outside the held-out fold counts every word and keeps a fixed share of their
-windows of subword ids. Counts of ids and of what stands before them follow from the word counts.
-The model is trained by all tasks side by side on the windows and averaged, twice; nothing but counts
-of a fixed vocabulary and the parameters reach the driver. Texts are scored where they are read; only
+One pass over the texts outside the held-out fold counts every word and keeps their subword ids, in
+blocks. Counts of ids and of what stands before them follow from the word counts. The model is trained
+on all windows of the blocks, in segments side by side, and averaged, twice; nothing but counts of a
+fixed vocabulary and the parameters reach the driver. Texts are scored where they are read; only
 their words outside the bounded table of frequent words meet the full counts in a join.
 """
 
@@ -22,11 +22,15 @@ from fitloom.llm.common import Shipped, bucket_of, most_frequent, pieces, ragged
 from fitloom.llm.subwords import Encoder, broadcast_vocabulary
 
 FOLDS, HELD_OUT = 5, 1
-# One window in this many is used for training, in every text and at every size of the corpus.
-EVERY = 16
+# One window in this many is used for training: all of them.
+EVERY = 1
 # Frequent words that tasks hold in memory; all others are looked up by a join.
 FREQUENT = 1 << 17
+# Windows that one copy of the model is trained on in a round, and such segments of a task.
 TASK_WINDOWS = 1 << 14
+SEGMENTS = 16
+# Windows of a text that are dealt together.
+BLOCK = 32
 ROUNDS = 2
 BATCH = 64
 # Bytes of text that a worker handles at once.
@@ -83,17 +87,21 @@ class Subwords:
 
 
 def gather(docs: DataFrame, vocab, every: int = EVERY, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
-    """Counts (word, n) and windows (ids) of all training texts; the end of a text is the empty word."""
+    """Counts (word, n) and subword ids (start, turn, ids) of all training texts; the end of a text is
+    the empty word. The ids of a text are cut to blocks of whole windows; before ``start`` stands the
+    context of a block's first window. turn tells which of its windows are used."""
+    size, context = BLOCK * STEP, CONTEXT + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(vocab.value)
         seen: dict[bytes, int] = {}
-        names = ["word", "n", "window"]
+        names = ["word", "n", "start", "turn", "ids"]
 
         def report() -> pa.RecordBatch:
             n = len(seen)
-            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64()),
-                                              pa.nulls(n, pa.list_(pa.int32()))], names)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64()), pa.nulls(n, pa.int32()),
+                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32()))], names)
             seen.clear()
             return out
 
@@ -105,22 +113,33 @@ def gather(docs: DataFrame, vocab, every: int = EVERY, folds: int = FOLDS, held_
                     seen[w] = seen.get(w, 0) + n
                 seen[END_WORD] = seen.get(END_WORD, 0) + piece.num_rows
                 ids, offsets = subwords.of(places, per_row, plain)
-                text, first = windows(np.diff(offsets))
-                # in each text every n-th window, from a place that its id decides
-                chosen = (first // STEP + piece.column(0).to_numpy()[text]) % every == 0
-                inputs, open_, targets, counted = window_ids(ids, offsets, text[chosen], first[chosen])
-                # -1: beginning, -2: nothing there
-                both = np.concatenate((np.where(open_, inputs, -2), np.where(counted, targets, -2)), 1).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(both) + 1) * (SPAN + STEP), pa.int32()), pa.array(both.ravel()))
-                if len(both):
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.binary()), pa.nulls(len(both), pa.int64()), lists], names)
+                lengths = np.diff(offsets)
+                n = -(-lengths // size)
+                text = np.repeat(np.arange(len(lengths)), n)
+                begin = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * size
+                low, high = np.maximum(begin - context, 0), np.minimum(begin + size, lengths[text])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(high - low))), pa.int32()),
+                                                 pa.array(ids[ragged(offsets[text] + low, high - low)].astype(np.int32)))
+                turn = (begin // STEP + piece.column(0).to_numpy()[text]) % every
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(len(text), pa.binary()), pa.nulls(len(text), pa.int64()), pa.array((begin - low).astype(np.int32)),
+                     pa.array(turn.astype(np.int32)), lists], names)
                 if len(seen) > 200_000:
                     yield report()
         yield report()
 
     training = docs.filter(bucket_of(F.col("doc_id"), folds) != held_out)
     frame = training.select(F.pmod(F.xxhash64("doc_id"), F.lit(every)).alias("turn"), "text")
-    return frame.mapInArrow(run, "word binary, n long, window array<int>")
+    return frame.mapInArrow(run, "word binary, n long, start int, turn int, ids array<int>")
+
+
+def training_windows(start: np.ndarray, turn: np.ndarray, lists: pa.Array, every: int = EVERY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`window_ids` of blocks, for every window or for one in ``every``."""
+    offsets = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(lists).to_numpy()))).astype(np.int64)
+    block, first = windows(np.diff(offsets) - start)
+    chosen = (first // STEP + turn[block]) % every == 0
+    block, first = block[chosen], first[chosen]
+    return window_ids(lists.flatten().to_numpy(), offsets, block, first + start[block])
 
 
 def id_counts(counts: DataFrame, vocab) -> tuple[np.ndarray, np.ndarray]:
@@ -152,39 +171,53 @@ def id_counts(counts: DataFrame, vocab) -> tuple[np.ndarray, np.ndarray]:
     return before.sum(1), before
 
 
-def fitted(chosen: DataFrame, tables, rounds: int = ROUNDS) -> Model:
-    """Train on the windows: in every round each task starts from the common parameters, goes through
-    its own windows, and the results are averaged by their number of windows."""
-    spark = chosen.sparkSession
+def fitted(blocks: DataFrame, tables, every: int = EVERY, rounds: int = ROUNDS) -> Model:
+    """Train on the windows of the blocks (start, turn, ids): in every round each segment of
+    TASK_WINDOWS windows starts from the common parameters, and the results are averaged by their
+    number of windows."""
+    spark = blocks.sparkSession
     model = Model.fresh(tables.value.prior)
-    n = chosen.count()
+    n = blocks.agg(F.sum(F.ceil((F.size("ids") - F.col("start")) / STEP))).first()[0]
     if not n:
         return model
-    dealt = stored(chosen.repartition(-(-n // TASK_WINDOWS), F.xxhash64("window")))
+    # by position, so that equal blocks go different ways
+    dealt = stored(blocks.withColumn("row", row_id()).repartition(-(-n // (every * SEGMENTS * TASK_WINDOWS)), "row").drop("row"))
     for _ in range(rounds):
         start = spark.sparkContext.broadcast(model.flat)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t, rows = tables.value, []
+            t = tables.value
+            total, seen = np.zeros(len(start.value)), 0
+            kept: list[tuple[np.ndarray, ...]] = []
+
+            def segment() -> None:
+                nonlocal total, seen
+                parts = [np.concatenate(x) for x in zip(*kept)]
+                kept.clear()
+                order = np.random.RandomState(11).permutation(len(parts[0]))
+                own = order[:TASK_WINDOWS]
+                kept.append(tuple(x[order[TASK_WINDOWS:]] for x in parts))
+                steps = (own[at:at + BATCH] for at in range(0, len(own), BATCH))
+                total += train(Model(start.value), (tuple(x[some] for x in parts) for some in steps)).flat.astype(np.float64) * len(own)
+                seen += len(own)
+
             for batch in batches:
-                rows.append(batch.column(0).flatten().to_numpy().reshape(-1, SPAN + STEP))
-            if not rows or not sum(map(len, rows)):
-                return
-            both = np.concatenate(rows)
-            both = both[np.random.RandomState(11).permutation(len(both))]
-
-            def steps():
-                for at in range(0, len(both), BATCH):
-                    inputs, targets = both[at:at + BATCH, :SPAN], both[at:at + BATCH, SPAN:]
-                    yield (np.where(inputs < 0, t.begin, t.row_of[np.maximum(inputs, 0)]), inputs != -2,
-                           t.class_of[np.maximum(targets, 0)], (targets >= 0).astype(np.float32))
-
-            flat = train(Model(start.value), steps()).flat
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat.astype(np.float64) * len(both)),
-                 pa.array(np.full(len(flat), float(len(both))))], ["at", "v", "w"])
+                for at in range(0, batch.num_rows, 128):
+                    part = batch.slice(at, 128)
+                    inputs, open_, targets, counted = training_windows(part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2), every)
+                    kept.append((np.where(inputs < 0, t.begin, t.row_of[np.maximum(inputs, 0)]).astype(np.int16), open_,
+                                 t.class_of[targets].astype(np.int16), counted.astype(np.float32)))
+                    while sum(len(x[0]) for x in kept) >= TASK_WINDOWS:
+                        segment()
+            if sum(len(x[0]) for x in kept):
+                segment()
+            if seen:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(len(total)), pa.int32()), pa.array(total), pa.array(np.full(len(total), float(seen)))], ["at", "v", "w"])
 
         mean = dealt.mapInArrow(run, "at int, v double, w double").groupBy("at").agg((F.sum("v") / F.sum("w")).alias("v")).toPandas()
+        if not len(mean):
+            return model
         flat = model.flat.copy()
         flat[mean["at"]] = mean["v"]
         model = Model(flat)
@@ -211,7 +244,8 @@ def scores(docs: DataFrame, tokenizer: str, folds: int = FOLDS, held_out: int =
     Words stand between ASCII white space, with A-Z in lower case; the end of a text is one more token.
     base_score adds log10((c + 0.5) / (N + 0.5 (V + 1))) over the tokens, with their counts c in the
     training texts (crc32(doc_id) modulo ``folds`` is not ``held_out``); n_known counts those with
-    c > 0, train_tokens is N. score is the log10 probability of the text's subword ids and its end.
+    c > 0, train_tokens is N. score is the log10 probability of the text's subword ids and its end,
+    under a model that is trained on one window in ``every`` of the training texts.
     A null text counts as empty; repeated rows are scored again; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -224,7 +258,7 @@ def scores(docs: DataFrame, tokenizer: str, folds: int = FOLDS, held_out: int =
     top = {bytes(r["word"]): r["n"] for r in most_frequent(counts, frequent).collect()}
     known = spark.sparkContext.broadcast(top)
     tables = Shipped(spark, Tables(*id_counts(counts, vocab)))
-    trained = spark.sparkContext.broadcast(fitted(gathered.filter("window is not null").select("window"), tables).flat)
+    trained = spark.sparkContext.broadcast(fitted(gathered.filter("ids is not null").select("start", "turn", "ids"), tables, every).flat)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,26 @@ def test_share_of_training_windows():
     assert lm_scoring.EVERY <= 16
 
 
+def test_every_training_token_reaches_the_model(spark, docs):
+    from fitloom.llm.subwords import broadcast_vocabulary
+    vocab = broadcast_vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
+    blocks = lm_scoring.gather(docs, vocab).filter("ids is not null").select("start", "turn", "ids").toArrow()
+    parts = [lm_scoring.training_windows(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)) for b in blocks.to_batches()]
+    subwords = lm_scoring.Subwords(vocab.value)
+    want = Counter()
+    for r in docs.collect():
+        if fold(r.doc_id) != 1:
+            places, per_row, words = lm_scoring.ascii_words(pa.array([r.text]))
+            ids, offsets = subwords.of(places, per_row, words.to_pylist())
+            # what a token may look at is the same as when it is scored
+            text, first = attention.windows(np.diff(offsets))
+            inputs, open_, targets, counted = attention.window_ids(ids, offsets, text, first)
+            for i, o, t, c in zip(inputs, open_, targets, counted):
+                want[tuple(i[o]), tuple(t[c])] += 1
+    got = Counter((tuple(i[o]), tuple(t[c])) for part in parts for i, o, t, c in zip(*part))
+    assert got == want
+
+
 def test_every_token_is_scored_once_and_only_from_the_left():
     random = np.random.RandomState(1)
     lengths = np.array([1, 16, 17, 50, 3])
