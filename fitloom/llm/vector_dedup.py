@@ -23,7 +23,7 @@ from fitloom.llm.components import components
 
 BLOCKS = 4
 GRID_AXES = 2
-# Vectors of one cell that are compared in one task; larger cells are split.
+# Own vectors of a cell in one task, about, and visitors that it holds at a time.
 TASK_ROWS = 2048
 COSINE = 0.93
 # Room for rounding in the rotated coordinates; the exact cosine decides.
@@ -157,43 +157,55 @@ def link_counts(reps: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, g
         F.col("home"), F.array(F.pmod(F.xxhash64("rep"), F.col("tasks")).cast("int")))
         .otherwise(F.sequence(F.lit(0), F.col("tasks") - 1))))
 
+    most = TASK_ROWS
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _tasks(batches):
+        for group in _tasks(batches, most):
             yield _compared(group, plan.value)
 
     keys = [*place, "task"]
-    ordered = spread.select(*keys, "home", "rep", "size", "vector").repartition(*keys).sortWithinPartitions(*keys, "home")
+    ordered = spread.select(*keys, "home", "rep", "size", "vector").repartition(*keys).sortWithinPartitions(*keys, F.desc("home"))
     return ordered.mapInArrow(compare, "rep long, links long, other long")
 
 
-def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows of one task after the other, from batches sorted by task."""
-    kept: list[pa.RecordBatch] = []
-    last = None
+def _tasks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Own rows of one task after the other with at most ``most`` of its visitors at a time, from batches
+    sorted by task, own rows first. Tasks without visitors compare nothing."""
+    mine: list[pa.RecordBatch] = []
+    visitors: list[pa.RecordBatch] = []
+    held, last = 0, None
     for batch in batches:
-        keys = [batch.column(i) for i in range(5)]
+        if not batch.num_rows:
+            continue
         new = np.zeros(batch.num_rows, bool)
-        for key in keys:
-            values = key.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        # the sixth column is home: runs of own rows and of visitors come one by one
+        for i in range(6):
+            values = batch.column(i).dictionary_encode().indices.to_numpy(zero_copy_only=False)
             new[1:] |= values[1:] != values[:-1]
-        first = tuple(k[0].as_py() for k in keys) if batch.num_rows else None
         starts = np.flatnonzero(new).tolist()
         for a, b in zip([0, *starts], [*starts, batch.num_rows]):
-            if b == a:
+            now = tuple(batch.column(i)[a].as_py() for i in range(5))
+            if now != last:
+                if visitors:
+                    yield pa.Table.from_batches([*mine, *visitors])
+                mine, visitors, held, last = [], [], 0, now
+            if batch.column(5)[a].as_py():
+                mine.append(batch.slice(a, b - a))
                 continue
-            now = first if a == 0 else None
-            if kept and (a > 0 or now != last):
-                yield pa.Table.from_batches(kept)
-                kept = []
-            kept.append(batch.slice(a, b - a))
-        if batch.num_rows:
-            last = tuple(k[batch.num_rows - 1].as_py() for k in keys)
-    if kept:
-        yield pa.Table.from_batches(kept)
+            while a < b:
+                some = batch.slice(a, min(b - a, most - held))
+                visitors.append(some)
+                held += some.num_rows
+                a += some.num_rows
+                if held == most:
+                    yield pa.Table.from_batches([*mine, *visitors])
+                    visitors, held = [], 0
+    if visitors:
+        yield pa.Table.from_batches([*mine, *visitors])
 
 
 def _compared(table: pa.Table, plan: Blocks) -> pa.RecordBatch:
-    """Counts for the cell's own vectors against all that reach it, and links that connect them."""
+    """Counts for the cell's own vectors against the visitors at hand, and links that connect them."""
     home = table.column("home").to_numpy()
     rep, size = table.column("rep").to_numpy(), table.column("size").to_numpy()
     vectors = _matrix(table.column("vector").combine_chunks())
@@ -230,6 +242,7 @@ def _compared(table: pa.Table, plan: Blocks) -> pa.RecordBatch:
                     root[max(c, d)] = min(c, d)
     ends = np.array([find(i) for i in range(len(root))], np.int64)
     moved = np.flatnonzero((ends != np.arange(len(root))) & (rep[ends] != rep))
+    mine, links = mine[links > 0], links[links > 0]
     return pa.RecordBatch.from_arrays(
         [pa.array(np.concatenate((rep[mine], rep[moved]))), pa.array(np.concatenate((links, np.zeros(len(moved), np.int64)))),
          pa.array([None] * len(mine) + rep[ends[moved]].tolist(), pa.int64())], ["rep", "links", "other"])

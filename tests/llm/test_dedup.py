@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -134,6 +135,21 @@ def test_near_vectors(spark, brute, monkeypatch, task_rows):
     assert Counter(tuple(r) for r in vector_dedup.near_vectors(df).collect()) == want
 
 
+@pytest.mark.parametrize("size", [3, 7, 100])
+def test_tasks_hold_few_visitors(size):
+    rows = [("a", 2, 0, k, 0, home, 100 * k + n, 1, [1.0, 0.0]) for k, own, far in ((0, 4, 23), (1, 1, 0), (2, 2, 5), (3, 3, 10))
+            for home, count in ((True, own), (False, far)) for n in range(count)]
+    names = ["label", "dim", "block", "cell", "task", "home", "rep", "size", "vector"]
+    table = pa.Table.from_pylist([dict(zip(names, r)) for r in rows])
+    got = Counter()
+    for part in vector_dedup._tasks(iter(table.to_batches(max_chunksize=size)), 5):
+        own = [r for r in part.to_pylist() if r["home"]]
+        far = [r for r in part.to_pylist() if not r["home"]]
+        assert len(far) <= 5 and len({r["cell"] for r in own + far}) == 1
+        got.update((a["cell"], a["rep"], b["rep"]) for a in own for b in far)
+    assert got == Counter((a[3], a[6], b[6]) for a in rows for b in rows if a[5] and not b[5] and a[3] == b[3])
+
+
 def test_near_empty(spark, nothing):
     assert exact_dedup.exact_groups(nothing).count() == 0
     assert simhash.near_groups(nothing).count() == 0
