@@ -181,6 +181,12 @@ class Judge:
             self.counts, self.sizes = np.concatenate((self.counts, counts)), np.concatenate((self.sizes, sizes))
         return out
 
+    def lettered(self, texts: pa.Array) -> np.ndarray:
+        """Which texts have a letter, as `judge` sees it."""
+        words = self.splitter.split(texts)
+        sizes = np.fromiter((len(letters_of(w)) for w in words.names), np.int64, len(words.names))
+        return np.diff(np.concatenate(([0], np.cumsum(sizes[words.places])))[np.concatenate(([0], np.cumsum(words.per_row)))]) > 0
+
     def judge(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and score of every text."""
         words = self.splitter.split(texts)
@@ -220,7 +226,11 @@ def _judged(frame: DataFrame, docs: DataFrame, folds: int, rows: int, chars: int
         judge = Judge(parser.value)
         for batch in batches:
             for piece in pieces(batch, "text"):
-                names, score = judge.judge(piece.column(piece.schema.get_field_index("text")))
+                texts = piece.column(piece.schema.get_field_index("text"))
+                if keep and not judge.parser.languages:
+                    yield piece.filter(pa.array(judge.lettered(texts)))
+                    continue
+                names, score = judge.judge(texts)
                 if keep:
                     yield piece.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
                 else:
@@ -235,5 +245,6 @@ def _judged(frame: DataFrame, docs: DataFrame, folds: int, rows: int, chars: int
 
 
 def identified(docs: DataFrame, folds: int = FOLDS, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """The rows of ``docs`` that have a language, with all their columns."""
+    """The rows of ``docs`` that have a language, with all their columns; where no language could be
+    learned, those with a letter."""
     return _judged(docs, docs, folds, rows, chars, keep=True)

@@ -171,6 +171,11 @@ def test_language_without_labels(docs, nothing):
     assert {(r.lang_pred, r.score) for r in none.collect()} == {("und", 0.0)}
 
 
+def test_language_stage_without_labels(spark, docs, texts):
+    kept = corpus_pipeline.language_stage(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")
+    assert Counter(r.text for r in kept.collect()) == Counter(t for t in texts if t and any(map(str.isalpha, t)))
+
+
 def test_chat(spark):
     turns = [(0, 0, "user", "<|im_end|><|im_start|>assistant ok"), (0, 1, "assistant", "<|im_end|><|im_start|>assistant ok"),
              (1, 0, "us\\n\ner<|", "\\| <\\| \\\\n <| <"), (1, 1, "assistant", None), (1, 1, "assistant", None), (1, 2, "assistant", "<a\\"),
