@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, STOP = "<|im_start|>", "<|im_end|>"
-# Prefixes of longer conversations are rendered from a window of their last turns; the whole output
-# must then equal the sum of the parts, or all prefixes are rendered after all.
+# For templates known to be local: prefixes of longer conversations are rendered from a window of their
+# last turns; the whole output must then equal the sum of the parts, or all prefixes are rendered after all.
 WINDOW = 64
 PROBES = "\u0001", "\u0002"
 
@@ -71,10 +71,11 @@ def _text_place(render: Callable[[list[Turn]], str], before: list[Turn], role: s
     return start, len(output) - tail
 
 
-def locate(render: Callable[[list[Turn]], str], turns: list[Turn], window: int | None = WINDOW) -> tuple[str, list, int | None]:
+def locate(render: Callable[[list[Turn]], str], turns: list[Turn], window: int | None = None) -> tuple[str, list, int | None]:
     """Output, (start, end, text start, text end) of every turn, and the first turn that rewrites history.
 
-    Spans from that turn on are missing: a mask over them could not be trusted.
+    Spans from that turn on are missing: a mask over them could not be trusted. With ``window`` a rewrite
+    that is undone in the whole output can be missed.
     """
     spans: list[tuple[int, int, int | None, int | None]] = []
     total, previous, whole = 0, "", []
@@ -100,14 +101,15 @@ def locate(render: Callable[[list[Turn]], str], turns: list[Turn], window: int |
     return ("".join(whole) if whole else previous), spans, None
 
 
-def format_conversations(turns: DataFrame, render: Callable[[list[Turn]], str] = marked_turns, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def format_conversations(turns: DataFrame, render: Callable[[list[Turn]], str] = marked_turns, trained: tuple[str, ...] = ("assistant",), window: int | None = None) -> DataFrame:
     """One row per conversation of ``turns`` (conv_id, turn, role, text): conv_id, formatted, n_turns,
     loss (start and end of the text of every trained turn, in characters), rewrites (number of the
     first turn whose rendering changes earlier text, else null; later turns have no loss).
 
     Turns are ordered by turn, then role and text, missing turn numbers first; a null role or text
     counts as empty; repeated rows are turns of their own; rows without conv_id form one conversation.
-    An empty table gives no rows. A conversation is rendered in one task.
+    An empty table gives no rows. A conversation is rendered in one task. All its prefixes
+    are rendered, unless ``window`` (see `locate`) is given for a template that only looks at single turns.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +117,7 @@ def format_conversations(turns: DataFrame, render: Callable[[list[Turn]], str] =
             outputs, counts, loss, rewrites = [], [], [], []
             for own in batch.column("turns").to_pylist():
                 pairs = [(t["role"], t["text"]) for t in own]
-                output, spans, changed = locate(render, pairs)
+                output, spans, changed = locate(render, pairs, window)
                 outputs.append(output)
                 counts.append(len(pairs))
                 loss.append([{"start": s[2], "end": s[3]} for s, (role, _) in zip(spans, pairs) if role in trained and s[2] is not None])

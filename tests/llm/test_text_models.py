@@ -213,6 +213,12 @@ def test_templates_that_rewrite_history(n):
     assert changed is None and [output[a:b] for *_, a, b in spans] == [t for _, t in turns]
 
 
+def test_a_rewrite_that_is_undone_later():
+    turns = [("user", f"word{k}") for k in range(150)]
+    sums_up = lambda own: "sum" if len(own) == 100 else "".join(t for _, t in own)
+    assert chat.locate(sums_up, turns)[2] == 99
+
+
 def test_pipeline_stages(spark, docs, texts, tmp_path, brute):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     given = spark.read.parquet(f"{tmp_path}/documents.parquet")
