@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fitloom.llm import chat, exact_dedup, language, lexicon, licenses, lm_scoring, packing, simhash, token_counts, vector_dedup
+from fitloom.llm import chat, decontaminate, exact_dedup, language, lexicon, licenses, lm_scoring, packing, simhash, token_counts, vector_dedup
 from fitloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +121,29 @@ def incremental_chat(spark, sf_dir):
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in turns.schema)
     hostile = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], kinds)
     return chat.read_back(chat.format_conversations(turns.union(hostile), window=chat.WINDOW))
+DECONTAMINATION_SQL = r"""
+WITH folded AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i : i + 9], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM folded WHERE len(w) > 0)),
+texts AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+grams AS (
+  SELECT r, i, size, array_to_string(w[i : i + size - 1], ' ') AS win
+  FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM texts, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+found AS (SELECT r, i, windows.size, item_id FROM grams JOIN windows USING (win)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, i, size, unnest(range(i, i + size)) AS p FROM found) GROUP BY r),
+of AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found) WHERE item IS NOT NULL GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN hit USING (r) LEFT JOIN of USING (r)"""
+
+
+@query("op13_aho_corasick", DECONTAMINATION_SQL)
+def aho_corasick(spark, sf_dir):
+    found = decontaminate.contaminated_words(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
