@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitloom.llm import chat, decontaminate, exact_dedup, language, lexicon, licenses, lm_scoring, packing, simhash, token_counts, vector_dedup
+from fitloom.llm import alignment, chat, decontaminate, exact_dedup, language, lexicon, licenses, lm_scoring, packing, simhash, token_counts, vector_dedup
 from fitloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,9 @@ def aho_corasick(spark, sf_dir):
     found = decontaminate.contaminated_words(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op11_text_alignment")
+def text_alignment(spark, sf_dir):
+    return alignment.alignment_measures(
+        read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
