@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitloom.llm import alignment, chat, decontaminate, exact_dedup, language, lexicon, licenses, lm_scoring, packing, simhash, token_counts, vector_dedup
+from fitloom.llm import alignment, chat, decontaminate, exact_dedup, language, lexicon, licenses, lm_scoring, packing, simhash, token_counts, vector_dedup, whitening
 from fitloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,8 @@ def aho_corasick(spark, sf_dir):
 def text_alignment(spark, sf_dir):
     return alignment.alignment_measures(
         read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_block_whitening")
+def block_whitening(spark, sf_dir):
+    return whitening.whitened_vectors(read(spark, sf_dir, "embeddings"))
