@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,21 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fitloom.llm.common import Shipped, most_frequent, pieces, ragged, stored, text_buffer
-from fitloom.llm.subwords import Splitter, Vocabulary, byte_letters
+from fitloom.llm.subwords import Encoder, Splitter, Vocabulary, byte_letters
 from fitloom.plans.skew import PARTS, join_by_weight
 
 # A pair of ids is one number: A's id above, B's in the lowest bits.
 B_BITS = 20
+PAIR = 1 << 2 * B_BITS
 # Pairs that are looked up in memory: some 8 MB for each executor. Others meet their counts in a join.
 FREQUENT = 1 << 18
-# Segments that a worker remembers, and bytes of them, about.
-SEGMENTS, SEGMENT_BYTES = 200_000, 32 << 20
+# Bytes of texts that are aligned at a time, and words that tokenizer A remembers.
+BYTES, WORDS = 2 << 20, 100_000
 
 # The space before which a text can be cut: one after a character that is no white space. These end
 # the UTF-8 forms of all white space that is not ASCII; after a two-byte letter they are harmless.
 BLANK_TAILS = np.isin(np.arange(256), [*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF])
 BLANK_ASCII = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-NO_TOKENS = np.zeros(3, np.int64)
 
 
 def boundaries(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -47,129 +48,113 @@ def boundaries(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def meet(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int]], list[tuple[list[int], list[int]]]]:
-    """Linked pairs of ids, in order, and the groups of two token lists over the same bytes."""
-    links, groups = [], []
-    i = j = i0 = j0 = 0
-    while i < len(a):
-        links.append((a[i], b[j]))
-        end, other = a_ends[i], b_ends[j]
-        i += end <= other
-        j += other <= end
-        if end == other:
-            groups.append((a[i0:i], b[j0:j]))
-            i0, j0 = i, j
-    return links, groups
+class Strings:
+    """Byte strings by number, to be laid out one after the other."""
+
+    def __init__(self, parts: list[bytes]):
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(parts), np.uint8)
+
+    def of(self, numbers: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+        parts = (numbers[k:k + step] for k in range(0, len(numbers), step))
+        return np.concatenate([np.empty(0, np.uint8), *(self.data[ragged(self.starts[x], self.sizes[x])] for x in parts)])
 
 
 class Aligner:
-    """Aligns texts, each with a space before it; segments seen before are not tokenised again.
+    """Aligns texts, each with a space before it, many at a time.
 
-    Neither tokenizer joins what stands before a space with the space, so a text is the chain of its
-    segments. With a piece model for which that doesn't hold, a whole text is a segment.
+    The piece model never joins what stands before a space with the space, so it encodes the distinct
+    segments between spaces. With a model for which that doesn't hold, a whole text is a segment.
     """
 
-    def __init__(self, vocab: Vocabulary, model: bytes, most: int = SEGMENTS):
-        self.vocab, self.splitter, self.most = vocab, Splitter(folded=False), most
+    def __init__(self, vocab: Vocabulary, model: bytes, most: int = WORDS):
         value = {c: k for k, c in enumerate(byte_letters())}
-        self.a_bytes = [bytes(value[c] for c in t) for t in vocab.tokens]
+        self.first = Encoder(vocab, most=most)
+        self.first.splitter = Splitter(folded=False)  # strings of special tokens are plain text
+        self.a_bytes = Strings([bytes(value[c] for c in t) for t in vocab.tokens])
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         names = [self.model.id_to_piece(k) for k in range(self.model.vocab_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(names)]
+        self.b_bytes = Strings([bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(names)])
+        self.digits = Strings([b"%d," % k for k in range(max(len(vocab.tokens), len(names)))])
         self.chained = self.model.normalize("  a  b ") == "▁▁▁a▁▁b▁" and not any("▁" in p.lstrip("▁") for p in names)
         self.blank = names.index("▁") if "▁" in names else -1
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.size = 0
-        self.good: list[bool] = []
-        self.shown: list[bytes] = []
-        self.numbers = np.zeros((0, 3), np.int64)
-        self.keys, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _tokens(self, names: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        texts = [n.decode("utf-8", "replace") for n in names]
-        words = [self.splitter.split_one(t) for t in texts]
-        place: dict[bytes, int] = {}
-        for own in words:
-            for w in own:
-                place.setdefault(w, len(place))
-        flat, counts = self.vocab.merge(list(place))
-        ends = np.cumsum(counts).tolist()
-        flat = flat.tolist()
-        merged = [flat[e - c:e] for e, c in zip(ends, counts.tolist())]
-        a = [[x for w in own for x in merged[place[w]]] for own in words]
-        b = self.model.encode([t[1:] for t in texts], num_threads=1)
-        if self.chained:
-            b = [[self.blank] if t == " " else ids for t, ids in zip(texts, b)]
-        return a, b
-
-    def places(self, names: list[bytes]) -> np.ndarray:
-        """Place of every segment in the memory."""
-        if len(self.known) > self.most or self.size > SEGMENT_BYTES:
-            self._forget()
-        new = [n for n in names if n not in self.known]
-        if new:
-            numbers, keys, times, counts = [], [], [], []
-            for name, a, b in zip(new, *self._tokens(new)):
-                a_parts, b_parts = [self.a_bytes[x] for x in a], [self.b_bytes[x] for x in b]
-                good = b"".join(a_parts) == name == b"".join(b_parts)
-                links, groups = meet(a, b, *(np.cumsum([len(p) for p in parts]).tolist() for parts in (a_parts, b_parts))) if good else ([], [])
-                self.good.append(good)
-                self.shown.append(";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups).encode())
-                numbers.append((len(a), len(b), len(groups)) if good else NO_TOKENS)
-                own: dict[int, int] = {}
-                for x, y in links:
-                    own[x << B_BITS | y] = own.get(x << B_BITS | y, 0) + 1
-                keys += own.keys()
-                times += own.values()
-                counts.append(len(own))
-                self.known[name] = len(self.known)
-            self.size += sum(map(len, new))
-            counts = np.array(counts, np.int64)
-            self.starts = np.concatenate((self.starts, np.cumsum(counts) - counts + len(self.keys)))
-            self.counts = np.concatenate((self.counts, counts))
-            self.numbers = np.concatenate((self.numbers, np.array(numbers, np.int64).reshape(-1, 3)))
-            self.keys = np.concatenate((self.keys, np.array(keys, np.int64)))
-            self.times = np.concatenate((self.times, np.array(times, np.int64)))
-        return np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
-
-    def align(self, column: pa.Array) -> pa.RecordBatch:
-        """n_a, n_b, n_groups, groups (the text of them; null without tokens), pairs and times of every text."""
-        raw, offsets = text_buffer(column)
-        raw = np.insert(raw, offsets[:-1], 32)
-        offsets = offsets + np.arange(len(offsets))
-        n = len(offsets) - 1
+
+    def _segments(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """B's ids of all texts, how many each text has, and which texts they give back."""
         at = boundaries(raw, offsets) if self.chained else offsets[:-1]
         ends = np.append(at, len(raw)).astype(np.int64)
         coded = pa.Array.from_buffers(
             pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
-        places = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        names = coded.dictionary.to_pylist()
+        tokens = self.model.encode([n[1:].decode("utf-8", "replace") for n in names], num_threads=1)
+        if self.chained:
+            tokens = [[self.blank] if n == b" " else own for n, own in zip(names, tokens)]
+        counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        starts = np.cumsum(counts) - counts
+        ids = np.fromiter(chain.from_iterable(tokens), np.int64, int(counts.sum()))
+        # a segment is good if its tokens have its bytes
+        total = np.concatenate(([0], np.cumsum(self.b_bytes.sizes[ids])))
+        long = np.fromiter(map(len, names), np.int64, len(names))
+        good = total[starts + counts] - total[starts] == long
+        kept = ids[np.repeat(good, counts)]
+        same = self.b_bytes.of(kept) == np.frombuffer(b"".join([n for n, ok in zip(names, good.tolist()) if ok]), np.uint8)
+        wrong = np.concatenate(([0], np.cumsum(~same)))
+        edge = np.concatenate(([0], np.cumsum(long[good])))
+        good[np.flatnonzero(good)] = wrong[edge[1:]] == wrong[edge[:-1]]
+        places = coded.indices.to_numpy(zero_copy_only=False)
         bounds = np.searchsorted(at, offsets)
-        owner = np.repeat(np.arange(n), np.diff(bounds))
-        good = np.bincount(owner[~np.array(self.good)[places]], minlength=n) == 0
-        sums = np.concatenate((np.zeros((1, 3), np.int64), np.cumsum(self.numbers[places], axis=0)))
-        numbers = np.diff(sums[bounds], axis=0) * good[:, None]
-        cuts = bounds.tolist()
-        groups = [b";".join([self.shown[p] for p in places[s:e].tolist()]) if ok else None for s, e, ok in zip(cuts, cuts[1:], good.tolist())]
-        # the pairs of a text: its segments once each, then their pairs
-        fit = good[owner]
-        seen, often = np.unique(owner[fit] * len(self.good) + places[fit], return_counts=True)
-        text, place = np.divmod(seen, len(self.good))
-        size = self.counts[place]
-        where = ragged(self.starts[place], size)
-        text, key, time = np.repeat(text, size), self.keys[where], self.times[where] * np.repeat(often, size)
-        order = np.lexsort((key, text))
-        text, key, time = text[order], key[order], time[order]
-        first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])))[:len(text)])
-        total = np.add.reduceat(time, first) if len(first) else time
-        rows = pa.array(np.searchsorted(text[first], np.arange(n + 1)).astype(np.int32))
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array(np.ascontiguousarray(c)) for c in numbers.T), pa.array(groups, pa.binary()),
-             pa.ListArray.from_arrays(rows, pa.array(key[first])), pa.ListArray.from_arrays(rows, pa.array(total))],
-            ["n_a", "n_b", "n_groups", "groups", "pairs", "times"])
+        each = counts[places]
+        sums = np.concatenate(([0], np.cumsum(each)))
+        bad = np.concatenate(([0], np.cumsum(~good[places])))
+        return ids[ragged(starts[places], each)], np.diff(sums[bounds]), bad[bounds[1:]] == bad[bounds[:-1]]
+
+    def align(self, column: pa.Array) -> tuple[pa.RecordBatch, list[bytes | None]]:
+        """n_a, n_b, n_groups, pairs and times of every text, and the text of its groups (None without tokens)."""
+        raw, offsets = text_buffer(column)
+        raw = np.insert(raw, offsets[:-1], 32)
+        offsets = offsets + np.arange(len(offsets))
+        n = len(offsets) - 1
+        spaced = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))])
+        a, a_offsets = self.first.encode(spaced)
+        a = a.astype(np.int64)
+        b, b_counts, good = self._segments(raw, offsets)
+        a_counts = np.diff(a_offsets)
+        # byte-level tokens have the bytes of their text whatever it is; lengths would tell otherwise
+        sums = np.concatenate(([0], np.cumsum(self.a_bytes.sizes[a])))
+        good = good & (sums[a_offsets[1:]] - sums[a_offsets[:-1]] == np.diff(offsets))
+        a, b = a[np.repeat(good, a_counts)], b[np.repeat(good, b_counts)]
+        a_counts, b_counts, sizes = a_counts * good, b_counts * good, np.diff(offsets) * good
+        a_ends, b_ends = np.cumsum(self.a_bytes.sizes[a]), np.cumsum(self.b_bytes.sizes[b])
+        limits = np.cumsum(sizes)
+        # between two neighbouring ends of either side lies one link
+        every = np.sort(np.concatenate((a_ends, b_ends)), kind="stable")
+        twice = every[1:] == every[:-1]
+        ends = every[np.concatenate(([True], ~twice))[:len(every)]]
+        owner = np.searchsorted(limits, ends)
+        pair = a[np.searchsorted(a_ends, ends)] << B_BITS | b[np.searchsorted(b_ends, ends)]
+        seen, times = np.unique(owner * PAIR + pair, return_counts=True)
+        rows = pa.array(np.searchsorted(seen, np.arange(n + 1) * PAIR).astype(np.int32))
+        cuts = every[1:][twice]
+        n_groups = np.bincount(np.searchsorted(limits, cuts), minlength=n)
+        found = pa.RecordBatch.from_arrays(
+            [pa.array(a_counts), pa.array(b_counts), pa.array(n_groups.astype(np.int64)),
+             pa.ListArray.from_arrays(rows, pa.array(seen % PAIR)), pa.ListArray.from_arrays(rows, pa.array(times.astype(np.int64)))],
+            ["n_a", "n_b", "n_groups", "pairs", "times"])
+        return found, self._groups(a, b, np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends), a_counts + b_counts, good)
+
+    def _groups(self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray, counts: np.ndarray, good: np.ndarray) -> list[bytes | None]:
+        """``a1,a2|b1;a3|b2,b3`` of every text: of each group first A's tokens, then B's."""
+        side = np.concatenate((a_group * 2, b_group * 2 + 1))
+        order = np.argsort(side, kind="stable")
+        side, ids = side[order], np.concatenate((a, b))[order]
+        shown = self.digits.of(ids)
+        at = np.cumsum(self.digits.sizes[ids]) - 1
+        last = np.concatenate((side[1:] != side[:-1], [True]))[:len(side)]
+        shown[at[last]] = np.where(side[last] % 2, ord(";"), ord("|"))
+        stops = np.concatenate(([0], at + 1))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        whole = memoryview(shown)
+        return [bytes(whole[s:e - 1]) if ok else None for s, e, ok in zip(stops, stops[1:], good.tolist())]
 
 
 def aligned_texts(docs: DataFrame, tokenizer: str, model: str, with_groups: bool = False) -> DataFrame:
@@ -187,12 +172,12 @@ def aligned_texts(docs: DataFrame, tokenizer: str, model: str, with_groups: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(*sent.value)
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                found = aligner.align(piece.column(2))
-                digests = ["" if g is None else hashlib.sha256(g).hexdigest() for g in found.column(3).to_pylist()]
-                shown = [piece.column(2), found.column(3).fill_null(b"").cast(pa.string())] if with_groups else []
+            for piece in pieces(batch, "text", BYTES):
+                found, groups = aligner.align(piece.column(2))
+                digests = ["" if g is None else hashlib.sha256(g).hexdigest() for g in groups]
+                shown = [piece.column(2), pa.array([(g or b"").decode() for g in groups])] if with_groups else []
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns[:2], *found.columns[:3], pa.array(digests, pa.string()), *found.columns[4:], *shown],
+                    [*piece.columns[:2], *found.columns[:3], pa.array(digests, pa.string()), *found.columns[3:], *shown],
                     ["text_key", "copies", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times", *extra])
 
     distinct = docs.filter("text <> ''").groupBy("text").agg(F.count("*").alias("copies"))
