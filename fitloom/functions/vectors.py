@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,7 +13,7 @@ from pyspark.sql import types as T
 from fitloom import rules
 from fitloom.functions.arrays import let
 from fitloom.functions.numbers import clamp01
-from fitloom.functions.text import is_blank, strip
+from fitloom.functions.text import WORD, is_blank, strip
 
 Encoder = Callable[[list[str]], np.ndarray]
 VECTOR = T.ArrayType(T.FloatType())
@@ -77,39 +74,50 @@ def candidate_text(skills: Column, experience: Column, projects: Column, raw: Co
 
 # --- encoder -------------------------------------------------------------------------------
 
-_TOKEN = re.compile(r"\w+")
-
-
 class HashingEncoder:
-    """Default encoder: counts of hashed words, L2-normalised.
+    """Default encoder: counts of hashed words, L2-normalised, as a column expression.
 
-    Deterministic on every machine, needs no model file, and reads the whole text.
+    Deterministic on every machine, needs no model file, reads the whole text and stays inside the JVM.
+    ``dim`` is the length of the vectors; a subclass may set another one.
     """
 
-    def __init__(self, dim: int = 256):
-        self.dim = dim
-        self._slot = lru_cache(maxsize=1 << 16)(self._hash)
+    dim = 256
+
+    @classmethod
+    def counts(cls, text: Column) -> Column:
+        """How many words of a text fall into each of the ``dim`` slots."""
+        words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"{WORD}+"), F.lit(0))
+        slots = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % cls.dim)
+        every = F.sequence(F.lit(0).cast("long"), F.lit(cls.dim - 1).cast("long"))
 
-    def _hash(self, token: str) -> int:
-        return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim
+        def runs(sorted_):
+            # every slot stands there once more than it has words, so there are dim runs
+            starts = F.array_compact(F.transform(sorted_, lambda x, i: F.when((i == 0) | (x != F.get(sorted_, F.greatest(i - 1, F.lit(0)))), i)))
+            return let(starts, lambda p: F.zip_with(p, F.concat(F.slice(p, 2, cls.dim), F.array(F.size(sorted_))), lambda a, b: b - a - 1))
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for row, text in enumerate(texts):
-            slots = [self._slot(t) for t in _TOKEN.findall(text.lower())]
-            out[row] = np.bincount(slots, minlength=self.dim)
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norms == 0, 1.0, norms)
+        return let(F.sort_array(F.concat(slots, every)), runs)
+
+    @classmethod
+    def column(cls, text: Column) -> Column:
+        """The vector; that of a text without words is zero."""
+        def scaled(counts):
+            square = F.aggregate(counts, F.lit(0).cast("long"), lambda s, c: s + c.cast("long") * c)
+            return let(F.sqrt(square), lambda norm: F.transform(counts, lambda c: F.when(c == 0, F.lit(0.0)).otherwise(c / norm).cast("float")))
+        return let(cls.counts(text), scaled)
 
 
 def embed(text: Column, make_encoder: Callable[[], Encoder] = HashingEncoder,
           batch_size: int = 16) -> Column:
     """Vector of every text.
 
-    ``make_encoder`` is called once per Python worker, so a model is loaded once and then fed
-    with batches.  It counts as non-deterministic so that a filter on the vector is not pushed
-    below it, which would encode every text twice.
+    An encoder with a ``column`` method gives it as an expression. Any other ``make_encoder`` is
+    called once per Python worker, so a model is loaded once and then fed with batches. That counts
+    as non-deterministic so that a filter on the vector is not pushed below it, which would encode
+    every text twice.
     """
+    if hasattr(make_encoder, "column"):
+        return make_encoder.column(text)
+
     @F.pandas_udf(VECTOR)
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = make_encoder()

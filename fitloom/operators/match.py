@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +16,10 @@ from fitloom import rules
 from fitloom.functions.items import canonicalize
 from fitloom.functions.numbers import clamp01, round_half_even
 from fitloom.functions.text import display_name, strip
-from fitloom.functions.vectors import Encoder, HashingEncoder, embed, semantic_score
+from fitloom.functions.vectors import Encoder, HashingEncoder, semantic_score
+from fitloom.operators.similar import similar_names
 from fitloom.plans.materialize import cut
 
-NAMES_PER_BLOCK = 4096
 # Above every position in a list of items.
 POSITIONS = 1 << 40
 DOC = ["doc_id", "target_key"]
@@ -54,35 +52,6 @@ def candidate_items(docs: DataFrame) -> DataFrame:
         F.collect_list(F.struct("position", "item")).alias("spelled"))
 
 
-def similar_names(left: DataFrame, right: DataFrame, threshold: float, make_encoder: Callable[[], Encoder]) -> DataFrame:
-    """(left_name, right_name, similarity) of all names that are at least ``threshold`` similar.
-
-    Distinct names are encoded once and compared block by block; only close pairs leave a block.
-    """
-    def encoded(names, out):
-        return cut(names.select(F.col("name").alias(out), embed(F.col("name"), make_encoder).alias("v")))
-
-    left, right = encoded(left, "left_name"), encoded(right, "right_name")
-    blocks = [max(1, -(-df.count() // NAMES_PER_BLOCK)) for df in (left, right)]
-
-    def dealt(df, name, own, other, side):
-        place = F.pmod(F.xxhash64(name), F.lit(own)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
-        return df.select(name, "v", *((place.alias("i"), every.alias("j")) if side else (every.alias("i"), place.alias("j"))))
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"left_name": [], "right_name": [], "similarity": []})
-        x, y = (np.array(df["v"].tolist(), dtype=np.float64) for df in (a, b))
-        sims = np.round(x @ y.T, 6)
-        i, j = np.nonzero(sims >= threshold)
-        return pd.DataFrame({"left_name": a["left_name"].to_numpy()[i], "right_name": b["right_name"].to_numpy()[j], "similarity": sims[i, j]})
-
-    return (dealt(left, "left_name", *blocks, True).groupBy("i", "j")
-            .cogroup(dealt(right, "right_name", *blocks[::-1], False).groupBy("i", "j"))
-            .applyInPandas(compare, "left_name string, right_name string, similarity double"))
-
-
 def match_rows(docs: DataFrame, kb: DataFrame, mode: str = "exact",
                threshold: float = rules.SEMANTIC_ITEM_THRESHOLD,
                make_encoder: Callable[[], Encoder] = HashingEncoder, keep_unmatched: bool = False) -> DataFrame:
@@ -102,7 +71,7 @@ def match_rows(docs: DataFrame, kb: DataFrame, mode: str = "exact",
     candidates, items = cut(candidates), cut(items)
     exact = candidates.join(items.drop("name"), ["target_key", "key"]).select(
         *DOC, "item", "weight", "candidate", F.lit(1.0).alias("similarity"), "key")
-    close = similar_names(candidates.select("name").distinct(), items.select("name").distinct(), threshold, make_encoder)
+    close = similar_names(candidates.select("name"), items.select("name"), threshold, make_encoder)
     # similar items of each group first: one join on (group, name) then finds all that a candidate may stand for
     reach = items.join(close, F.col("name") == F.col("right_name")).select(
         "target_key", F.col("left_name").alias("name"), "item", "weight", "similarity")
