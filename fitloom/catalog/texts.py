@@ -381,7 +381,7 @@ _GROUP_SEGMENTS = [
 
 @query("group_segments", postings_sql("SELECT occ_key, CAST(rank AS INTEGER) AS rank, seg FROM group_segs", _GROUP_SEGMENTS))
 def group_segments(t):
-    return profile.group_segments(profile.known_groups(records(t))).select("occ_key", "rank", "seg")
+    return profile.group_segments(profile.known_groups(records(t))).select("occ_key", F.col("rank").cast("int").alias("rank"), "seg")
 
 
 def _record_ctes(keys):

@@ -36,3 +36,18 @@ def ordered_distinct(items: Column, key: Callable[[Column], Column], limit: int
             unique = F.slice(unique, 1, limit)
         return F.transform(unique, lambda k: F.get(items, (F.array_position(keys, k) - 1).cast("int")))
     return let(items, lambda i: let(F.transform(i, lambda x: key(x)), lambda k: pick(i, k)))
+
+
+def range_part(value: Column, cuts: Column, parts: int) -> Column:
+    """Which of ``parts`` ranges a value lies in: how many of the sorted ``cuts`` are at most the value.
+
+    Nulls are in the first range. Never null: an inferred null check would run the search on every row
+    below an aggregate.
+    """
+    steps = F.lit([1 << b for b in reversed(range(parts.bit_length()))])
+
+    def search(at, step):
+        nxt = at + step
+        return F.when(F.try_element_at(cuts, nxt) <= value, nxt).otherwise(at)
+
+    return F.coalesce(F.aggregate(steps, F.lit(0), search), F.lit(0))

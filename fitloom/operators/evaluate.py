@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fitloom import rules
 from fitloom.functions import text as X
-from fitloom.functions.arrays import keep_rows, let
+from fitloom.functions.arrays import keep_rows, let, range_part
 from fitloom.functions.items import match_key
 from fitloom.functions.numbers import minmax, round_half_even, score_bucket
 from fitloom.operators.extract import extract_items
@@ -106,16 +106,7 @@ def average_ranks(df: DataFrame, value: str, by=(), weight: Column | None = None
     cuts = counts.agg(F.percentile_approx(
         value, [i / parts for i in range(1, parts)], 10000)).scalar()
     counts = counts.withColumn("_cuts", cuts)
-    steps = F.lit([1 << b for b in reversed(range(parts.bit_length()))])
-
-    def search(at, step):
-        nxt = at + step
-        inside = F.try_element_at("_cuts", nxt) <= F.col(value)
-        return F.when(inside, nxt).otherwise(at)
-
-    # never null: an inferred null check would run the search on every row below the count
-    found = F.coalesce(F.aggregate(steps, F.lit(0), search), F.lit(0))
-    counts = counts.withColumn("_part", found).drop("_cuts")
+    counts = counts.withColumn("_part", range_part(F.col(value), F.col("_cuts"), parts)).drop("_cuts")
     sizes = counts.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"))
     earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.select(*by, "_part",

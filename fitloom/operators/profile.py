@@ -2,8 +2,9 @@
 
 Statistics over the rows of a group are aggregates joined back on the group key: partial
 aggregation happens before each shuffle, so a group that holds a third of all rows costs one row
-per map task and item.  Windows only see the supported items of a group, whose number has a
-bound, or rank for a top-k, where Spark keeps only k rows per group before the shuffle.
+per map task and item.  Windows see the supported items of a group, whose number has a bound, rank
+for a top-k, where Spark keeps only k rows per group before the shuffle, or rank inside one range of
+rows of a group.
 """
 
 from __future__ import annotations
@@ -12,10 +13,14 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from fitloom import rules
-from fitloom.functions.arrays import ordered_distinct
+from fitloom.functions.arrays import ordered_distinct, range_part
 from fitloom.functions.numbers import minmax, round_half_even
 from fitloom.functions.text import group_key, strip
 from fitloom.operators.extract import segment_key
+from fitloom.plans.materialize import cut
+
+# Ranges of rows in which the segments of a group are ranked.
+SEGMENT_PARTS = 64
 
 
 def known_groups(df: DataFrame, label: str = "occupation") -> DataFrame:
@@ -219,9 +224,8 @@ def item_spread(across: DataFrame) -> DataFrame:
         (F.max("tfidf") - F.min("tfidf")).alias("spread"))
 
 
-def group_segments(records: DataFrame, keys=("occ_key",), limit: int | None = None,
-                   key_chars: int | None = None) -> DataFrame:
-    """Distinct segments of a group in order of first sight, the first ``limit`` of them if given.
+def first_segments(records: DataFrame, keys=("occ_key",), key_chars: int | None = None) -> DataFrame:
+    """(keys, row_id, pos, seg) of the distinct segments of a group where they are first seen.
 
     Repeats meet by digest before the shuffle, so each text moves once per task.
     """
@@ -231,19 +235,48 @@ def group_segments(records: DataFrame, keys=("occ_key",), limit: int | None = No
         .withColumn("seg", strip(F.col("seg")))
         .withColumn("digest", F.sha2(segment_key(F.col("seg"), key_chars), 256))
     )
-    first = (
+    return (
         seg.groupBy("digest", *keys)  # the selective column first: it decides the sort
         .agg(F.min(F.struct("row_id", "pos", "seg")).alias("first"))
         .select(*keys, "first.*")
     )
-    w = W.partitionBy(*keys).orderBy("row_id", "pos")
-    ranked = first.withColumn("rank", F.row_number().over(w))
+
+
+def row_ranges(rows: DataFrame, parts: int = SEGMENT_PARTS) -> DataFrame:
+    """``rows`` with ``_part``: the range of row_id that a row lies in, ranges of similar numbers of rows.
+
+    All groups are cut at the same places, so a group with most of the rows is in most of the parts.
+    """
+    cuts = rows.agg(F.percentile_approx("row_id", [i / parts for i in range(1, parts)], 10000)).scalar()
+    return rows.withColumn("_cuts", cuts).withColumn("_part", range_part(F.col("row_id"), F.col("_cuts"), parts)).drop("_cuts")
+
+
+def group_segments(records: DataFrame, keys=("occ_key",), limit: int | None = None,
+                   key_chars: int | None = None, parts: int = SEGMENT_PARTS) -> DataFrame:
+    """(keys, row_id, pos, seg, rank): distinct segments of a group, ranked in order of first sight, the
+    first ``limit`` of them if given. This long table has all of them whatever a profile's record shows.
+
+    No task ranks a whole group: segments are cut into ranges of row_id (numbers), counted per group
+    and range, and ranked inside their range on top of what the ranges before it hold.
+    """
+    first = row_ranges(cut(first_segments(records, keys, key_chars)), parts)
+    counts = first.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    if limit is not None:
+        offsets = offsets.filter(F.col("_offset") < limit)
+    inside = W.partitionBy(*keys, "_part").orderBy("row_id", "pos")
+    ranked = first.join(offsets, [*keys, "_part"]).withColumn("rank", F.col("_offset") + F.row_number().over(inside))
+    ranked = ranked.drop("_part", "_offset")
     return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
-def nest_segments(segs: DataFrame, keys=("occ_key",)) -> DataFrame:
+def nest_segments(segs: DataFrame, keys=("occ_key",), limit: int | None = None) -> DataFrame:
+    """The segments of a group as one list, the first ``limit`` of them if given: a limit bounds the record of a
+    group that holds a large share of all postings."""
+    kept = segs if limit is None else segs.filter(F.col("rank") <= limit)
     ordered = F.sort_array(F.collect_list(F.struct("rank", "seg")))
-    return segs.groupBy(*keys).agg(F.transform(ordered, lambda s: s["seg"]).alias("responsibilities"))
+    return kept.groupBy(*keys).agg(F.transform(ordered, lambda s: s["seg"]).alias("responsibilities"))
 
 
 def assemble_profiles(kept: DataFrame, sizes: DataFrame, segs: DataFrame | None = None) -> DataFrame:
@@ -290,12 +323,12 @@ def nest_weights(weights: DataFrame, keys=("occ_key",)) -> DataFrame:
         ranked("core").alias("core_skills"), ranked("optional").alias("optional_skills"))
 
 
-def enrich(weights: DataFrame, sizes: DataFrame, segs: DataFrame, keys=("occ_key",)) -> DataFrame:
-    """Group, core, optional, segments, size."""
+def enrich(weights: DataFrame, sizes: DataFrame, segs: DataFrame, keys=("occ_key",), segment_limit: int | None = None) -> DataFrame:
+    """Group, core, optional, segments (the first ``segment_limit`` if given), size."""
     empty = F.array().cast("array<struct<item:string,weight:double>>")
     return (
         sizes.join(nest_weights(weights, keys), list(keys), "left")
-        .join(nest_segments(segs, keys), list(keys), "left")
+        .join(nest_segments(segs, keys, segment_limit), list(keys), "left")
         .withColumns({
             "core_skills": F.coalesce("core_skills", empty),
             "optional_skills": F.coalesce("optional_skills", empty),

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Folders that this process wrote, until `clean` removes them.
 _written: list[str] = []
+# Open scopes of each thread, the innermost last.
+_open: dict[int, list[list[str]]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,10 +34,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession) -> str:
     """Name of a new folder inside the shared one."""
+    path = f"{shared_folder(spark).rstrip('/')}/fitloom-{uuid.uuid4().hex}"
+    scopes = _open.get(threading.get_ident())
+    if scopes:
+        scopes[-1].append(path)
+        return path
     if not _written:
         atexit.register(clean, spark)
-    _written.append(f"{shared_folder(spark).rstrip('/')}/fitloom-{uuid.uuid4().hex}")
-    return _written[-1]
+    _written.append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread cuts inside are removed at the end; frames that read them are then gone."""
+    scopes = _open.setdefault(threading.get_ident(), [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        _remove(spark, scopes.pop())
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -40,18 +61,23 @@ def cut(df: DataFrame) -> DataFrame:
 
     This runs a job while the plan is being built. The stored table survives lost executors, keeps
     later branches from repeating the work, is read by column, and has a known size that the
-    optimizer can base a broadcast on. It stays until `clean`, at the latest until Python ends.
+    optimizer can base a broadcast on. It stays until the
+    `scope` around it ends, else until `clean`, at the latest until Python ends.
     """
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clean(spark: SparkSession) -> None:
-    """Remove every table that `cut` wrote; frames that read them can't be used any more."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         try:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         except Exception:  # noqa: BLE001  the session may have ended before
             return
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove every table that `cut` wrote outside of a `scope`; frames that read them can't be used any more."""
+    _remove(spark, _written)

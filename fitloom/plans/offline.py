@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitloom.functions.vectors import HashingEncoder, embed, group_text
@@ -30,31 +30,37 @@ def profile_parts(records: DataFrame) -> dict[str, DataFrame]:
     return {"sizes": sizes, "weights": weights, "segments": profile.group_segments(records)}
 
 
+def profile_vector(make_encoder=HashingEncoder) -> Column:
+    """Vector of a profile's text; its own columns are enough, so no join is needed."""
+    return embed(group_text(F.col("occupation"), names(F.col("core_skills")), names(F.col("optional_skills")), F.col("responsibilities")),
+                 make_encoder)
+
+
 def embed_profiles(enriched: DataFrame, make_encoder=HashingEncoder) -> DataFrame:
-    text = group_text(F.col("occupation"), names(F.col("core_skills")),
-                      names(F.col("optional_skills")), F.col("responsibilities"))
-    return enriched.select("occ_key", embed(text, make_encoder).alias("embedding"))
+    return enriched.select("occ_key", profile_vector(make_encoder).alias("embedding"))
 
 
 def build_profiles(postings: DataFrame, make_encoder=HashingEncoder, merge_variants: bool = False,
                    patterns=None, stop_items=None, alias_rules=None,
-                   model_source: str = "hashing") -> DataFrame:
-    """Valid postings -> profile records ready for ``store.write_profiles``."""
+                   model_source: str = "hashing", segment_limit: int | None = None) -> DataFrame:
+    """Valid postings -> profile records ready for ``store.write_profiles``.
+
+    A record holds all segments of its group, or the first ``segment_limit``; set one where a group may have
+    more than a row should hold, and keep `operators.profile.group_segments` as a long table beside it.
+    """
     cleaned = extract.clean_postings(postings, alias_rules)
     records = extract.extract_all(cleaned, patterns, stop_items)
     parts = profile_parts(records)
     weights = parts["weights"].select("occ_key", "item", "weight", "tier")
     if merge_variants:
         weights = variants.clean_weighted_profiles(weights)
-    enriched = cut(profile.enrich(weights, parts["sizes"], parts["segments"]))
-    return store.profile_records(enriched, embed_profiles(enriched, make_encoder), model_source)
+    enriched = profile.enrich(weights, parts["sizes"], parts["segments"], segment_limit=segment_limit)
+    return store.profile_records(enriched.withColumn("embedding", profile_vector(make_encoder)), model_source=model_source)
 
 
 def reembed(records: DataFrame, make_encoder=HashingEncoder) -> DataFrame:
     """Fresh vectors for stored records, everything else untouched."""
-    text = group_text(F.col("occupation"), names(F.col("core_skills")),
-                      names(F.col("optional_skills")), F.col("responsibilities"))
-    return records.withColumn("embedding", embed(text, make_encoder))
+    return records.withColumn("embedding", profile_vector(make_encoder))
 
 
 def build_sub_profiles(postings: DataFrame, taxonomy, parents: DataFrame, make_encoder=HashingEncoder, patterns=None,
@@ -65,8 +71,8 @@ def build_sub_profiles(postings: DataFrame, taxonomy, parents: DataFrame, make_e
     """
     spark = postings.sparkSession
     records = hierarchy.sub_records(postings, taxonomy, patterns, stop_items, alias_rules)
-    enriched = cut(hierarchy.sub_enriched(records, positions(spark, taxonomy), parents))
-    return store.profile_records(enriched, embed_profiles(enriched, make_encoder), model_source)
+    enriched = hierarchy.sub_enriched(records, positions(spark, taxonomy), parents)
+    return store.profile_records(enriched.withColumn("embedding", profile_vector(make_encoder)), model_source=model_source)
 
 
 def cleaned_records(records: DataFrame, preferred=None) -> tuple[DataFrame, DataFrame]:

@@ -126,3 +126,23 @@ def test_ranks_and_split_at_small_parts(spark, monkeypatch):
     per_bucket = split.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("is_val").alias("v")).collect()
     assert all(r.v == round(r.n * 0.1) for r in per_bucket)
     assert sum(r.n for r in per_bucket) == 2000
+
+
+@pytest.mark.parametrize("parts", [64, 3, 1])
+def test_one_group_is_ranked_in_many_parts(spark, parts):
+    rows = [(i * 3, "hot" if i % 3 else f"g{i % 7}", [f"segment number {(i * j) % 4000:05d} of the text" for j in range(3)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_id long, occ_key string, responsibilities array<string>")
+    seen = defaultdict(dict)
+    for _, group, segs in rows:
+        for s in segs:
+            seen[group].setdefault(s, len(seen[group]) + 1)
+    want = {(g, r, s) for g, own in seen.items() for s, r in own.items()}
+    ranked = profile.group_segments(df, parts=parts)
+    assert {(r.occ_key, r["rank"], r.seg) for r in ranked.collect()} == want
+    some = profile.group_segments(df, limit=5, parts=parts)
+    assert {(r.occ_key, r["rank"], r.seg) for r in some.collect()} == {w for w in want if w[1] <= 5}
+    sizes = profile.row_ranges(profile.first_segments(df), parts).filter("occ_key = 'hot'").groupBy("_part").count().collect()
+    assert len(sizes) == parts and max(r["count"] for r in sizes) <= 2 * len(seen["hot"]) / parts + 10
+    lists = {r.occ_key: r.responsibilities for r in profile.nest_segments(ranked, limit=4).collect()}
+    assert lists == {g: list(own)[:4] for g, own in seen.items()}
+    assert profile.group_segments(df.filter("row_id < 0"), parts=parts).count() == 0
