@@ -72,13 +72,13 @@ def fit_patterns(histogram: np.ndarray, limit: int, rounds: int = 200) -> list[t
     """(lengths, repeats) that use up ``histogram[length]`` exactly.
 
     Fitted patterns and best-fit ones for the rest; if fitting only the patterns of pieces over half the
-    limit, or none at all, gives fewer sequences, that. The number of patterns depends on ``limit``
+    limit gives fewer sequences, that. The number of patterns depends on ``limit``
     only, not on the counts.
     """
     whole = histogram[:limit + 1].astype(np.int64)
     plans = []
     columns = _columns(whole, limit)
-    for least in (1, limit // 2, limit):
+    for least in (1, limit // 2):
         left, out = whole.copy(), []
         some = columns[columns[:, 0] >= least]
         for row, times in zip(some.tolist(), _least_squares(some, left, rounds).tolist()):
