@@ -15,31 +15,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import Shipped, bucket_of, pieces
+from fitloom.llm.common import Shipped, bucket_of, pieces, stored
 from fitloom.llm.subwords import Splitter
 
 FOLDS = 5
 # Bounds of the labelled sample: rows of each language, and characters of a row.
 SAMPLE_ROWS = 128
 SAMPLE_CHARS = 2048
+# Languages, and characters of the whole sample: it makes some 3 arcs of 12 bytes each at most.
+LANGUAGES = 256
+SAMPLE_TOTAL = 1 << 22
+# A state and the letter that leaves it are one number.
+LETTER_BITS = 21
 UNKNOWN = "und"
 EDGE = " "
 # A word this many times rarer in a language than in another one is taken for a stray there.
 STRAY = 8
 
 
-def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, folds: int = FOLDS) -> dict[str, list[str]]:
+def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, folds: int = FOLDS,
+                    languages: int = LANGUAGES, total: int = SAMPLE_TOTAL) -> dict[str, list[str]]:
     """At most ``rows`` texts of every language, cut to ``chars`` characters, from outside fold 0.
 
     Each of ``rows`` slots of a language takes the row with the least hash of its id, so the sample
-    doesn't depend on partitions and only ids are shuffled.
+    doesn't depend on partitions. Only ids are shuffled to find these rows; their texts are then picked out by a broadcast of
+    at most ``rows * languages`` ids. A lang column with more values than ``languages`` is
+    learned for the most frequent of them, equal ones by name. With many languages texts are cut shorter, so that all
+    have ``total`` characters at most.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket_of(F.col("doc_id"), folds) != 0))
-    marked = labelled.select("lang", F.xxhash64("doc_id").alias("mark"), F.substring("text", 1, chars).alias("text"))
-    marked = marked.withColumn("slot", F.pmod("mark", F.lit(rows)))
-    chosen = marked.groupBy("lang", "slot").agg(F.min("mark").alias("mark"))
+    marked = labelled.select("lang", F.xxhash64("doc_id").alias("mark"), "text").withColumn("slot", F.pmod("mark", F.lit(rows)))
+    chosen = stored(marked.groupBy("lang", "slot").agg(F.min("mark").alias("mark"), F.count("*").alias("n")))
+    kept = stored(chosen.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang"))
+    size = min(chars, max(1, total // (rows * max(1, kept.count()))))
+    wanted = F.broadcast(chosen.join(F.broadcast(kept), "lang", "left_semi").select("lang", "slot", "mark"))
     # repeated ids share a mark: one of their texts is enough
-    texts = marked.join(chosen, ["lang", "slot", "mark"]).groupBy("lang", "slot").agg(F.min("text").alias("text"))
+    texts = marked.select("lang", "slot", "mark", F.substring("text", 1, size).alias("text")).join(
+        wanted, ["lang", "slot", "mark"], "left_semi").groupBy("lang", "slot").agg(F.min("text").alias("text"))
     out: dict[str, list[str]] = {}
     for row in texts.orderBy("lang", "slot").collect():
         out.setdefault(row["lang"], []).append(row["text"])
@@ -98,58 +110,69 @@ def suffix_automaton(words: list[str]) -> list[dict[str, int]]:
 
 
 class Parser:
-    """Automata of all languages as tables, and phrase counts of words under each."""
+    """Automata of all languages as sorted arcs, and phrase counts of words under each."""
 
     def __init__(self, sample: dict[str, list[str]]):
-        self.languages = sorted(sample)
         splitter = Splitter()
         shares: dict[str, dict[str, float]] = {}
         self.weights: list[float] = []
-        for language in self.languages:
+        for language in sorted(sample):
             names = splitter.split(pa.array(sample[language], pa.string()))
             used = zip(map(letters_of, names.names), np.bincount(names.places, minlength=len(names.names)).tolist())
             counts = {w: n for w, n in used if w}
+            if not counts:
+                continue  # nothing to learn from
             size = sum((len(w) + 1) * n for w, n in counts.items())
             self.weights.append(float(np.log2(size + 2)))
             shares[language] = {w: n / size for w, n in counts.items()}
+        self.languages = list(shares)
         most: dict[str, float] = {}
         for own in shares.values():
             for w, share in own.items():
                 most[w] = max(share, most.get(w, 0))
         words = {k: [w for w, share in own.items() if STRAY * share >= most[w]] for k, own in shares.items()}
-        self.letters = np.array(sorted({ord(c) for w in words.values() for x in w for c in x} | {ord(EDGE)}), np.uint32)
-        place = {chr(c): i + 1 for i, c in enumerate(self.letters.tolist())}
-        self.tables = []
-        for language in self.languages:
-            arcs = suffix_automaton([f"{EDGE}{w}{EDGE}" for w in words[language]])
-            table = np.zeros((len(arcs), len(place) + 1), np.int32)
-            for state, out in enumerate(arcs):
-                for char, to in out.items():
-                    table[state, place[char]] = to
-            self.tables.append(table)
+        self.arcs = [self._table(suffix_automaton([f"{EDGE}{w}{EDGE}" for w in words[language]])) for language in self.languages]
+
+    @staticmethod
+    def _table(arcs: list[dict[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """All arcs of an automaton in the order of their states and letters: as large as they are many."""
+        keys = np.fromiter((state << LETTER_BITS | ord(c) for state, out in enumerate(arcs) for c in out), np.int64)
+        to = np.fromiter((t for out in arcs for t in out.values()), np.int32)
+        order = np.argsort(keys)
+        return keys[order], to[order]
+
+    @staticmethod
+    def _follow(arcs: tuple[np.ndarray, np.ndarray], state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """States that the letters lead to, 0 where none does."""
+        keys, to = arcs
+        if not len(keys):
+            return np.zeros(len(char), np.int64)
+        wanted = state << LETTER_BITS | char
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, to[at], 0).astype(np.int64)
 
     def phrases(self, words: list[str]) -> np.ndarray:
         """Number of phrases of every word under every language; all words take a step at a time."""
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        codes = np.frombuffer((EDGE.join(words) + EDGE).encode("utf-32-le", "surrogatepass"), np.uint32)
-        at = np.searchsorted(self.letters, codes)
-        letters = np.where(self.letters[np.minimum(at, len(self.letters) - 1)] == codes, at + 1, 0)
-        edge = int(np.searchsorted(self.letters, ord(EDGE))) + 1
+        codes = np.frombuffer((EDGE.join(words) + EDGE).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         starts = np.cumsum(lengths) - lengths
         order = np.argsort(-lengths, kind="stable")
         sizes = lengths[order]
-        out = np.zeros((len(words), len(self.tables)), np.int64)
-        for k, table in enumerate(self.tables):
-            state = np.full(len(words), table[0, edge], np.int64)
+        out = np.zeros((len(words), len(self.arcs)), np.int64)
+        if not words:
+            return out
+        nothing = np.zeros(1, np.int64)
+        for k, arcs in enumerate(self.arcs):
+            state = np.full(len(words), self._follow(arcs, nothing, np.array([ord(EDGE)]))[0], np.int64)
             count = np.ones(len(words), np.int64)  # the phrase that is open
-            for step in range(int(sizes[0]) if len(sizes) else 0):
+            for step in range(int(sizes[0])):
                 live = int(np.searchsorted(-sizes, -step, side="left"))
-                char = letters[starts[order[:live]] + step]
-                to = table[state[:live], char]
+                char = codes[starts[order[:live]] + step]
+                to = self._follow(arcs, state[:live], char)
                 # a new phrase begins where the open one can't go on, and after an unknown letter
                 count[:live] += (to == 0) | (state[:live] == 0)
                 stop = np.flatnonzero(to == 0)
-                to[stop] = table[0, char[stop]]
+                to[stop] = self._follow(arcs, np.zeros(len(stop), np.int64), char[stop])
                 state[:live] = to
             out[order, k] = count
         return out

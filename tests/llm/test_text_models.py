@@ -165,6 +165,27 @@ def test_language(docs):
     assert blank and all(r.lang_pred == "und" and r.score == 0 for r in blank)
 
 
+def test_many_letters_need_little_memory():
+    rnd = np.random.RandomState(0)
+    # a language of three thousand letters, without spaces, next to one with spaces
+    texts = ["".join(chr(0x4E00 + int(c)) for c in np.minimum(rnd.zipf(1.3, 2048), 2999)) for _ in range(32)]
+    parser = language.Parser({"zh": texts, "en": ["rain river stone house"] * 3})
+    assert sum(k.nbytes + t.nbytes for k, t in parser.arcs) <= 3 * 12 * (32 * 2050 + 100)
+    judge = language.Judge(parser)
+    assert judge.judge(pa.array([texts[3][100:160], "river house", "1 2"]))[0] == ["zh", "en", "und"]
+
+
+def test_languages_without_words_and_too_many_languages(spark):
+    rows = [(k, "rain river stone" if k % 2 else "haus fluss stein", ["en", "de"][k % 2 == 0]) for k in range(60)]
+    rows += [(100 + k, "12 34", "digits") for k in range(30)] + [(200 + k, f"strange {k}", f"x{k}") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.predictions(df).collect()}
+    assert got[1] == "en" and got[2] == "de" and got[100] == "und"
+    sample = language.labelled_sample(df, rows=4, chars=50, languages=3, total=60)
+    assert sorted(sample) == ["de", "digits", "en"] and all(len(t) <= 5 for own in sample.values() for t in own)
+    assert max(len(own) for own in sample.values()) <= 4
+
+
 def test_language_without_labels(docs, nothing):
     assert language.predictions(nothing).count() == 0
     none = language.predictions(docs.withColumn("lang", F.lit(None).cast("string")))
