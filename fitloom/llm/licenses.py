@@ -50,13 +50,13 @@ NEIGHBOUR = 2
 
 
 def template_grams(spark, phrases, notices) -> DataFrame:
-    """Places of all word pairs of the templates: a few hundred rows, whatever the input. Template -1 is
-    the end mark, whose place is the number of words of a text."""
+    """Places of all word pairs of the templates: as many rows as they have words, whatever the input.
+    Template -1 is the end mark, whose place is the number of words of a text."""
     rows = [(-1, "", False, 1, 0, END, END)]
     for n, (text, label) in enumerate([*phrases, *notices]):
         words = text.split(" ")
-        if not 2 <= len(words) <= 64:
-            raise ValueError(f"a template has 2 to 64 words: {text}")
+        if len(words) < 2:
+            raise ValueError(f"a template has two words at least: {text}")
         rows += [(n, label, n < len(phrases), len(words) - 1, i, a, b) for i, (a, b) in enumerate(zip(words, words[1:]))]
     return spark.createDataFrame(rows, "template int, label string, base boolean, grams int, place long, word string, next string") \
         .withColumn("gram", F.xxhash64("word", "next"))
@@ -81,19 +81,23 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
     known = F.broadcast(template_grams(docs.sparkSession, phrases, notices))
     hits = grams.join(known, "gram").filter((F.col("own") == F.col("word")) & (F.col("follows") == F.col("next")))
     hits = hits.select("row", "doc_id", "template", "label", "base", "grams", "place", (F.col("at") - F.col("place")).alias("diagonal"))
-    # one shuffle serves all that follows
-    votes = hits.repartition("row").groupBy("row", "doc_id", "template", "label", "base", "grams", "diagonal").agg(
-        F.count("*").alias("votes"), F.min("place").alias("low"), F.max("place").alias("high"),
-        F.bit_or(F.expr("shiftleft(1L, cast(place as int))")).alias("places"))
-    along = Window.partitionBy("row", "template").orderBy("diagonal")
+    # places are bits of 64-bit words, as many words as the template needs; one shuffle serves all that follows
+    keys = ["row", "doc_id", "template", "label", "base", "grams"]
+    votes = hits.withColumn("slab", F.expr("place div 64")).repartition("row").groupBy(*keys, "diagonal", "slab").agg(
+        F.min("place").alias("low"), F.max("place").alias("high"), F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("places"))
+    along = Window.partitionBy("row", "template").orderBy("diagonal", "slab")
+    step = F.col("diagonal") - F.lag("diagonal").over(along)
     # phrases and end marks stand alone: their diagonals are never merged
-    apart = F.col("base") | (F.col("template") < 0) | (F.col("diagonal") - F.lag("diagonal").over(along) > NEIGHBOUR)
-    spans = votes.withColumn("new", F.coalesce(apart, F.lit(True)).cast("long")).withColumn("span", F.sum("new").over(along))
-    share = lambda bits: F.bit_count(bits) / F.col("grams")
-    spans = spans.groupBy("row", "doc_id", "template", "label", "base", "grams", "span").agg(
+    apart = (step > NEIGHBOUR) | (step > 0) & (F.col("base") | (F.col("template") < 0))
+    bits = F.sum(F.bit_count("places"))
+    spans = votes.withColumn("new", F.coalesce(apart, F.lit(True)).cast("long")).withColumn("span", F.sum("new").over(along)).withColumn(
+        "best", bits.over(Window.partitionBy("row", "template", "diagonal")))
+    spans = spans.groupBy(*keys, "span", "slab").agg(
         F.min(F.col("diagonal") + F.col("low")).alias("start"), (F.max(F.col("diagonal") + F.col("high")) + 2).alias("stop"),
-        F.bit_or("places").alias("places"), F.max(F.bit_count("places")).alias("best"))
-    spans = spans.withColumn("covered", share(F.col("places")))
+        F.bit_or("places").alias("places"), F.max("best").alias("best"))
+    spans = spans.groupBy(*keys, "span").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), bits.alias("seen"), F.max("best").alias("best"))
+    spans = spans.withColumn("covered", F.col("seen") / F.col("grams"))
     short = F.col("stop") - F.col("start") <= F.expr("grams + 1 + (grams + 1) div 2 + 2")
     verified = F.when(F.col("base") | (F.col("template") < 0), F.col("covered") == 1).otherwise(
         (F.col("best") >= COVERED * F.col("grams")) | ((F.col("covered") >= COVERED) & short))

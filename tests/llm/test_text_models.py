@@ -1,5 +1,8 @@
+import glob
 import hashlib
 import math
+import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -47,6 +50,41 @@ def test_an_inserted_word_moves_the_diagonal(spark):
     assert [(r.label, r.start, r.stop) for r in spans] == [("mit", 1, 1 + len(text.split()))] and spans[0].covered > 0.9
 
 
+def test_whole_licence_texts_are_templates(spark):
+    """Texts of any length, from the licences that installed packages bring along."""
+    found = {}
+    for path in sorted(glob.glob(f"{os.path.dirname(os.path.dirname(np.__file__))}/*.dist-info/**/*", recursive=True)):
+        if re.search(r"/(licen[cs]e|copying)[^/]*$", path, re.I) and os.path.isfile(path):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), f.read()))
+            if 150 < len(words) < 12000:
+                found.setdefault(tuple(words[:60]), words)
+    texts = list(found.values())[:5]
+    if len(texts) < 3:
+        pytest.skip("no licence texts are installed")
+    notices = [(" ".join(w), f"text{k}") for k, w in enumerate(texts)]
+    rnd = random.Random(1)
+    rows = []
+    for k, w in enumerate(texts):
+        cut = len(w) // 2
+        rows += [(3 * k, "before " * 70 + " ".join(w) + " after"), (3 * k + 1, " ".join([*w[:cut], "inserted", *w[cut:]])),
+                 (3 * k + 2, " ".join(rnd.sample(w, len(w))))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in licenses.license_labels(df, phrases=[], notices=notices).collect()}
+    for k in range(len(texts)):
+        assert got[3 * k].labels.split(",").count(f"text{k}") == 1 and got[3 * k].score == 1.0
+        assert f"text{k}" in got[3 * k + 1].labels.split(",") and got[3 * k + 1].score > 0.99
+        assert got[3 * k + 2].labels == ""
+    spans = licenses.scan(df.filter("doc_id = 0"), phrases=[], notices=notices).filter("template >= 0 and exact").collect()
+    assert [(r.template, r.start, r.stop) for r in spans] == [(0, 70, 70 + len(texts[0]))]
+
+
+def test_licences_of_nothing_and_clashing_columns(docs, nothing):
+    assert licenses.license_labels(nothing).count() == 0
+    clash = docs.select("doc_id", "text", F.lit(1).alias("template"), F.lit(1).alias("place"), F.lit(1).alias("at"), F.lit(1).alias("gram"))
+    assert Counter(map(tuple, licenses.license_labels(clash).collect())) == Counter(map(tuple, licenses.license_labels(docs).collect()))
+
+
 def test_unigram_base_and_scores(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     words = [(i, fold(i) == 1, [*re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]) for i, t in rows]
