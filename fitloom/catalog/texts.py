@@ -10,6 +10,7 @@ from fitloom.functions import text as X
 from fitloom.functions.items import is_stop_item, item_tier, score_percent, verdict
 from fitloom.functions.numbers import score_bucket
 from fitloom.operators import extract, hierarchy, profile
+from fitloom.plans.materialize import scratch
 from fitloom.sources import postings as inputs
 from fitloom.sources.taxonomy import positions
 
@@ -173,6 +174,38 @@ def load_postings(t):
     return inputs.valid_postings(t.postings).select("row_id", "category", "job_title", "description")
 
 
+CSV_COLUMNS = ["row_id", "category", "job_title", "description", "requirements_text"]
+
+
+def posting_lines(t):
+    """The postings as CSV, of which some records are short, long, or have commas without quotes."""
+    quoted = lambda c: F.coalesce(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')), F.lit(""))
+    number = F.col("row_id").cast("string")
+    fields = [number, *(quoted(F.col(c)) for c in CSV_COLUMNS[1:])]
+    line = (F.when(F.col("row_id") % 29 == 1, F.concat_ws(",", *fields[:3]))
+            .when(F.col("row_id") % 31 == 2, F.concat_ws(",", *fields, F.lit("more"), F.lit('""')))
+            .when(F.col("row_id") % 37 == 3, F.concat_ws(",", number, F.lit("a,b"), *fields[2:]))
+            .otherwise(F.concat_ws(",", *fields)))
+    return t.postings.select(line.alias("value"))
+
+
+_LINES = ("read", """SELECT *, CASE WHEN row_id % 29 = 1 OR row_id % 31 = 2 OR row_id % 37 = 3 THEN 'columns'
+    WHEN category IS NULL THEN 'no category' WHEN description IS NULL THEN 'no description'
+    WHEN trim(description) = '' AND trim(coalesce(requirements_text, '')) = '' THEN 'blank' END AS reason FROM postings""")
+
+
+@query("load_rejected", oracle(["postings"], [_LINES], """SELECT CAST(row_id AS VARCHAR) AS row_id, coalesce(reason, 'kept') AS reason,
+    CASE WHEN reason IS NULL THEN md5(description) END AS description, (SELECT count(*) FROM read) AS n_read,
+    (SELECT count(reason) FROM read) AS n_rejected FROM read"""))
+def load_rejected(t):
+    path = f"{scratch(t.spark)}/csv"
+    posting_lines(t).write.text(path)
+    found = inputs.check_postings(t.spark, path, "row_id", CSV_COLUMNS)
+    kept = found.kept.select("row_id", F.lit("kept").alias("reason"), F.md5("description").alias("description"))
+    return kept.union(found.rejected.select("row_id", "reason", F.lit(None).cast("string"))).withColumns({
+        "n_read": F.lit(found.counts["read"]).cast("long"), "n_rejected": F.lit(found.counts["rejected"]).cast("long")})
+
+
 _VALID_PAIRS = ("valid_pairs", """SELECT * FROM pairs WHERE resume_text IS NOT NULL AND job_text IS NOT NULL
     AND ai_match_score BETWEEN 0 AND 100""")
 

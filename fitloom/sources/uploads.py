@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Callable
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitloom import rules
 from fitloom.functions.text import is_blank, truncate
 
 
+def utf8(content: Column) -> Column:
+    """Plain text; null for bytes that are no UTF-8."""
+    return F.try_validate_utf8(content.cast("string"))
+
+
 def file_extension(name):
     """Lower-case suffix of the file name, '' when there is none."""
     return F.lower(F.regexp_extract(name, r"[^/](\.[^./]+)$", 1))
 
 
-def ingest_gate(uploads: DataFrame, groups: DataFrame, max_chars: int | None = None) -> DataFrame:
+def read_uploads(spark: SparkSession, path: str, max_bytes: int = rules.MAX_UPLOAD_BYTES, text: Callable[[Column], Column] = utf8) -> DataFrame:
+    """Files below ``path``: (path, filename, n_bytes, body).
+
+    Sizes come from the listing, which Spark's reader makes on the driver; it leaves out empty files, so
+    these are added. Only files that the gate can pass by their size are opened, so an oversized one is
+    never read; ``text`` turns a file's content into text, null where it has none.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    sizes = files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("n_bytes"))
+    bodies = files.filter((F.col("length") > 0) & (F.col("length") <= max_bytes)).select("path", text(F.col("content")).alias("body"))
+    listed = [(re.sub(r"^(\w+):///", r"\1:/", unquote(f)),) for f in files.inputFiles()]
+    empty = spark.createDataFrame(listed, "path string").join(sizes.select("path"), "path", "left_anti").select(
+        "path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit(0).cast("long").alias("n_bytes"))
+    return sizes.union(empty).join(bodies, "path", "left")
+
+
+def ingest_gate(uploads: DataFrame, groups: DataFrame, max_chars: int | None = None, max_bytes: int = rules.MAX_UPLOAD_BYTES) -> DataFrame:
     """Status of every upload: the first failed check decides, 200 passes.
 
     ``section_text`` of passing ones is the whole body, or its first ``max_chars`` characters.
@@ -24,7 +49,7 @@ def ingest_gate(uploads: DataFrame, groups: DataFrame, max_chars: int | None = N
     known = groups.select(F.col("key").alias("target_key")).distinct().withColumn("known", F.lit(True))
     status = (
         F.when(F.col("n_bytes") == 0, 400)
-        .when(F.col("n_bytes") > rules.MAX_UPLOAD_BYTES, 413)
+        .when(F.col("n_bytes") > max_bytes, 413)
         .when(F.col("known").isNull(), 404)
         .when(~file_extension(F.col("filename")).isin(*rules.UPLOAD_EXTENSIONS), 415)
         .when(is_blank(F.col("body")), 422)

@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fitloom.operators import evaluate, extract, lexical
+from fitloom.plans import skew
 from fitloom.plans.evaluation import blend_inputs
 
 
@@ -66,3 +68,25 @@ def test_sweep_by_brute_force(spark):
         assert got[alpha].rmse == pytest.approx(np.sqrt(np.mean((mixed - y) ** 2)), abs=1e-4)
     assert sum(r.is_best for r in got.values()) == 1
     assert got[0.0].spearman == pytest.approx(spearman(o, y), abs=1e-4)
+
+
+@pytest.mark.parametrize("parts", [1, 6, 1 << 16])
+def test_frequent_terms_are_broadcast(spark, parts):
+    random = np.random.RandomState(2)
+    words = ["the", "a"] * 6 + [f"word{k}" for k in range(40)]
+    text = lambda: " ".join(random.choice(words, random.randint(0, 12)))
+    rows = [(i, text(), text(), 0.5) for i in range(80)] + [(90, "", "", 0.1), (91, "the", "the", 0.2)]
+    pairs = spark.createDataFrame(rows, "pair_id long, sentence1 string, sentence2 string, label double")
+    for fn in (lexical.tfidf_cosine, lexical.bm25):
+        want = {r.pair_id: r.pred for r in fn(pairs, parts=1 << 30).collect()}
+        got = {r.pair_id: r.pred for r in fn(pairs, parts=parts).collect()}
+        assert got == pytest.approx(want) and len(got) == 82 and sum(v != 0 for v in got.values()) > 30
+
+
+def test_join_by_weight(spark):
+    rows = spark.createDataFrame([("hot",)] * 500 + [(f"k{i}",) for i in range(100)] + [(None,), ("lost",)], "k string")
+    table = rows.filter("k is not null and k <> 'lost'").groupBy("k").agg(F.count("*").alias("n"))
+    for parts in (1, 3, 1024, 10**6):
+        out = skew.join_by_weight(rows, table, "k", "n", rows.count(), parts)
+        assert out.groupBy("k", "n").count().filter("n <> count").count() == 0 and out.count() == 600
+    assert {r.k for r in skew.heavy_keys(table, "n", 602, 3).collect()} == {"hot"}

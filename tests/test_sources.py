@@ -143,3 +143,47 @@ def test_cut_tables_are_removed(spark):
     assert kept.count() == 5 and os.path.isdir(folder)
     materialize.clean(spark)
     assert not os.path.exists(folder)
+
+
+def test_bad_rows_are_kept_aside(spark, tmp_path):
+    (tmp_path / "p.csv").write_text(
+        'category,job_title,description,requirements_text\n'
+        'it,dev,"two\nlines, ""quoted""",x\nit,dev\nit,dev,text,more,and more\nit,dev,one, two,x\n,dev,text,\nit,dev, ,\nit,dev,,need\nit,dev,fine,\n')
+    found = postings.check_postings(spark, f"{tmp_path}/p.csv")
+    assert sorted(r.description for r in found.kept.collect()) == ["fine", 'two\nlines, "quoted"']
+    assert found.kept.columns == ["category", "job_title", "description", "requirements_text", "row_id"]
+    bad = {r.record: r.reason for r in found.rejected.collect()}
+    assert {r for r in bad.values()} == {"columns", "no category", "no description", "blank"}
+    assert {k.strip() for k, r in bad.items() if r == "columns"} == {"it,dev", "it,dev,text,more,and more", "it,dev,one, two,x"}
+    assert json.loads(next(k for k, r in bad.items() if r == "no category")) == {"job_title": "dev", "description": "text"}
+    assert found.counts == {"read": 8, "rejected": 6, "columns": 3, "no category": 1, "no description": 1, "blank": 1}
+    assert found.counts["read"] == found.kept.count() + found.rejected.count()
+    (tmp_path / "r.csv").write_text("a,b,100\na,b,100.5\na,,50\na,b,zero\n\"open,b,3\n")
+    pairs = postings.check_pairs(spark, f"{tmp_path}/r.csv", columns=["resume_text", "job_text", "ai_match_score"])
+    assert [(r.resume_text, r.ai_match_score) for r in pairs.kept.collect()] == [("a", 100.0)]
+    assert sorted(r.reason for r in pairs.rejected.collect()) == ["columns", "no job_text", "score is no number", "score out of range"]
+    assert len({r.pair_id for r in pairs.rejected.collect()}) == 4
+
+
+def test_nothing_to_read(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("category,job_title,description\n")
+    found = postings.check_postings(spark, f"{tmp_path}/p.csv")
+    assert found.kept.count() == found.rejected.count() == 0 and found.counts == {"read": 0, "rejected": 0}
+
+
+def test_oversized_files_are_not_opened(spark, tmp_path):
+    folder = tmp_path / "in"
+    (folder / "deep").mkdir(parents=True)
+    for name, body in (("a.pdf", b"text"), ("b.pdf", b"x" * 3000), ("c.docx", b""), ("d.pdf", b"\xff\xfe"), ("e.txt", b"text"), ("deep/f.PDF", "é".encode())):
+        (folder / name).write_bytes(body)
+    files = uploads.read_uploads(spark, str(folder), 1000)
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,1000)" in plan
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")  # reading a larger file is an error
+    try:
+        groups = spark.createDataFrame([("k",)], "key string")
+        out = {r.filename: r for r in uploads.ingest_gate(files.withColumn("target_key", F.lit("k")), groups, max_bytes=1000).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert {k: r.status for k, r in out.items()} == {"a.pdf": 200, "b.pdf": 413, "c.docx": 400, "d.pdf": 422, "e.txt": 415, "f.PDF": 200}
+    assert out["b.pdf"].body is None and out["b.pdf"].n_bytes == 3000 and out["f.PDF"].section_text == "é"
