@@ -40,10 +40,11 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     n_docs; docs_from, tokens_from: documents of at least this length, and their tokens; share_to:
     share of documents of at most this length, so the first row with share_to >= q is quantile q;
     truncated: tokens left when every document is cut to this length. Between two lengths a < L < b
-    the answer for limit L is exact too: ``truncated(b) - (b - L) * docs_from(b)``. An empty table
-    gives no rows.
+    the answer for limit L is exact too: ``truncated(b) - (b - L) * docs_from(b)``. Repeated rows count
+    as often as they stand there. An empty table gives no rows.
     """
-    counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    # read by two branches: without this every text would be encoded twice
+    counts = stored(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")))
     counts = counts.withColumn("block", F.expr(f"n_tokens div {BLOCK}"))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("tokens"))
     # at most 2^31 / BLOCK rows
