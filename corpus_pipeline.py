@@ -1,7 +1,8 @@
 """Corpus pipeline: language ID, exact deduplication, SimHash near-deduplication, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the
-last return the columns of ``docs``, extra ones included.
+last return the columns of ``docs``, extra ones included, and keep repeated and missing ids apart by the place
+of their row. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,11 +12,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fitloom.llm import exact_dedup, language, packing, simhash
+from fitloom.llm import exact_dedup, language, packing, wide_simhash
 from fitloom.llm.common import keep_only, read, stable_row, stored
 
 TOKENIZER = "byte_bpe_50k.json"
-# Near duplicates by the contract of the SimHash query: four-word shingles, four bits.
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates keep the row with the smallest doc_id."""
-    return keep_only(docs, simhash.near_groups(docs, row=stable_row(docs)).filter("kept"))
+    """Of each component of near duplicates keep the row with the smallest doc_id: five-word shingles, a similarity of
+    0.8 or more as 256 bits tell it. Texts without words are one group; missing ids are the largest; ties
+    go to the row that stands first."""
+    return keep_only(docs, wide_simhash.near_copies(docs, row=stable_row(docs)).filter("kept"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

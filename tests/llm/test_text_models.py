@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fitloom.llm import attention, chat, language, licenses, lm_scoring
+from fitloom.llm import attention, chat, language, licenses, lm_scoring, wide_simhash
 
 
 def fold(doc_id):
@@ -289,16 +289,19 @@ def test_pipeline_stages(spark, docs, texts, tmp_path, brute):
         assert given.columns == docs.columns and given.count() == size
     near = corpus_pipeline.STAGES[2][1](spark, given, str(tmp_path))
     assert near.columns == docs.columns
-    prints = {}
-    from fitloom.llm.simhash import bit_table, fingerprint
     rows = [r.text for r in given.collect()]
-    prints = np.array([fingerprint(t.encode(), 4, bit_table()) for t in rows], np.uint64)
-    links = [(i, int(j)) for i in range(len(rows)) for j in np.flatnonzero(np.bitwise_count(prints ^ prints[i]) <= 4)]
+    prints = wide_simhash._prints([t.encode() for t in rows], 5)
+    links = [(i, int(j)) for i in range(len(rows)) for j in np.flatnonzero(np.bitwise_count(prints ^ prints[i]).sum(1) <= wide_simhash.most_bits())]
     assert near.count() == len(set(brute.roots(len(rows), links)))
     last = corpus_pipeline.run(spark, str(tmp_path))
     assert last.filter("piece = 0").count() == near.count()
 
 
+def test_pipeline_of_nothing(spark, nothing, tmp_path):
+    nothing.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_most_frequent(spark):
     from fitloom.llm.common import most_frequent
     counts = spark.createDataFrame([(f"w{k}", k // 3 + 1) for k in range(300)] + [("top", 10**12)], "word string, n long")
