@@ -246,6 +246,18 @@ def predictor_report(t):
     return plans.compare_predictors(labelled(t))
 
 
+@query("validation_report", oracle(["pairs"], [
+    _SCORED, ("prepared", _labelled()[1]),
+    ("labelled", """SELECT pair_id, sentence1, sentence2, label FROM (SELECT *, count(*) OVER (PARTITION BY bucket) AS n,
+        row_number() OVER (PARTITION BY bucket ORDER BY md5(concat(pair_id, ':42')), pair_id) AS rn
+        FROM (SELECT *, least(CAST(trunc(label * 5) AS INTEGER), 4) AS bucket FROM prepared)) WHERE rn <= round_even(n * 0.1, 0)"""),
+    *_EMBED, *_TFIDF, *_BM25,
+    ("stacked", """SELECT 'encoder' AS method, pred, label FROM embed_pred UNION ALL
+        SELECT 'tfidf', pred, label FROM tfidf_pred UNION ALL SELECT 'bm25', pred, label FROM bm25_pred""")], report_sql("stacked")))
+def validation_report(t):
+    return plans.validation_report(labelled(t))
+
+
 _SWEEP_SQL = pairs_sql(f"""SELECT alpha, spearman, pearson, rmse,
     row_number() OVER (ORDER BY spearman DESC, alpha) = 1 AS is_best FROM (
     SELECT alpha, {rounded(corr_sql('rx', 'ry'), 4)} AS spearman, {rounded(corr_sql('pred', 'label'), 4)} AS pearson,

@@ -23,6 +23,13 @@ def compare_predictors(pairs: DataFrame, encoders: dict | None = None) -> DataFr
     return evaluate.method_report(cut(stacked))
 
 
+def validation_report(pairs: DataFrame, ratio: float = 0.1, seed: int = 42, encoders: dict | None = None) -> DataFrame:
+    """G1, G2, G8-G11 as one plan: prepared pairs are split by score bucket, and the predictors are compared on the
+    validation rows alone; word statistics come from these rows too."""
+    split = evaluate.stratified_split(pairs, ratio=ratio, seed=seed)
+    return compare_predictors(cut(split.filter("is_val").select(*pairs.columns)), encoders)
+
+
 def blend_inputs(pairs: DataFrame, make_encoder=HashingEncoder, patterns=None,
                  stop_items=None) -> DataFrame:
     """Label, semantic score and item overlap of every pair, the input of the weight sweep: one
