@@ -16,9 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, STOP = "<|im_start|>", "<|im_end|>"
-# For templates known to be local: prefixes of longer conversations are rendered from a window of their
-# last turns; the whole output must then equal the sum of the parts, or all prefixes are rendered after all.
-WINDOW = 64
+# Turns whose prefixes one task renders; a longer conversation goes to as many tasks as it takes.
+BLOCK = 512
 PROBES = "\u0001", "\u0002"
 
 Turn = tuple[str, str]
@@ -71,68 +70,67 @@ def _text_place(render: Callable[[list[Turn]], str], before: list[Turn], role: s
     return start, len(output) - tail
 
 
-def locate(render: Callable[[list[Turn]], str], turns: list[Turn], window: int | None = None) -> tuple[str, list, int | None]:
-    """Output, (start, end, text start, text end) of every turn, and the first turn that rewrites history.
+def locate(render: Callable[[list[Turn]], str], turns: list[Turn], first: int = 0, stop: int | None = None) -> tuple[str, list, int | None]:
+    """Output of the prefix that ends before turn ``stop``, (start, end, text start, text end) of the turns from ``first`` on,
+    and the first of them that rewrites history: spans from that turn on are missing, a mask over them
+    could not be trusted.
 
-    Spans from that turn on are missing: a mask over them could not be trusted. With ``window`` a rewrite
-    that is undone in the whole output can be missed.
+    Every prefix is rendered as a whole, so what the turns before ``first`` do is left to other calls.
     """
     spans: list[tuple[int, int, int | None, int | None]] = []
-    total, previous, whole = 0, "", []
-    for k, (role, _) in enumerate(turns):
-        first = 0 if window is None else max(0, k - window)
-        if first:
-            previous = render(turns[first:k])
-        output = render(turns[first:k + 1])
+    stop = len(turns) if stop is None else stop
+    previous = render(turns[:first]) if first else ""
+    for k in range(first, stop):
+        output = render(turns[:k + 1])
         if not output.startswith(previous):
-            if first:
-                return locate(render, turns, None)
-            return render(turns), spans, k
-        new = len(output) - len(previous)
-        shift = total - len(previous)
-        place = _text_place(render, turns[first:k], role, output)
-        spans.append((total, total + new, *((place[0] + shift, place[1] + shift) if place else (None, None))))
-        if window is not None and len(turns) > window:
-            whole.append(output[len(previous):])
-        total += new
+            return (render(turns[:stop]) if k + 1 < stop else output), spans, k
+        place = _text_place(render, turns[:k], turns[k][0], output)
+        spans.append((len(previous), len(output), *(place or (None, None))))
         previous = output
-    if whole and render(turns) != "".join(whole):
-        return locate(render, turns, None)
-    return ("".join(whole) if whole else previous), spans, None
+    return previous, spans, None
 
 
-def format_conversations(turns: DataFrame, render: Callable[[list[Turn]], str] = marked_turns, trained: tuple[str, ...] = ("assistant",), window: int | None = None) -> DataFrame:
+def format_conversations(turns: DataFrame, render: Callable[[list[Turn]], str] = marked_turns, trained: tuple[str, ...] = ("assistant",),
+                         block: int = BLOCK) -> DataFrame:
     """One row per conversation of ``turns`` (conv_id, turn, role, text): conv_id, formatted, n_turns,
     loss (start and end of the text of every trained turn, in characters), rewrites (number of the
     first turn whose rendering changes earlier text, else null; later turns have no loss).
 
     Turns are ordered by turn, then role and text, missing turn numbers first; a null role or text
     counts as empty; repeated rows are turns of their own; rows without conv_id form one conversation.
-    An empty table gives no rows. A conversation is rendered in one task. All its prefixes
-    are rendered, unless ``window`` (see `locate`) is given for a template that only looks at single turns.
+    An empty table gives no rows. All prefixes are rendered, those of ``block`` turns in one task, and the
+    findings about a conversation are joined; its turns and its output must fit in a task's memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            outputs, counts, loss, rewrites = [], [], [], []
-            for own in batch.column("turns").to_pylist():
+            outputs, loss, rewrites = [], [], []
+            for own, part in zip(batch.column("turns").to_pylist(), batch.column("part").to_pylist()):
                 pairs = [(t["role"], t["text"]) for t in own]
-                output, spans, changed = locate(render, pairs, window)
-                outputs.append(output)
-                counts.append(len(pairs))
-                loss.append([{"start": s[2], "end": s[3]} for s, (role, _) in zip(spans, pairs) if role in trained and s[2] is not None])
+                stop = min(len(pairs), (part + 1) * block)
+                output, spans, changed = locate(render, pairs, part * block, stop)
+                outputs.append(output if stop == len(pairs) else None)
+                loss.append([{"turn": k, "start": s[2], "end": s[3]} for k, s in enumerate(spans, part * block) if pairs[k][0] in trained and s[2] is not None])
                 rewrites.append(changed)
+            span = pa.struct([("turn", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("conv_id"), pa.array(outputs, pa.string()), pa.array(counts, pa.int64()),
-                 pa.array(loss, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(rewrites, pa.int32())],
+                [batch.column("conv_id"), pa.array(outputs, pa.string()), batch.column("n_turns"), pa.array(loss, pa.list_(span)), pa.array(rewrites, pa.int32())],
                 ["conv_id", "formatted", "n_turns", "loss", "rewrites"])
 
     empty = F.lit("")
     turn = F.struct("turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    parts = grouped.withColumn("n_turns", F.size("turns").cast("long")).withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_turns - 1) div {block}"))))
     kind = turns.schema["conv_id"].dataType.simpleString()
-    return grouped.mapInArrow(
-        run, f"conv_id {kind}, formatted string, n_turns long, loss array<struct<start: long, end: long>>, rewrites int")
+    found = parts.repartition("conv_id", "part").mapInArrow(
+        run, f"conv_id {kind}, formatted string, n_turns long, loss array<struct<turn: long, start: long, end: long>>, rewrites int")
+    return found.groupBy("conv_id").agg(
+        F.first("formatted", ignorenulls=True).alias("formatted"), F.first("n_turns").alias("n_turns"),
+        F.sort_array(F.flatten(F.collect_list("loss"))).alias("loss"), F.min("rewrites").alias("rewrites")).select(
+        "conv_id", "formatted", "n_turns",
+        F.transform(F.filter("loss", lambda s: F.coalesce(s["turn"] < F.col("rewrites"), F.lit(True))),
+                    lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("loss"), "rewrites")
 
 
 def read_back(formatted: DataFrame, parse: Callable[[str], list[Turn]] = parse_marked) -> DataFrame:

@@ -278,6 +278,21 @@ def test_a_rewrite_that_is_undone_later():
     assert chat.locate(sums_up, turns)[2] == 99
 
 
+@pytest.mark.parametrize("block", [512, 7])
+def test_long_conversations_are_rendered_in_blocks(spark, block):
+    rows = [(c, k, "user" if k % 3 else "assistant", f"t{k}") for c, n in ((1, 150), (2, 6), (3, 7), (4, 8), (None, 20)) for k in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    sums_up = lambda own: "sum" if len(own) == 100 else "".join(f"<{r}>{t};" for r, t in own)
+    got = {r.conv_id: r for r in chat.format_conversations(df, sums_up, block=block).collect()}
+    assert sorted(got, key=str) == [1, 2, 3, 4, None]
+    for c, r in got.items():
+        own = [(x[2], x[3]) for x in rows if x[0] == c]
+        assert r.formatted == sums_up(own) and r.n_turns == len(own)
+        assert r.rewrites == (99 if c == 1 else None)
+        said = [t for k, (role, t) in enumerate(own) if role == "assistant" and (c != 1 or k < 99)]
+        assert [r.formatted[x.start:x.end] for x in r.loss] == said
+
+
 def test_pipeline_stages(spark, docs, texts, tmp_path, brute):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     given = spark.read.parquet(f"{tmp_path}/documents.parquet")
