@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fitloom.llm.common import pieces, rank_last, row_id, stored, text_buffer
 from fitloom.llm.components import components
-from fitloom.llm.simhash import SEED, _embedded, _groups, embedded
+from fitloom.llm.simhash import SEED, _embedded, _groups, bit_table, embedded
 
 SHINGLE, SIMILARITY = 5, 0.8
 WORDS = 4
@@ -31,6 +31,8 @@ CROWD = 256
 # Cells of more points are compared block by block in tasks of their own; fewer are compared all at once.
 HEAVY, HALF, FEW = 4096, 2048, 16
 BYTES = 2 << 20
+# Texts whose bits are counted at a time: 8 MB.
+TEXTS = 512
 PRINTS = [f"p{k}" for k in range(WORDS)]
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -77,17 +79,30 @@ def _prints(texts: list[bytes], shingle: int) -> np.ndarray:
     if not hashes:
         return out
     row, counts = np.array(owner).T
-    begin = np.cumsum(counts) - counts
     first = np.array(hashes, np.uint64)
-    for w in range(WORDS):
-        mixed = (first ^ first >> np.uint64(29)) * MIX[w]
-        mixed ^= mixed >> np.uint64(32)
-        bits = np.unpackbits(mixed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        set_ = 2 * np.add.reduceat(bits, begin, axis=0, dtype=np.int32) > counts[:, None]
-        out[row, w] = np.packbits(set_, axis=1, bitorder="little").reshape(-1, 8).copy().view("<u8").ravel()
+    ends = np.cumsum(counts)
+    for at in range(0, len(row), TEXTS):
+        own = slice(at, at + TEXTS)
+        some = first[(ends[at] - counts[at]):ends[own][-1]]
+        for w in range(WORDS):
+            mixed = (some ^ some >> np.uint64(29)) * MIX[w]
+            mixed ^= mixed >> np.uint64(32)
+            set_ = 2 * _bit_sums(mixed.astype("<u8").view(np.uint8).reshape(-1, 8), counts[own]) > counts[own, None]
+            out[row[own], w] = np.packbits(set_, axis=1, bitorder="little").reshape(-1, 8).copy().view("<u8").ravel()
     return out
 
 
+def _bit_sums(raw: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(texts, 64): how many of a text's numbers, eight bytes each, have each bit."""
+    if len(raw) < 32 * len(counts):
+        bits = np.unpackbits(raw, axis=1, bitorder="little")
+        return np.add.reduceat(bits, np.cumsum(counts) - counts, axis=0, dtype=np.int32)
+    # many numbers: count the bytes first
+    place = np.repeat(np.arange(len(counts)) * 2048, counts)[:, None] + np.arange(0, 2048, 256) + raw
+    seen = np.bincount(place.ravel(), minlength=2048 * len(counts)).reshape(-1, 256)
+    return (seen.astype(float) @ bit_table().astype(float)).reshape(len(counts), 64)
+
+
 def wide_prints(docs: DataFrame, shingle: int = SHINGLE, row: Column | None = None) -> DataFrame:
     """row, doc_id, p0 ... p3 of every row; a null text counts as empty."""
 
