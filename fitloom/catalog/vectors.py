@@ -90,7 +90,8 @@ def candidate_text(t):
        "SELECT doc_id, CAST(slot AS INTEGER) AS slot, value FROM doc_vec"))
 def embed_text(t):
     rows = t.documents.select("doc_id", V.embed(F.col("text")).alias("v"))
-    return rows.select("doc_id", F.posexplode("v").alias("slot", "value")).filter("value <> 0") \
+    # the outer form keeps a check of the list from being made below it, which would encode every text again
+    return rows.select("doc_id", F.posexplode_outer("v").alias("slot", "value")).filter("value <> 0") \
         .withColumn("value", F.col("value").cast("double"))
 
 

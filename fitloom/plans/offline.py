@@ -55,7 +55,7 @@ def build_profiles(postings: DataFrame, make_encoder=HashingEncoder, merge_varia
     if merge_variants:
         weights = variants.clean_weighted_profiles(weights)
     enriched = profile.enrich(weights, parts["sizes"], parts["segments"], segment_limit=segment_limit)
-    return store.profile_records(enriched.withColumn("embedding", profile_vector(make_encoder)), model_source=model_source)
+    return store.profile_records(cut(enriched.withColumn("embedding", profile_vector(make_encoder))), model_source=model_source)
 
 
 def reembed(records: DataFrame, make_encoder=HashingEncoder) -> DataFrame:
@@ -72,7 +72,7 @@ def build_sub_profiles(postings: DataFrame, taxonomy, parents: DataFrame, make_e
     spark = postings.sparkSession
     records = hierarchy.sub_records(postings, taxonomy, patterns, stop_items, alias_rules)
     enriched = hierarchy.sub_enriched(records, positions(spark, taxonomy), parents)
-    return store.profile_records(enriched.withColumn("embedding", profile_vector(make_encoder)), model_source=model_source)
+    return store.profile_records(cut(enriched.withColumn("embedding", profile_vector(make_encoder))), model_source=model_source)
 
 
 def cleaned_records(records: DataFrame, preferred=None) -> tuple[DataFrame, DataFrame]:
