@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -205,10 +207,14 @@ def method_report(predictions: DataFrame) -> DataFrame:
     return ranks.join(plain, "method").select("method", "spearman", "pearson", "rmse", "mae")
 
 
-def item_overlap(resume: Column, job: Column, patterns=None, stop_items=None) -> Column:
-    """Share of the job's items that the resume has; 0 when the job has none."""
-    have = F.transform(extract_items(resume, patterns, stop_items), match_key)
-    want = F.transform(extract_items(job, patterns, stop_items), match_key)
+def item_overlap(resume: Column, job: Column, patterns=None, stop_items=None, key: Callable[[Column], Column] = match_key) -> Column:
+    """Share of the job's items that the resume has; 0 when the job has none.
+
+    Items with the same ``key`` are the same: by default their canonical spelling in lower case, so a line
+    break inside an item or a synonym makes no difference. ``F.lower`` compares them as they stand in the texts.
+    """
+    have = F.transform(extract_items(resume, patterns, stop_items), lambda x: key(x))
+    want = F.transform(extract_items(job, patterns, stop_items), lambda x: key(x))
 
     def share(have, want):
         hits = F.size(F.filter(want, lambda k: F.array_contains(have, k)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fitloom.functions.items import match_key
 from fitloom.functions.vectors import HashingEncoder
 from fitloom.operators import evaluate, lexical
 from fitloom.plans.materialize import cut
@@ -31,9 +32,9 @@ def validation_report(pairs: DataFrame, ratio: float = 0.1, seed: int = 42, enco
 
 
 def blend_inputs(pairs: DataFrame, make_encoder=HashingEncoder, patterns=None,
-                 stop_items=None) -> DataFrame:
+                 stop_items=None, item_key=match_key) -> DataFrame:
     """Label, semantic score and item overlap of every pair, the input of the weight sweep: one
-    projection, so repeated ids stay as many rows as they are."""
+    projection, so repeated ids stay as many rows as they are. ``item_key`` says which items are the same."""
     semantic = F.greatest(F.lit(0.0), F.least(F.lit(1.0), lexical.encoded_cosine(make_encoder)))
-    overlap = evaluate.item_overlap(F.col("sentence1"), F.col("sentence2"), patterns, stop_items)
+    overlap = evaluate.item_overlap(F.col("sentence1"), F.col("sentence2"), patterns, stop_items, item_key)
     return cut(pairs.select("pair_id", "label", semantic.alias("semantic"), overlap.alias("overlap")))

@@ -57,6 +57,20 @@ def test_unused_columns_are_not_read(spark, tmp_path):
     assert pairs.collect() == [(1, "a")]
 
 
+def test_overlap_of_items_spelled_with_a_line_break(spark, tmp_path):
+    from fitloom.catalog import base, evaluation
+
+    texts = ["more of\nthe same", "more of the same", "less of\nThe same"]
+    spark.createDataFrame([(i, t, "en", "x", 20) for i, t in enumerate(texts * 3)], "doc_id long, text string, lang string, source string, n_chars long"
+                          ).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    t = base.Inputs(spark, str(tmp_path))
+    got = {r.pair_id: r.overlap for r in evaluation.item_overlap(t).collect()}
+    # as its SQL, which compares items as they stand: "the" is met, "of the" is not "of\\nthe"
+    assert got == {i: 1.0 if i % 3 == 2 else 0.5 for i in range(8)}
+    swept = evaluate.item_overlap(F.lit(texts[0]), F.lit(texts[1]), [r"\bof\s+the\b"], [])
+    assert spark.range(1).select(swept).first()[0] == 1.0  # the operator's own key squeezes blanks
+
+
 def test_sweep_by_brute_force(spark):
     random = np.random.RandomState(1)
     s, o, y = random.randint(0, 20, 400) / 20, random.randint(0, 4, 400) / 4, random.randint(0, 6, 400) / 6
