@@ -57,6 +57,19 @@ def test_unused_columns_are_not_read(spark, tmp_path):
     assert pairs.collect() == [(1, "a")]
 
 
+def test_words_of_a_pair_are_counted_without_a_shuffle(spark):
+    words = spark.createDataFrame([(0, 7, 0.5, ["b", "a", "b", "b a"], ["b", "c"]), (1, 7, 0.5, [], []), (2, 8, 0.1, None, ["x", "x"])],
+                                  "_row long, pair_id long, label double, words1 array<string>, words2 array<string>")
+    events = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("count words", "")
+    counts = lexical._term_counts(words.fillna(0))
+    stages = [s for j in events.getJobIdsForGroup("count words") for s in events.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(stages) == 1  # read, count and store
+    got = sorted(((r._row, r.term, r.n1, r.n2) for r in counts.collect()), key=str)
+    assert got == [(0, "a", 1, 0), (0, "b a", 1, 0), (0, "b", 2, 1), (0, "c", 0, 1), (1, None, 0, 0), (2, None, 0, 0)]
+
+
 def test_overlap_of_items_spelled_with_a_line_break(spark, tmp_path):
     from fitloom.catalog import base, evaluation
 
