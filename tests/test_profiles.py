@@ -146,3 +146,14 @@ def test_one_group_is_ranked_in_many_parts(spark, parts):
     lists = {r.occ_key: r.responsibilities for r in profile.nest_segments(ranked, limit=4).collect()}
     assert lists == {g: list(own)[:4] for g, own in seen.items()}
     assert profile.group_segments(df.filter("row_id < 0"), parts=parts).count() == 0
+
+
+def test_long_rows_are_not_sorted_before_they_are_dealt_out(spark):
+    rows = spark.createDataFrame([("g", 1, 2, "Ab"), ("g", 1, 1, " aB "), ("g", 2, 1, "ab"), ("h", 1, 1, "ab"), ("g", 1, 3, "x")],
+                                 "occ_key string, row_id long, pos int, item string")
+    out = profile.item_rows_from_long(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert "Aggregate" not in plan.split("Exchange")[1]
+    assert sorted((r.occ_key, r.item, r.seen.row_id, r.seen.seen.pos) for r in out.collect()) == [
+        ("g", "aB", 1, 1), ("g", "ab", 2, 1), ("h", "ab", 1, 1)]
