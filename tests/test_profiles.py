@@ -157,3 +157,16 @@ def test_long_rows_are_not_sorted_before_they_are_dealt_out(spark):
     assert "Aggregate" not in plan.split("Exchange")[1]
     assert sorted((r.occ_key, r.item, r.seen.row_id, r.seen.seen.pos) for r in out.collect()) == [
         ("g", "aB", 1, 1), ("g", "ab", 2, 1), ("h", "ab", 1, 1)]
+
+
+def test_lists_of_a_large_group_are_made_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(profile, "BLOCK_SEGMENTS", 4)
+    segs = spark.range(50).selectExpr("if(id < 40, 'a', 'gone') AS occ_key", "id + 1 AS rank", "concat('s', id) AS seg").repartition(7)
+    sizes = spark.createDataFrame([("a", 9, "A"), ("b", 1, "B")], "occ_key string, jd_count long, occupation string")
+    weights = spark.createDataFrame([("a", "x", 0.5, "core")], "occ_key string, item string, weight double, tier string")
+    assert all(len(r.block.segs) <= 4 for r in profile.segment_blocks(segs).collect())
+    out = profile.enrich(weights, sizes, segs)
+    assert out.columns == ["occ_key", "jd_count", "occupation", "core_skills", "optional_skills", "responsibilities"]
+    got = {r.occ_key: (r.jd_count, r.occupation, [tuple(s) for s in r.core_skills], r.optional_skills, r.responsibilities) for r in out.collect()}
+    assert got == {"a": (9, "A", [("x", 0.5)], [], [f"s{i}" for i in range(40)]), "b": (1, "B", [], [], [])}
+    assert [r.responsibilities for r in profile.enrich(weights, sizes, segs, segment_limit=6).filter("occ_key = 'a'").collect()] == [[f"s{i}" for i in range(6)]]
