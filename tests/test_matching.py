@@ -155,3 +155,13 @@ def test_history(spark, docs, kb, tmp_path):
     assert len(web) == 2 and ["React.js", "SQL"] in [r.matched_skills for r in web.values()]
     assert history.get_evaluation(stored, listed[0].id).count() == 1
     assert history.get_evaluation(stored, -1).count() == 0
+
+
+def test_items_are_not_shuffled_by_key(docs, kb):
+    """Items of a document stay together from its list to its gaps, and repeated keys count once."""
+    plan = match.gaps(docs, kb)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and not any(
+        "key#" in part.split("]")[0] and "doc_id" in part.split("]")[0] for part in plan.replace("target_key#", "").split("hashpartitioning(")[1:])
+    rows = {r.doc_id: r for r in match.gaps(docs, kb).collect()}
+    assert set(rows) == {1, 2, 3, 5} and rows[1].matched_skills == ["React.js", "SQL"] and rows[1].extra_skills == ["Cooking"]
+    assert round(rows[1].weighted, 6) == round(1.4 / 1.7, 6) and rows[2].extra_skills == [] and rows[3].extra_skills == ["sql"]

@@ -81,6 +81,12 @@ def test_prefixes_leave_most_pairs_out(spark):
     assert found < left.count() * right.count() / 500
 
 
+def test_keys_of_names_are_not_broadcast(spark):
+    sides = [similar._sparse(spark.createDataFrame([(f"a{k} b{k % 3}",) for k in range(9)], "name string"), V.HashingEncoder) for _ in range(2)]
+    plan = similar.prefix_candidates(*sides, 0.6, 256)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_threshold_must_be_positive(spark):
     with pytest.raises(ValueError):
         similar.similar_names(*[spark.createDataFrame([("a",)], "name string")] * 2, 0.0)

@@ -141,3 +141,11 @@ def test_required_literal():
              r"\bgo\b": "go", r"c\+\+": "c++", r"(?<![a-z])r(?![a-z])": "r", r"a*?bc": "bc", r"\d\s": "", r"a(b(c|[)])d)e": "a"}
     assert {p: X.required_literal(p) for p in cases} == cases
     assert sum(len(X.required_literal(p)) > 1 for p in rules.ITEM_PATTERNS) > 0.8 * len(rules.ITEM_PATTERNS)
+
+
+def test_names_are_looked_up_by_a_set(spark):
+    """A map is searched entry by entry; only a name that the set holds goes to it, and only equal last tokens to a list."""
+    df = spark.createDataFrame([("sql",), ("REST API APIs",), ("a  b",), ("x\ny",), ("",), (" ",), ("b b b",), ("b a b",), (None,)], "v string")
+    out = df.select(I.canonicalize(F.col("v")).alias("c"))
+    assert " INSET " in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.c for r in out.collect()] == ["SQL", "REST API", "a b", "x y", "", "", "b", "b a b", None]
