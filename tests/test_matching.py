@@ -165,3 +165,8 @@ def test_items_are_not_shuffled_by_key(docs, kb):
     rows = {r.doc_id: r for r in match.gaps(docs, kb).collect()}
     assert set(rows) == {1, 2, 3, 5} and rows[1].matched_skills == ["React.js", "SQL"] and rows[1].extra_skills == ["Cooking"]
     assert round(rows[1].weighted, 6) == round(1.4 / 1.7, 6) and rows[2].extra_skills == [] and rows[3].extra_skills == ["sql"]
+
+
+def test_similar_mode_broadcasts_no_candidates(docs, kb):
+    plan = match.match_rows(docs, kb, "semantic", 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2
