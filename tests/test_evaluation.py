@@ -117,3 +117,11 @@ def test_join_by_weight(spark):
         out = skew.join_by_weight(rows, table, "k", "n", rows.count(), parts)
         assert out.groupBy("k", "n").count().filter("n <> count").count() == 0 and out.count() == 600
     assert {r.k for r in skew.heavy_keys(table, "n", 602, 3).collect()} == {"hot"}
+
+
+def test_pairs_are_dealt_out_before_they_are_cleaned(spark):
+    """One input split with all pairs does not leave all the cleaning to one task."""
+    one = spark.createDataFrame([(k, f"some text {k}", f"a job {k}", 50.0) for k in range(400)],
+                                "pair_id long, resume_text string, job_text string, ai_match_score double").coalesce(1)
+    for rows in (evaluate.labelled_pairs(one), extract.clean_pairs(one, [])):
+        assert "REPARTITION_BY_COL" in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == 400
