@@ -19,6 +19,7 @@ SPAN = STEP + CONTEXT
 BUCKETS = 16
 # Scores are cut off here, far above any that occurs, so that no exponential overflows.
 HIGHEST = np.float32(40)
+SCALE = np.float32(WIDTH ** -0.5)
 
 
 class Tables:
@@ -93,58 +94,83 @@ class Model:
         x += p["places"]
         # one product over all places; products per window are left to the attention itself
         flat, own = x.reshape(-1, WIDTH), np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, WIDTH)
-        q = (own @ p["query"]).reshape(n, STEP, WIDTH)
+        q = (own @ (p["query"] * SCALE)).reshape(n, STEP, WIDTH)
         k, v = ((flat @ p[name]).reshape(n, SPAN, WIDTH) for name in ("key", "value"))
-        s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(WIDTH ** -0.5)
+        s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
         np.minimum(s, HIGHEST, out=s)
         np.exp(s, out=s)
-        s *= open_.astype(np.float32)[:, None, :]
         s *= PAST
-        s /= (s.reshape(-1, SPAN) @ np.ones((SPAN, 1), np.float32)).reshape(n, STEP, 1)
-        seen = s @ v
-        h = seen.reshape(-1, WIDTH) @ p["mix"]
+        if not open_.all():
+            s *= open_.astype(np.float32)[:, None, :]
+        s /= _row_sums(s.reshape(-1, SPAN)).reshape(n, STEP, 1)
+        seen = (s @ v).reshape(-1, WIDTH)
+        h = seen @ p["mix"]
         h += own
         h /= 1 + np.abs(h)
-        return x, q, k, v, s, seen, h.reshape(n, STEP, WIDTH)
+        return x, own, q, k, v, s, seen, h
 
-    def class_scores(self, rows: np.ndarray, open_: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log probability of the target classes of a batch of windows."""
-        h = self._attend(rows, open_)[-1]
-        z = h.reshape(-1, WIDTH) @ self.parts["out"]
+    def _odds(self, h: np.ndarray) -> np.ndarray:
+        z = h @ self.parts["out"]
         z += self.parts["bias"]
         np.minimum(z, HIGHEST, out=z)
+        return z
+
+    def class_scores(self, rows: np.ndarray, open_: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Natural log probability of the target classes of a batch of windows."""
+        z = self._odds(self._attend(rows, open_)[-1])
         picked = z[np.arange(len(z)), targets.ravel()]
         np.exp(z, out=z)
-        return (picked - np.log(z @ np.ones(CLASSES, np.float32))).reshape(targets.shape)
+        return (picked - np.log(_row_sums(z)[:, 0])).reshape(targets.shape)
 
     def gradient(self, rows: np.ndarray, open_: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> np.ndarray:
-        p = self.parts
-        x, q, k, v, s, seen, h = self._attend(rows, open_)
-        z = (h.reshape(-1, WIDTH) @ p["out"] + p["bias"]).reshape(*targets.shape, CLASSES)
-        z -= z.max(-1, keepdims=True)
+        """Of the mean loss of the counted targets. Works in place and sums short rows by products, for
+        training is most of the operator's time."""
+        p, n = self.parts, len(rows)
+        x, own, q, k, v, s, seen, h = self._attend(rows, open_)
+        z = self._odds(h)
         np.exp(z, out=z)
-        z /= z.sum(-1, keepdims=True)
-        np.put_along_axis(z, targets[..., None], np.take_along_axis(z, targets[..., None], -1) - 1, -1)
-        z *= (counted / np.float32(max(1, counted.sum())))[..., None]
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        g = {"out": flat(h).T @ flat(z), "bias": flat(z).sum(0)}
-        dh = (flat(z) @ p["out"].T).reshape(h.shape) * (1 - np.abs(h)) ** 2
-        g["mix"] = flat(seen).T @ flat(dh)
-        dseen = (flat(dh) @ p["mix"].T).reshape(dh.shape)
-        ds = dseen @ v.transpose(0, 2, 1)
-        dv = s.transpose(0, 2, 1) @ dseen
-        ds = s * (ds - (ds * s).sum(-1, keepdims=True)) * np.float32(WIDTH ** -0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        own = x[:, CONTEXT:]
-        g["query"], g["key"], g["value"] = flat(own).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = (flat(dk) @ p["key"].T + flat(dv) @ p["value"].T).reshape(x.shape)
-        dx[:, CONTEXT:] += (flat(dq) @ p["query"].T).reshape(dq.shape) + dh
+        weight = counted.ravel().astype(np.float32) / np.float32(max(1, counted.sum()))
+        z *= weight[:, None] / _row_sums(z)
+        z[np.arange(len(z)), targets.ravel()] -= weight
+        g = {"out": h.T @ z, "bias": np.ones(len(z), np.float32) @ z}
+        dh = z @ p["out"].T
+        slope = 1 - np.abs(h)
+        slope *= slope
+        dh *= slope
+        g["mix"] = seen.T @ dh
+        dseen = dh @ p["mix"].T
+        # the sum over places of s * ds is the product of what was seen and its gradient
+        inner = _row_sums(dseen * seen).reshape(n, STEP, 1)
+        dseen = dseen.reshape(n, STEP, WIDTH)
+        ds = dseen @ np.ascontiguousarray(v.transpose(0, 2, 1))
+        ds -= inner
+        ds *= s
+        dv = (s.transpose(0, 2, 1) @ dseen).reshape(-1, WIDTH)
+        # q is scaled already
+        dk = (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
+        dq = (ds @ k).reshape(-1, WIDTH)
+        dq *= SCALE
+        flat = x.reshape(-1, WIDTH)
+        g["query"], g["key"], g["value"] = own.T @ dq, flat.T @ dk, flat.T @ dv
+        dx = dk @ p["key"].T
+        dx += dv @ p["value"].T
+        dh += dq @ p["query"].T
+        dx = dx.reshape(x.shape)
+        dx[:, CONTEXT:] += dh.reshape(n, STEP, WIDTH)
         g["places"] = dx.sum(0)
-        g["rows"] = np.zeros(SHAPES["rows"], np.float32)
-        for c in range(WIDTH):
-            g["rows"][:, c] = np.bincount(rows.ravel(), dx[..., c].ravel(), minlength=ROWS)
-        return np.concatenate([g[name].ravel() for name in SHAPES]).astype(np.float32)
+        g["rows"] = _sums_by_row(rows.ravel(), dx.reshape(-1, WIDTH))
+        return np.concatenate([g[name].ravel() for name in SHAPES])
+
+
+def _row_sums(a: np.ndarray) -> np.ndarray:
+    """Sums of short rows, as a column."""
+    return a @ np.ones((a.shape[1], 1), np.float32)
+
+
+def _sums_by_row(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of the values (one line for each place) by input row, in one count over all cells."""
+    cells = rows.astype(np.intp)[:, None] * WIDTH + np.arange(WIDTH)
+    return np.bincount(cells.ravel(), values.ravel(), minlength=ROWS * WIDTH).astype(np.float32)
 
 
 # The token at target place t is predicted from the inputs up to t, whose last one is the token before.
@@ -177,7 +203,17 @@ def train(model: Model, batches, rate: float = 0.01) -> Model:
     for step, batch in enumerate(batches, 1):
         model = Model(flat)
         g = model.gradient(*batch)
-        mean += np.float32(0.1) * (g - mean)
-        square += np.float32(0.01) * (g * g - square)
-        flat = flat - np.float32(rate) * (mean / np.float32(1 - 0.9 ** step)) / (np.sqrt(square / np.float32(1 - 0.99 ** step)) + np.float32(1e-6))
+        mean *= np.float32(0.9)
+        mean += np.float32(0.1) * g
+        g *= g
+        g *= np.float32(0.01)
+        square *= np.float32(0.99)
+        square += g
+        # sqrt(square / b) = sqrt(square) / sqrt(b), so that one array is enough
+        size = np.sqrt(square, out=g)
+        size *= np.float32((1 - 0.99 ** step) ** -0.5)
+        size += np.float32(1e-6)
+        np.divide(mean, size, out=size)
+        size *= np.float32(rate / (1 - 0.9 ** step))
+        flat -= size
     return Model(flat)

@@ -224,8 +224,9 @@ def fitted(blocks: DataFrame, tables, every: int = EVERY, rounds: int = ROUNDS)
     return model
 
 
-def text_scores(ids: np.ndarray, offsets: np.ndarray, model: Model, tables: Tables, block: int = 256) -> np.ndarray:
-    """Natural log probability of every text: each token is scored in one window."""
+def text_scores(ids: np.ndarray, offsets: np.ndarray, model: Model, tables: Tables, block: int = 64) -> np.ndarray:
+    """Natural log probability of every text: each token is scored in one window, ``block`` windows at a
+    time, which stay in a core's cache."""
     text, first = windows(np.diff(offsets))
     out = np.zeros(len(offsets) - 1)
     for at in range(0, len(text), block):

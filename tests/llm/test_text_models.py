@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -165,6 +166,34 @@ def test_gradient():
         assert abs((loss(high) - loss(low)) / 0.06 - g[i]) < 1e-4
 
 
+def test_scoring_and_training_steps_in_place():
+    """Same results as the plain formulas; a block of scored windows stays within a core's cache."""
+    random = np.random.RandomState(3)
+    lengths = np.full(40, 161)
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    ids = random.randint(0, 200, offsets[-1])
+    tables = attention.Tables(np.bincount(ids, minlength=200).astype(float), random.rand(200, attention.BUCKETS))
+    model = attention.Model.fresh(tables.prior)
+    text, first = attention.windows(lengths)
+    inputs, open_, targets, counted = attention.window_ids(ids, offsets, text, first)
+    parts = (np.where(inputs < 0, tables.begin, tables.row_of[np.maximum(inputs, 0)]).astype(np.int16), open_,
+             tables.class_of[targets].astype(np.int16), counted.astype(np.float32))
+    batches = [tuple(x[at:at + 64] for x in parts) for at in range(0, len(text), 64)]
+    flat, mean, square = model.flat.astype(float), 0.0, 0.0
+    for step, batch in enumerate(batches, 1):
+        g = attention.Model(flat).gradient(*batch).astype(float)
+        mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
+        flat = flat - 0.01 * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-6)
+    trained = attention.train(model, iter(batches))
+    assert np.abs(trained.flat - flat).max() < 1e-3
+    tracemalloc.start()
+    whole = lm_scoring.text_scores(ids, offsets, trained, tables)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(whole, lm_scoring.text_scores(ids, offsets, trained, tables, block=1000), rtol=1e-4)
+    assert peak < 2 << 20
+
+
 def test_suffix_automaton():
     words = ["abab", "babb", "a", "bbbbb", "abcabx"]
     arcs = language.suffix_automaton(words)
