@@ -6,11 +6,13 @@ import re
 from collections.abc import Callable
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fitloom import rules
 from fitloom.functions.text import is_blank, truncate
+from fitloom.plans.materialize import cut
 
 
 def utf8(content: Column) -> Column:
@@ -23,20 +25,56 @@ def file_extension(name):
     return F.lower(F.regexp_extract(name, r"[^/](\.[^./]+)$", 1))
 
 
-def read_uploads(spark: SparkSession, path: str, max_bytes: int = rules.MAX_UPLOAD_BYTES, text: Callable[[Column], Column] = utf8) -> DataFrame:
+def write_uploads(named: DataFrame, folder: str, per_folder: int = 250) -> DataFrame:
+    """Write each row of ``named`` (name, value) to a file of its own below ``folder``: its text and a line end.
+
+    Files have names of their own; about ``per_folder`` of them lie together, and one task writes those. Returns the
+    names that `read_uploads` needs: (bucket, place, name). Folder and number of a file follow from stored
+    rows alone, so a task that runs again writes the same files.
+    """
+    n = max(1, -(-named.count() // per_folder))
+    bucket = F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("row")) - 1
+    rows = named.select("name", "value", F.monotonically_increasing_id().alias("row")).withColumn("bucket", bucket)
+    placed = cut(rows.withColumn("place", place).drop("row"))
+    # a local folder gets no checksum files, which would be as many again
+    (placed.repartitionById(n, "bucket").sortWithinPartitions("bucket", "place").select("bucket", "value")
+     .write.partitionBy("bucket").option("maxRecordsPerFile", 1)
+     .options(**{"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}).text(folder))
+    return placed.select("bucket", "place", "name")
+
+
+def _listed(files: DataFrame) -> DataFrame:
+    """Path of every file that was listed, empty ones too, fetched in one call instead of one for each."""
+    spark = files.sparkSession
+    uris = spark._jvm.org.apache.hadoop.util.StringUtils.join("\n", files._jdf.inputFiles())
+    paths = [re.sub(r"^(\w+):///", r"\1:/", unquote(uri)) for uri in uris.split("\n") if uri]
+    return spark.createDataFrame(pa.table({"path": pa.array(paths, pa.string())}))
+
+
+def read_uploads(spark: SparkSession, path: str, max_bytes: int = rules.MAX_UPLOAD_BYTES, text: Callable[[Column], Column] = utf8,
+                 names: DataFrame | None = None) -> DataFrame:
     """Files below ``path``: (path, filename, n_bytes, body).
 
     Sizes come from the listing, which Spark's reader makes on the driver; it leaves out empty files, so
     these are added. Only files that the gate can pass by their size are opened, so an oversized one is
-    never read; ``text`` turns a file's content into text, null where it has none.
+    never read; ``text`` turns a file's content into text, null where it has none. ``names`` of `write_uploads`
+    replace the names of its files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    sizes = files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("n_bytes"))
-    bodies = files.filter((F.col("length") > 0) & (F.col("length") <= max_bytes)).select("path", text(F.col("content")).alias("body"))
-    listed = [(re.sub(r"^(\w+):///", r"\1:/", unquote(f)),) for f in files.inputFiles()]
-    empty = spark.createDataFrame(listed, "path string").join(sizes.select("path"), "path", "left_anti").select(
-        "path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit(0).cast("long").alias("n_bytes"))
-    return sizes.union(empty).join(bodies, "path", "left")
+    # by the listing's size, so that each file is looked at by one scan only
+    size = F.col("_metadata.file_size")
+    small = files.filter((size <= max_bytes) & (F.col("length") <= max_bytes)).select("path", F.col("length").alias("n_bytes"), text(F.col("content")).alias("body"))
+    none = F.lit(None).cast(small.schema["body"].dataType)
+    large = files.filter((size > max_bytes) & (F.col("length") > max_bytes)).select("path", F.col("length").alias("n_bytes"), none.alias("body"))
+    empty = _listed(files).join(files.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("n_bytes"), none.alias("body"))
+    found = small.union(large).union(empty)
+    filename = F.element_at(F.split("path", "/"), -1)
+    if names is None:
+        return found.select("path", filename.alias("filename"), "n_bytes", "body")
+    own = found.withColumns({"bucket": F.regexp_extract("path", r"/bucket=(\d+)/[^/]*$", 1).try_cast("int"),
+                             "place": F.regexp_extract("path", r"[-.]c(\d+)\.[^/]*$", 1).try_cast("int")})
+    return own.join(names, ["bucket", "place"], "left").select("path", F.coalesce("name", filename).alias("filename"), "n_bytes", "body")
 
 
 def ingest_gate(uploads: DataFrame, groups: DataFrame, max_chars: int | None = None, max_bytes: int = rules.MAX_UPLOAD_BYTES) -> DataFrame:
