@@ -189,18 +189,20 @@ def test_oversized_files_are_not_opened(spark, tmp_path):
     assert out["b.pdf"].body is None and out["b.pdf"].n_bytes == 3000 and out["f.PDF"].section_text == "é"
 
 
-def test_uploads_share_folders_and_keep_their_names(spark, tmp_path):
+@pytest.mark.parametrize("mounted", [True, False])
+def test_uploads_share_folders_and_keep_their_names(spark, tmp_path, mounted):
     """Files lie together, a few folders for many; names and texts stay with each other, empty and odd ones too."""
     rows = [(f"ü {k} 50%+a/b.pdf", f"text {k}\nzwei" if k % 5 else "" if k % 2 else None) for k in range(60)] + [("same.pdf", "one"), ("same.pdf", "two")]
     named = spark.createDataFrame(rows, "name string, value string").repartition(3)
     folder = tmp_path / "in"
-    names = uploads.write_uploads(named, str(folder), per_folder=5)
+    names = uploads.write_uploads(named, str(folder), per_folder=5, mounted=mounted)
     folders = {p.parent for p in folder.rglob("part-*")}
     assert len(folders) <= 13 and len(list(folder.rglob("part-*"))) == len(rows)
     found = uploads.read_uploads(spark, str(folder), 8, names=names).collect()
     want = sorted((n, len(body.encode()), body if len(body) <= 8 else None) for n, body in ((n, (v or "") + "\n") for n, v in rows))
     assert sorted((r.filename, r.n_bytes, r.body) for r in found) == want
-    assert uploads.write_uploads(named.limit(0), f"{tmp_path}/none").count() == 0
+    assert uploads.write_uploads(named.limit(0), f"{tmp_path}/none", mounted=mounted).count() == 0
+    assert uploads._local_path(spark, f"file://{folder}") == uploads._local_path(spark, str(folder)) == str(folder)
 
 
 def test_each_file_is_looked_at_by_one_scan(spark, tmp_path):
