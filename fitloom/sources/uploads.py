@@ -35,20 +35,18 @@ def _local_path(spark: SparkSession, folder: str) -> str | None:
 
 
 def _files_written(folder: str):
-    """Function that writes rows (bucket, place, value) as files of their own and reports how many. A file gets its
-    name when it is whole, so a task that runs again changes nothing."""
+    """Function that writes rows (bucket, place, name, value) as files of their own and returns them without the value.
+    A file gets its name when it is whole, so a task that runs again changes nothing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
         for batch in batches:
-            for bucket, place, value in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for bucket, place, value in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3))):
                 home = f"{folder}/bucket={bucket}"
                 os.makedirs(home, exist_ok=True)
                 part = f"{home}/_{uuid.uuid4().hex}"
                 with open(part, "wb") as f:
                     f.write((value or b"") + b"\n")
                 os.replace(part, f"{home}/part-c{place:03d}.txt")
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+            yield batch.select(["bucket", "place", "name"])
     return run
 
 
@@ -56,26 +54,22 @@ def write_uploads(named: DataFrame, folder: str, per_folder: int = 250, mounted:
     """Write each row of ``named`` (name, value) to a file of its own below ``folder``: its text and a line end.
 
     Files have names of their own; about ``per_folder`` of them lie together, and one task writes those. Returns the
-    names that `read_uploads` needs: (bucket, place, name). Folder and number of a file follow from stored
-    rows alone, so a task that runs again writes the same files. On a mounted disk tasks write the files themselves:
+    names that `read_uploads` needs: (bucket, place, name). On a mounted disk tasks write the files themselves:
     without its native library Hadoop starts a process for each local file. Elsewhere, or if ``mounted`` is
-    false, Spark's writer makes the same files.
+    false, Spark's writer makes the same files from stored rows, so a task that runs again writes the same ones.
     """
-    spark = named.sparkSession
     n = max(1, -(-named.count() // per_folder))
     bucket = F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("row")) - 1
     rows = named.select("name", "value", F.monotonically_increasing_id().alias("row")).withColumn("bucket", bucket)
-    placed = cut(rows.withColumn("place", place).drop("row"))
-    dealt = placed.repartitionById(n, "bucket")
-    local = _local_path(spark, folder) if mounted else None
-    if local is None:
-        (dealt.sortWithinPartitions("bucket", "place").select("bucket", "value")
-         .write.partitionBy("bucket").option("maxRecordsPerFile", 1).text(folder))
-    else:
+    placed = rows.select("bucket", place.alias("place"), "name", F.col("value").cast("binary").alias("value"))
+    local = _local_path(named.sparkSession, folder) if mounted else None
+    if local is not None:
         os.makedirs(local, exist_ok=True)
-        value = F.col("value").cast("binary")
-        dealt.select("bucket", "place", value).mapInArrow(_files_written(local), "n long").agg(F.sum("n")).collect()
+        return cut(placed.mapInArrow(_files_written(local), "bucket int, place int, name string"))
+    placed = cut(placed)
+    (placed.repartitionById(n, "bucket").sortWithinPartitions("bucket", "place").select("bucket", F.col("value").cast("string"))
+     .write.partitionBy("bucket").option("maxRecordsPerFile", 1).text(folder))
     return placed.select("bucket", "place", "name")
 
 
