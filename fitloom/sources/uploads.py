@@ -17,6 +17,10 @@ from fitloom.functions.text import is_blank, truncate
 from fitloom.plans.materialize import cut
 
 
+# Files that a task reads.
+TASK_FILES = 256
+
+
 def utf8(content: Column) -> Column:
     """Plain text; null for bytes that are no UTF-8."""
     return F.try_validate_utf8(content.cast("string"))
@@ -73,12 +77,10 @@ def write_uploads(named: DataFrame, folder: str, per_folder: int = 250, mounted:
     return placed.select("bucket", "place", "name")
 
 
-def _listed(files: DataFrame) -> DataFrame:
+def _listed(files: DataFrame) -> list[str]:
     """Path of every file that was listed, empty ones too, fetched in one call instead of one for each."""
-    spark = files.sparkSession
-    uris = spark._jvm.org.apache.hadoop.util.StringUtils.join("\n", files._jdf.inputFiles())
-    paths = [re.sub(r"^(\w+):///", r"\1:/", unquote(uri)) for uri in uris.split("\n") if uri]
-    return spark.createDataFrame(pa.table({"path": pa.array(paths, pa.string())}))
+    uris = files.sparkSession._jvm.org.apache.hadoop.util.StringUtils.join("\n", files._jdf.inputFiles())
+    return [re.sub(r"^(\w+):///", r"\1:/", unquote(uri)) for uri in uris.split("\n") if uri]
 
 
 def read_uploads(spark: SparkSession, path: str, max_bytes: int = rules.MAX_UPLOAD_BYTES, text: Callable[[Column], Column] = utf8,
@@ -91,12 +93,16 @@ def read_uploads(spark: SparkSession, path: str, max_bytes: int = rules.MAX_UPLO
     replace the names of its files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    paths = _listed(files)
+    listed = spark.createDataFrame(pa.table({"path": pa.array(paths, pa.string())}))
+    # Spark reads a few dozen small files in a task at most; each task would leave shuffle files of its own
+    tasks = max(spark.sparkContext.defaultParallelism, len(paths) // TASK_FILES)
     # by the listing's size, so that each file is looked at by one scan only
     size = F.col("_metadata.file_size")
-    small = files.filter((size <= max_bytes) & (F.col("length") <= max_bytes)).select("path", F.col("length").alias("n_bytes"), text(F.col("content")).alias("body"))
+    small = files.filter((size <= max_bytes) & (F.col("length") <= max_bytes)).select("path", F.col("length").alias("n_bytes"), text(F.col("content")).alias("body")).coalesce(tasks)
     none = F.lit(None).cast(small.schema["body"].dataType)
-    large = files.filter((size > max_bytes) & (F.col("length") > max_bytes)).select("path", F.col("length").alias("n_bytes"), none.alias("body"))
-    empty = _listed(files).join(files.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("n_bytes"), none.alias("body"))
+    large = files.filter((size > max_bytes) & (F.col("length") > max_bytes)).select("path", F.col("length").alias("n_bytes"), none.alias("body")).coalesce(tasks)
+    empty = listed.join(files.select("path").coalesce(tasks), "path", "left_anti").select("path", F.lit(0).cast("long").alias("n_bytes"), none.alias("body"))
     found = small.union(large).union(empty)
     filename = F.element_at(F.split("path", "/"), -1)
     if names is None:

@@ -211,6 +211,7 @@ def test_each_file_is_looked_at_by_one_scan(spark, tmp_path):
     files = uploads.read_uploads(spark, str(tmp_path), 20)
     assert sorted((r.filename, r.n_bytes, r.body) for r in files.collect()) == sorted(
         (f"a+b c%41 {k}.pdf", k % 4 * 10, None if k % 4 in (0, 3) else "x" * (k % 4) * 10) for k in range(40))
+    assert files.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism
     # bodies meet no join, so they are not shuffled
     plan = files._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "Join LeftAnti" in plan
