@@ -1,10 +1,11 @@
 """Language-model scores of whole texts: a unigram base and a causal self-attention model.
 
-One pass over the texts outside the held-out fold counts every word and keeps their subword ids, in
-blocks. Counts of ids and of what stands before them follow from the word counts. The model is trained
-on all windows of the blocks, in segments side by side, and averaged, twice; nothing but counts of a
-fixed vocabulary and the parameters reach the driver. Texts are scored where they are read; only
-their words outside the bounded table of frequent words meet the full counts in a join.
+One pass over the texts keeps the subword ids of all of them, in blocks, and counts the words of those
+outside the held-out fold. Counts of ids and of what stands before them follow from the word counts. The
+model is trained on all windows of the training texts' blocks, in segments side by side, and averaged,
+twice; nothing but counts of a fixed vocabulary and the parameters reach the driver. The trained model
+scores the blocks, so no text is encoded again. A second pass looks up the words; only those outside the
+bounded table of frequent words meet the full counts in a join.
 """
 
 from __future__ import annotations
@@ -86,32 +87,48 @@ class Subwords:
         return np.insert(flat, stops, self.end), np.concatenate(([0], stops + np.arange(1, len(per_row) + 1)))
 
 
+def marked(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text) with a number (row) and their fold (held_out). Every pass over the
+    texts reads this frame, so that rows keep their numbers."""
+    return docs.select(row_id().alias("row"), "doc_id", (bucket_of(F.col("doc_id"), folds) == held_out).alias("held_out"), "text")
+
+
 def gather(docs: DataFrame, vocab, every: int = EVERY, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
-    """Counts (word, n) and subword ids (start, turn, ids) of all training texts; the end of a text is
-    the empty word. The ids of a text are cut to blocks of whole windows; before ``start`` stands the
-    context of a block's first window. turn tells which of its windows are used."""
+    """`encoded` for the training texts alone."""
+    return encoded(marked(docs, folds, held_out).filter(~F.col("held_out")), vocab, every)
+
+
+def encoded(texts: DataFrame, vocab, every: int = EVERY) -> DataFrame:
+    """Counts (word, n) of the training texts among the `marked` ones, and subword ids (row, held_out, start,
+    turn, ids) of all of them; the end of a text is the empty word. The ids of a text are cut to blocks of
+    whole windows; before ``start`` stands the context of a block's first window. turn tells which of its
+    windows are used for training."""
     size, context = BLOCK * STEP, CONTEXT + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(vocab.value)
         seen: dict[bytes, int] = {}
-        names = ["word", "n", "start", "turn", "ids"]
+        names = ["word", "n", "row", "held_out", "start", "turn", "ids"]
 
         def report() -> pa.RecordBatch:
             n = len(seen)
             out = pa.RecordBatch.from_arrays(
-                [pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64()), pa.nulls(n, pa.int32()),
-                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32()))], names)
+                [pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()),
+                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32()))], names)
             seen.clear()
             return out
 
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
-                places, per_row, words = ascii_words(piece.column(1))
+                places, per_row, words = ascii_words(piece.column(3))
                 plain = words.to_pylist()
-                for w, n in zip(plain, np.bincount(places, minlength=len(plain)).tolist()):
-                    seen[w] = seen.get(w, 0) + n
-                seen[END_WORD] = seen.get(END_WORD, 0) + piece.num_rows
+                known = ~piece.column(2).to_numpy(zero_copy_only=False)
+                counts = np.bincount(places[np.repeat(known, per_row)], minlength=len(plain))
+                for w, n in zip(plain, counts.tolist()):
+                    if n:
+                        seen[w] = seen.get(w, 0) + n
+                if known.any():
+                    seen[END_WORD] = seen.get(END_WORD, 0) + int(known.sum())
                 ids, offsets = subwords.of(places, per_row, plain)
                 lengths = np.diff(offsets)
                 n = -(-lengths // size)
@@ -120,17 +137,16 @@ def gather(docs: DataFrame, vocab, every: int = EVERY, folds: int = FOLDS, held_
                 low, high = np.maximum(begin - context, 0), np.minimum(begin + size, lengths[text])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(high - low))), pa.int32()),
                                                  pa.array(ids[ragged(offsets[text] + low, high - low)].astype(np.int32)))
-                turn = (begin // STEP + piece.column(0).to_numpy()[text]) % every
+                turn = (begin // STEP + piece.column(1).to_numpy()[text]) % every
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(text), pa.binary()), pa.nulls(len(text), pa.int64()), pa.array((begin - low).astype(np.int32)),
-                     pa.array(turn.astype(np.int32)), lists], names)
+                    [pa.nulls(len(text), pa.binary()), pa.nulls(len(text), pa.int64()), piece.column(0).take(pa.array(text)),
+                     piece.column(2).take(pa.array(text)), pa.array((begin - low).astype(np.int32)), pa.array(turn.astype(np.int32)), lists], names)
                 if len(seen) > 200_000:
                     yield report()
         yield report()
 
-    training = docs.filter(bucket_of(F.col("doc_id"), folds) != held_out)
-    frame = training.select(F.pmod(F.xxhash64("doc_id"), F.lit(every)).alias("turn"), "text")
-    return frame.mapInArrow(run, "word binary, n long, start int, turn int, ids array<int>")
+    frame = texts.select("row", F.pmod(F.xxhash64("doc_id"), F.lit(every)).alias("turn"), "held_out", "text")
+    return frame.mapInArrow(run, "word binary, n long, row long, held_out boolean, start int, turn int, ids array<int>")
 
 
 def training_windows(start: np.ndarray, turn: np.ndarray, lists: pa.Array, every: int = EVERY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -205,8 +221,7 @@ def fitted(blocks: DataFrame, tables, every: int = EVERY, rounds: int = ROUNDS)
                 for at in range(0, batch.num_rows, 128):
                     part = batch.slice(at, 128)
                     inputs, open_, targets, counted = training_windows(part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2), every)
-                    kept.append((np.where(inputs < 0, t.begin, t.row_of[np.maximum(inputs, 0)]).astype(np.int16), open_,
-                                 t.class_of[targets].astype(np.int16), counted.astype(np.float32)))
+                    kept.append((t.inputs(inputs), open_, t.class_of[targets].astype(np.int16), counted.astype(np.float32)))
                     while sum(len(x[0]) for x in kept) >= TASK_WINDOWS:
                         segment()
             if sum(len(x[0]) for x in kept):
@@ -224,21 +239,43 @@ def fitted(blocks: DataFrame, tables, every: int = EVERY, rounds: int = ROUNDS)
     return model
 
 
-def text_scores(ids: np.ndarray, offsets: np.ndarray, model: Model, tables: Tables, block: int = 64) -> np.ndarray:
-    """Natural log probability of every text: each token is scored in one window, ``block`` windows at a
-    time, which stay in a core's cache."""
-    text, first = windows(np.diff(offsets))
+def text_scores(ids: np.ndarray, offsets: np.ndarray, model: Model, tables: Tables, block: int = 64, start: np.ndarray | int = 0) -> np.ndarray:
+    """Natural log probability of every text from its token ``start`` on: each token is scored in one window,
+    ``block`` windows at a time, which stay in a core's cache."""
+    start = np.broadcast_to(start, len(offsets) - 1)
+    text, first = windows(np.diff(offsets) - start)
+    first = first + start[text]
     out = np.zeros(len(offsets) - 1)
-    for at in range(0, len(text), block):
-        own = text[at:at + block]
-        inputs, open_, targets, counted = window_ids(ids, offsets, own, first[at:at + block])
-        rows = np.where(inputs < 0, tables.begin, tables.row_of[np.maximum(inputs, 0)])
-        score = model.class_scores(rows, open_, tables.class_of[targets]) + tables.within[targets]
-        np.add.at(out, own, np.where(counted, score, 0).sum(1))
+    # ids of some blocks of windows are looked up at once
+    for low in range(0, len(text), 8 * block):
+        own = text[low:low + 8 * block]
+        inputs, open_, targets, counted = window_ids(ids, offsets, own, first[low:low + 8 * block])
+        rows, classes = tables.inputs(inputs), np.take(tables.class_of, targets)
+        score = np.take(tables.within, targets)
+        for at in range(0, len(own), block):
+            some = slice(at, at + block)
+            score[some] += model.class_scores(rows[some], open_[some], classes[some])
+        score *= counted
+        np.add.at(out, own, score.sum(1))
     return out
 
 
-def scores(docs: DataFrame, tokenizer: str, folds: int = FOLDS, held_out: int = HELD_OUT, frequent: int = FREQUENT, every: int = EVERY) -> DataFrame:
+def block_scores(blocks: DataFrame, tables, trained) -> DataFrame:
+    """Log10 probability (row, score) of every block of ids (row, start, ids)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, table = Model(trained.value), tables.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                offsets = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(part.column(2)).to_numpy()))).astype(np.int64)
+                score = text_scores(part.column(2).flatten().to_numpy(), offsets, model, table, start=part.column(1).to_numpy()) / np.log(10)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["row", "score"])
+
+    return blocks.select("row", "start", "ids").mapInArrow(run, "row long, score double")
+
+
+def scores(docs: DataFrame, tokenizer: str, folds: int = FOLDS, held_out: int = HELD_OUT, frequent: int = FREQUENT, every: int = EVERY,
+           scan: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score.
 
@@ -247,11 +284,15 @@ def scores(docs: DataFrame, tokenizer: str, folds: int = FOLDS, held_out: int =
     training texts (crc32(doc_id) modulo ``folds`` is not ``held_out``); n_known counts those with
     c > 0, train_tokens is N. score is the log10 probability of the text's subword ids and its end,
     under a model that is trained on one window in ``every`` of the training texts.
+    Two passes must give rows the same numbers. With ``scan``, ``docs`` is a plain scan of files, where they
+    do; any other frame is written once first, for its rows may come in another order each time.
     A null text counts as empty; repeated rows are scored again; an empty table gives no rows.
     """
     spark = docs.sparkSession
     vocab = broadcast_vocabulary(spark, tokenizer)
-    gathered = stored(gather(docs, vocab, every, folds, held_out))
+    frame = marked(docs if scan else stored(docs.select("doc_id", "text")), folds, held_out)
+    gathered = stored(encoded(frame, vocab, every))
+    blocks = gathered.filter("ids is not null")
     counts = stored(gathered.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     divisor = total + 0.5 * (distinct + 1)
@@ -259,11 +300,11 @@ def scores(docs: DataFrame, tokenizer: str, folds: int = FOLDS, held_out: int =
     top = {bytes(r["word"]): r["n"] for r in most_frequent(counts, frequent).collect()}
     known = spark.sparkContext.broadcast(top)
     tables = Shipped(spark, Tables(*id_counts(counts, vocab)))
-    trained = spark.sparkContext.broadcast(fitted(gathered.filter("ids is not null").select("start", "turn", "ids"), tables, every).flat)
+    trained = spark.sparkContext.broadcast(fitted(blocks.filter("not held_out").select("start", "turn", "ids"), tables, every).flat)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, model, table, count = Subwords(vocab.value), Model(trained.value), tables.value, known.value.get
+        count = known.value.get
         end = count(END_WORD, 0)
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
@@ -284,21 +325,21 @@ def scores(docs: DataFrame, tokenizer: str, folds: int = FOLDS, held_out: int =
                 cuts = np.searchsorted(row, np.arange(piece.num_rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(
                     [words.take(pa.array(which)).cast(pa.binary()), pa.array(times, pa.int32())], ["word", "times"]))
-                ids, offsets = subwords.of(places, per_row, plain)
-                score = text_scores(ids, offsets, model, table) / np.log(10)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), piece.column(2), pa.array(per_row + 1), pa.array(sure), pa.array(base), pa.array(score), lists],
-                    ["row", "doc_id", "held_out", "n_tokens", "sure", "base", "score", "rare"])
+                    [piece.column(0), piece.column(1), piece.column(2), pa.array(per_row + 1), pa.array(sure), pa.array(base), lists],
+                    ["row", "doc_id", "held_out", "n_tokens", "sure", "base", "rare"])
 
-    frame = docs.select(row_id().alias("row"), "doc_id", (bucket_of(F.col("doc_id"), folds) == held_out).alias("held_out"), "text")
     texts = stored(frame.mapInArrow(
-        run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, sure long, base double, score double, "
+        run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, sure long, base double, "
              "rare array<struct<word: binary, times: int>>"))
     rare = texts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
     # words that tasks know are frequent don't occur here
-    met = rare.join(counts, "word", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(divisor))).alias("log"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
-    return texts.drop("rare").join(met, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("sure") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("log", F.lit(0.0))).alias("base_score"), "score")
+    met = rare.join(counts, "word", "left").select(
+        "row", (F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(divisor))).alias("log"),
+        F.when(F.col("n") > 0, F.col("times")).otherwise(0).cast("long").alias("known"), F.lit(0.0).alias("score"))
+    # every text has a block, since its end is a token
+    whole = met.unionByName(block_scores(blocks, tables, trained).select("row", F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("known"), "score")) \
+        .groupBy("row").agg(F.sum("log").alias("log"), F.sum("known").alias("known"), F.sum("score").alias("score"))
+    return texts.drop("rare").join(whole, "row").select(
+        "doc_id", "held_out", "n_tokens", (F.col("sure") + F.col("known")).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("log")).alias("base_score"), "score")

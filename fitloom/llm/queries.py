@@ -61,7 +61,7 @@ def lexicon_bpe(spark, sf_dir):
 
 @query("op6_attention_scores")
 def attention_scores(spark, sf_dir):
-    return lm_scoring.scores(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return lm_scoring.scores(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), scan=True)
 
 
 @query("op7_cross_parsing")

@@ -194,6 +194,52 @@ def test_scoring_and_training_steps_in_place():
     assert peak < 2 << 20
 
 
+def test_blocks_of_stored_ids_are_scored_like_whole_texts(spark):
+    """Texts are encoded once, for training and scores: held-out ones have blocks too, but no counts."""
+    from fitloom.llm.subwords import broadcast_vocabulary
+    vocab = broadcast_vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choices(["one", "Two", "three", "x"], k=k)) for k in (0, 3, 511, 512, 513, 1500, 16, 17)] * 2
+    frame = lm_scoring.marked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    rows = {r.row: r for r in frame.collect()}
+    got = lm_scoring.encoded(frame, vocab).toArrow()
+    counts = Counter()
+    for r in got.filter(pa.compute.is_valid(got["word"])).select(["word", "n"]).to_pylist():
+        counts[r["word"]] += r["n"]
+    training = [r.text for r in rows.values() if not r.held_out]
+    assert 0 < len(training) < len(texts)
+    assert counts == Counter(w.lower().encode() for t in training for w in t.split()) + Counter({b"": len(training)})
+    blocks = got.filter(pa.compute.is_valid(got["ids"])).select(["row", "held_out", "start", "ids"]).combine_chunks()
+    assert len(blocks) > len(texts) and all(rows[r["row"]].held_out == r["held_out"] for r in blocks.to_pylist())
+    subwords, size = lm_scoring.Subwords(vocab.value), len(vocab.value.tokens)
+    state = np.random.RandomState(2)
+    tables = attention.Tables(state.randint(0, 9, size).astype(float), state.rand(size, attention.BUCKETS))
+    model = attention.Model.fresh(tables.prior)
+    lists = blocks["ids"].chunk(0)
+    offsets = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())))
+    score = lm_scoring.text_scores(lists.flatten().to_numpy(), offsets, model, tables, start=blocks["start"].to_numpy())
+    total = Counter()
+    for row, x in zip(blocks["row"].to_pylist(), score):
+        total[row] += x
+    assert total.keys() == rows.keys()
+    for row, r in rows.items():
+        places, per_row, words = lm_scoring.ascii_words(pa.array([r.text]))
+        whole = lm_scoring.text_scores(*subwords.of(places, per_row, words.to_pylist()), model, tables)[0]
+        assert abs(total[row] - whole) < 1e-4 * abs(whole)
+
+
+def test_scores_of_rows_in_another_order_each_time(spark):
+    def shuffled(batches):
+        for batch in batches:
+            yield batch.take(pa.array(np.random.RandomState().permutation(batch.num_rows)))
+
+    rows = [(i, "alpha " * (60 * i)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).mapInArrow(shuffled, "doc_id long, text string")
+    got = sorted(lm_scoring.scores(docs, public_tokenizers.path("word_bpe_49k.json")).collect())
+    assert [(r.doc_id, r.n_tokens) for r in got] == [(i, 60 * i + 1) for i in range(40)]
+    assert all(a.score > b.score for a, b in zip(got, got[1:]))
+
+
 def test_suffix_automaton():
     words = ["abab", "babb", "a", "bbbbb", "abcabx"]
     arcs = language.suffix_automaton(words)
