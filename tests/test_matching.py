@@ -170,3 +170,21 @@ def test_items_are_not_shuffled_by_key(docs, kb):
 def test_similar_mode_broadcasts_no_candidates(docs, kb):
     plan = match.match_rows(docs, kb, "semantic", 0.5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") >= 2
+
+
+def test_pairs_of_similar_items_are_not_shuffled(spark):
+    """Exact before similar, then the best similarity, then the first place; nothing is dealt out by (document, item)."""
+    kb = spark.createDataFrame([("g", [("red plate", 0.9), ("blue plate", 0.5)], [("red cup", 0.2)], [1.0]), ("h", [("red plate", 0.3)], [], [1.0])], KB)
+    docs = spark.createDataFrame([
+        (1, "g", ["red plate", "green plate", "RED PLATE"]), (2, "g", ["green cup", "blue cup"]), (3, "h", ["plate", "cup"]), (4, "h", []), (None, "h", ["red cup"]),
+        (None, "h", ["red plate"])],
+        "doc_id long, target_key string, skills array<string>")
+    rows = match.match_rows(docs, kb, "semantic", 0.45)
+    got = {(r.doc_id, r["item"]): (r.weight, r.candidate, r.similarity, r.key) for r in rows.collect()}
+    assert got == {
+        (1, "red plate"): (0.9, "RED PLATE", 1.0, "red plate"), (1, "blue plate"): (0.5, "red plate", 0.5, "red plate"),
+        (1, "red cup"): (0.2, "red plate", 0.5, "red plate"),
+        (2, "blue plate"): (0.5, "blue cup", 0.5, "blue cup"), (2, "red cup"): (0.2, "green cup", 0.5, "green cup"),
+        (3, "red plate"): (0.3, "plate", 0.7071, "plate"), (None, "red plate"): (0.3, "red plate", 1.0, "red plate")}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "hashpartitioning(doc_id" in line and "item" in line]
