@@ -17,8 +17,11 @@ from fitloom.functions.text import is_blank, truncate
 from fitloom.plans.materialize import cut
 
 
-# Files that a task reads.
+# Files that a task of Spark's reader takes.
 TASK_FILES = 256
+# Tasks that list the folders of a mounted disk, and about how many bytes they hand over at a time.
+MOST_TASKS = 1024
+BATCH_BYTES = 4_000_000
 
 
 def utf8(content: Column) -> Column:
@@ -42,10 +45,11 @@ def _files_written(folder: str):
     """Function that writes rows (bucket, place, name, value) as files of their own and returns them without the value.
     A file gets its name when it is whole, so a task that runs again changes nothing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home = None
         for batch in batches:
             for bucket, place, value in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3))):
-                home = f"{folder}/bucket={bucket}"
-                os.makedirs(home, exist_ok=True)
+                if home != (home := f"{folder}/bucket={bucket}"):
+                    os.makedirs(home, exist_ok=True)
                 part = f"{home}/_{uuid.uuid4().hex}"
                 with open(part, "wb") as f:
                     f.write((value or b"") + b"\n")
@@ -83,15 +87,83 @@ def _listed(files: DataFrame) -> list[str]:
     return [re.sub(r"^(\w+):///", r"\1:/", unquote(uri)) for uri in uris.split("\n") if uri]
 
 
+def _folders(top: str) -> list[str]:
+    """A folder and all below it whose names Spark's readers don't skip."""
+    found = []
+    for home, below, _ in os.walk(top, followlinks=True):
+        below[:] = [n for n in below if not _hidden(n)]
+        found.append(home)
+    return found
+
+
+def _hidden(name: str) -> bool:
+    """Whether Spark's readers skip a file or folder of this name."""
+    return name[0] == "." or name[0] == "_" and "=" not in name or name.endswith("._COPYING_")
+
+
+def _files_read(max_bytes: int):
+    """Function that turns folders into their files: path, n_bytes, and the content of those with 1 to ``max_bytes`` bytes."""
+    def rows(folder: str) -> Iterator[tuple[str, int, bytes | None]]:
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                if not _hidden(entry.name) and entry.is_file():
+                    size, content = entry.stat().st_size, None
+                    if 0 < size <= max_bytes:
+                        with open(entry.path, "rb") as f:
+                            content = f.read()
+                        size = len(content)
+                    yield f"file:{entry.path}", size, content
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.binary())
+
+        def batch(held):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=["path", "n_bytes", "content"])
+
+        held, room = [], BATCH_BYTES
+        for folder in (f for b in batches for f in b.column(0).to_pylist()):
+            for row in rows(folder):
+                held.append(row)
+                room -= 256 + len(row[2] or b"")
+                if room <= 0:
+                    yield batch(held)
+                    held, room = [], BATCH_BYTES
+        if held:
+            yield batch(held)
+    return run
+
+
+def _read_mounted(spark: SparkSession, top: str, max_bytes: int, text: Callable[[Column], Column]) -> DataFrame:
+    """(path, n_bytes, body) of the files below a folder of a mounted disk: tasks list folders of their own, look at
+    each file once and open it only if the gate can pass it. The driver holds the names of folders alone."""
+    folders = _folders(top)
+    listed = spark.createDataFrame(pa.table({"folder": pa.array(folders, pa.string())}))
+    tasks = max(spark.sparkContext.defaultParallelism, min(len(folders), MOST_TASKS))
+    found = listed.repartition(tasks).mapInArrow(_files_read(max_bytes), "path string, n_bytes long, content binary")
+    return found.select("path", "n_bytes", text(F.col("content")).alias("body"))
+
+
 def read_uploads(spark: SparkSession, path: str, max_bytes: int = rules.MAX_UPLOAD_BYTES, text: Callable[[Column], Column] = utf8,
-                 names: DataFrame | None = None) -> DataFrame:
+                 names: DataFrame | None = None, mounted: bool = True) -> DataFrame:
     """Files below ``path``: (path, filename, n_bytes, body).
 
-    Sizes come from the listing, which Spark's reader makes on the driver; it leaves out empty files, so
-    these are added. Only files that the gate can pass by their size are opened, so an oversized one is
-    never read; ``text`` turns a file's content into text, null where it has none. ``names`` of `write_uploads`
-    replace the names of its files.
+    Only files that the gate can pass by their size are opened, so an oversized one is never read; ``text`` turns a
+    file's content into text, null where it has none. ``names`` of `write_uploads` replace the names of its files, which
+    tasks list and read themselves on a mounted disk (`_read_mounted`). Else, or if ``mounted`` is false, sizes come from
+    the listing, which Spark's reader makes on the driver; it leaves out empty files, so these are added.
     """
+    local = _local_path(spark, path) if mounted and names is not None else None
+    found = _read_by_spark(spark, path, max_bytes, text) if local is None else _read_mounted(spark, local, max_bytes, text)
+    filename = F.element_at(F.split("path", "/"), -1)
+    if names is None:
+        return found.select("path", filename.alias("filename"), "n_bytes", "body")
+    own = found.withColumns({"bucket": F.regexp_extract("path", r"/bucket=(\d+)/[^/]*$", 1).try_cast("int"),
+                             "place": F.regexp_extract("path", r"[-.]c(\d+)\.[^/]*$", 1).try_cast("int")})
+    return own.join(names, ["bucket", "place"], "left").select("path", F.coalesce("name", filename).alias("filename"), "n_bytes", "body")
+
+
+def _read_by_spark(spark: SparkSession, path: str, max_bytes: int, text: Callable[[Column], Column]) -> DataFrame:
+    """(path, n_bytes, body) of the files below a path of any file system."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     paths = _listed(files)
     listed = spark.createDataFrame(pa.table({"path": pa.array(paths, pa.string())}))
@@ -103,13 +175,7 @@ def read_uploads(spark: SparkSession, path: str, max_bytes: int = rules.MAX_UPLO
     none = F.lit(None).cast(small.schema["body"].dataType)
     large = files.filter((size > max_bytes) & (F.col("length") > max_bytes)).select("path", F.col("length").alias("n_bytes"), none.alias("body")).coalesce(tasks)
     empty = listed.join(files.select("path").coalesce(tasks), "path", "left_anti").select("path", F.lit(0).cast("long").alias("n_bytes"), none.alias("body"))
-    found = small.union(large).union(empty)
-    filename = F.element_at(F.split("path", "/"), -1)
-    if names is None:
-        return found.select("path", filename.alias("filename"), "n_bytes", "body")
-    own = found.withColumns({"bucket": F.regexp_extract("path", r"/bucket=(\d+)/[^/]*$", 1).try_cast("int"),
-                             "place": F.regexp_extract("path", r"[-.]c(\d+)\.[^/]*$", 1).try_cast("int")})
-    return own.join(names, ["bucket", "place"], "left").select("path", F.coalesce("name", filename).alias("filename"), "n_bytes", "body")
+    return small.union(large).union(empty)
 
 
 def ingest_gate(uploads: DataFrame, groups: DataFrame, max_chars: int | None = None, max_bytes: int = rules.MAX_UPLOAD_BYTES) -> DataFrame:

@@ -215,3 +215,20 @@ def test_each_file_is_looked_at_by_one_scan(spark, tmp_path):
     # bodies meet no join, so they are not shuffled
     plan = files._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "Join LeftAnti" in plan
+
+
+def test_written_uploads_are_listed_by_tasks(spark, tmp_path):
+    """On a mounted disk no listing of all files reaches the driver; both readers find the same."""
+    folder = tmp_path / "in"
+    named = spark.createDataFrame([(f"f{k}.pdf", "x" * (k % 30)) for k in range(90)], "name string, value string")
+    names = uploads.write_uploads(named, str(folder), per_folder=7)
+    (folder / "bucket=0" / "_left").write_bytes(b"part of a file")
+    (folder / "bucket=0" / "empty.pdf").write_bytes(b"")
+    (folder / "_draft").mkdir()
+    (folder / "_draft" / "part-c000.txt").write_bytes(b"draft")
+    found = uploads.read_uploads(spark, str(folder), 20, names=names)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "binaryFile" not in plan and "LeftAnti" not in plan
+    rows = sorted(map(tuple, found.collect()), key=str)
+    assert rows == sorted(map(tuple, uploads.read_uploads(spark, str(folder), 20, names=names, mounted=False).collect()), key=str)
+    assert len(rows) == 91 and sum(r[3] is None for r in rows) == 1 + sum(k % 30 > 19 for k in range(90))
