@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fitloom.plans.analysis import analyze, rejected
-from fitloom.plans.materialize import cut, scope
+from fitloom.plans.materialize import cut, no_shuffles_left, scope
 from fitloom.sources import store
 from fitloom.sources.history import evaluation_rows
 
@@ -52,13 +52,15 @@ def score_stream(docs: DataFrame, kb: DataFrame | str, scores_path: str, checkpo
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        with scope(spark):
-            arrived, groups = cut(batch), profiles(spark)
-            analyze(arrived, groups, is_stored=True, **options).write.mode("overwrite").parquet(f"{scores_path}/batch_id={batch_id}")
-            if rejected_path is not None:
-                rejected(arrived, groups).write.mode("overwrite").parquet(f"{rejected_path}/batch_id={batch_id}")
+        with no_shuffles_left(spark):
+            with scope(spark):
+                arrived, groups = cut(batch), profiles(spark)
+                analyze(arrived, groups, is_stored=True, **options).write.mode("overwrite").parquet(f"{scores_path}/batch_id={batch_id}")
+                if rejected_path is not None:
+                    rejected(arrived, groups).write.mode("overwrite").parquet(f"{rejected_path}/batch_id={batch_id}")
             if history_path is None:
                 return
+            # the batch's own copies are gone by now
             try:
                 stored = spark.read.parquet(f"{scores_path}/batch_id={batch_id}")
                 evaluation_rows(stored, F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")) \

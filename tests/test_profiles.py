@@ -170,3 +170,15 @@ def test_lists_of_a_large_group_are_made_of_blocks(spark, monkeypatch):
     got = {r.occ_key: (r.jd_count, r.occupation, [tuple(s) for s in r.core_skills], r.optional_skills, r.responsibilities) for r in out.collect()}
     assert got == {"a": (9, "A", [("x", 0.5)], [], [f"s{i}" for i in range(40)]), "b": (1, "B", [], [], [])}
     assert [r.responsibilities for r in profile.enrich(weights, sizes, segs, segment_limit=6).filter("occ_key = 'a'").collect()] == [[f"s{i}" for i in range(6)]]
+
+
+def test_basket_items_move_once(spark):
+    """One shuffle, in which a text stands once; spellings of a row still meet and the first one stays."""
+    rows = spark.createDataFrame([("g", 1, 2, "Red cup"), ("g", 1, 1, " red CUP "), ("g", 2, 1, "red cup"), ("h", 1, 1, "red cup"), ("g", None, 1, "red cup"), ("g", 1, 3, "x")],
+                                 "occ_key string, row_id long, pos int, item string")
+    got = profile.item_rows_from_long(rows)
+    assert sorted((r.occ_key, r["item"], r.seen.row_id, r.seen[1].pos) for r in got.filter("seen.row_id is not null").collect()) == [
+        ("g", "red CUP", 1, 1), ("g", "red cup", 2, 1), ("h", "red cup", 1, 1)]
+    assert got.count() == 4
+    above, _, below = got._jdf.queryExecution().executedPlan().toString().partition("Exchange hashpartitioning")
+    assert "Exchange" not in below and "Exchange" not in above and "lower(" not in below.split("\n", 1)[1]
